@@ -238,30 +238,43 @@ def merge_statistics(df: DataFrame, chunks: dict[str, Sequence[str]]) -> DataFra
     ))
 
 
+# Share of a block's squared deviations that rounding may leave in a difference of running sums.
+RESOLUTION = 1e-14
+
+
 def _drift(df: DataFrame, columns: Sequence[str], z: float, min_n: int, width: int) -> DataFrame:
     """Drift flags on rows that are complete within ``(station_id, _block)``.
 
-    The frame of ``width`` rows around a row is merged from chunks of a sixth of it: three behind the
-    row and three from the row on, so that each row aggregates a third of the frame instead of all of it.
+    The frame around a row is the difference of two running sums of deviations from the block's mean, so
+    its width costs nothing. A variance below what rounding can leave behind counts as none, as it does
+    for a constant series.
     """
-    size, kept = width // 6, df.columns
-    rows = df.selectExpr("*", *(
-        f"{chunk_statistics(c, *edges)} as _{side}0_{c}"
-        for c in columns for side, edges in (("b", (-size, -1)), ("f", (0, size - 1)))
-    ))
-    rows = rows.selectExpr("*", *(
-        f"{move}(_{side}0_{c}, {k * size}) {B.OVER} as _{side}{k}_{c}"
-        for c in columns for side, move in (("b", "lag"), ("f", "lead")) for k in (1, 2)
-    ))
-    rows = merge_statistics(rows, {
-        f"_c_{c}": [f"_{side}{k}_{c}" for side in "bf" for k in range(3)] for c in columns
-    })
-    # A spread below the resolution of a double at this level counts as none.
+    kept, behind, ahead = df.columns, width // 2, width // 2 - 1
+    whole = f"over (partition by {B.KEY}, _block)"
+    running = f"over (partition by {B.KEY}, _block order by _hour rows between unbounded preceding and current row)"
+    sums = "named_struct('n', count(_d_{0}) {1}, 's', coalesce(sum(_d_{0}) {1}, 0d), 'q', coalesce(sum(_d_{0} * _d_{0}) {1}, 0d))"
+    rows = df.selectExpr("*", *(f"{c} - avg({c}) {whole} as _d_{c}" for c in columns)).selectExpr(
+        "*", *(f"{sums.format(c, running)} as _run_{c}" for c in columns),
+        *(f"{sums.format(c, whole)} as _all_{c}" for c in columns),
+    ).selectExpr(
+        *kept, *(f"_d_{c}" for c in columns), *(f"_all_{c}" for c in columns),
+        *(f"coalesce(lead(_run_{c}, {ahead}) {B.OVER}, _all_{c}) as _hi_{c}" for c in columns),
+        *(
+            f"coalesce(lag(_run_{c}, {behind + 1}) {B.OVER}, named_struct('n', 0L, 's', 0d, 'q', 0d)) as _lo_{c}"
+            for c in columns
+        ),
+    ).selectExpr(
+        *kept, *(f"_d_{c}" for c in columns), *(f"_all_{c}.q as _q_{c}" for c in columns),
+        *(f"_hi_{c}.{k} - _lo_{c}.{k} as _{k}w_{c}" for c in columns for k in "nsq"),
+    ).selectExpr(
+        "*", *(f"try_divide(_sw_{c}, _nw_{c}) as _m_{c}" for c in columns),
+        *(f"try_divide(_qw_{c} - try_divide(_sw_{c} * _sw_{c}, _nw_{c}), _nw_{c} - 1) as _v_{c}" for c in columns),
+    )
     drifted = (
-        "coalesce(_c_{0}_n >= {1} and sqrt(_c_{0}_var) > abs(_c_{0}_mean) * 1e-12"
-        " and abs({0} - _c_{0}_mean) > {2} * sqrt(_c_{0}_var), false) as {0}_drift_flag"
+        "coalesce(_nw_{0} >= {1} and _v_{0} > {3} * _q_{0} / greatest(_nw_{0} - 1, 1)"
+        " and abs(_d_{0} - _m_{0}) > {2} * sqrt(greatest(_v_{0}, 0d)), false) as {0}_drift_flag"
     )
-    return rows.selectExpr(*kept, *(drifted.format(c, min_n, z) for c in columns))
+    return rows.selectExpr(*kept, *(drifted.format(c, min_n, z, RESOLUTION) for c in columns))
 
 
 def flag_drift(
@@ -272,8 +285,8 @@ def flag_drift(
 
     The frame is ``width / 2`` rows before to ``width / 2 - 1`` rows after; the grid must be complete.
     """
-    if width % 6 or width // 2 > B.HALO_HOURS:
-        raise ValueError(f"width must be a multiple of 6 and at most {2 * B.HALO_HOURS}")
+    if width % 2 or width // 2 > B.HALO_HOURS:
+        raise ValueError(f"width must be even and at most {2 * B.HALO_HOURS}")
     return B.own(_drift(B.spread(df), columns, z, min_n, width))
 
 

@@ -206,17 +206,19 @@ def range_stats(column: str, hours: int, hour: Column, reference: Column, digits
     return F.when(enough, mean), F.when(enough, deviation)
 
 
-def rolling_range_stats(df: DataFrame, column: str, hours: int, by: str = "station_id") -> DataFrame:
+def rolling_range_stats(df: DataFrame, column: str, hours: int, digits: int | None = 4) -> DataFrame:
     """Row-wise variant over time rather than rows: ``[t - hours, t)``, from two values on.
 
     Runs on time blocks like all series windows; ``hours`` is at most a week.
     """
     seconds = Window.partitionBy(B.KEY, "_block").orderBy("_hour").rangeBetween(-hours, -1)
     enough = F.count(column).over(seconds) >= 2
-    return B.own(B.spread(df).withColumns({
-        f"mean_{hours}h": F.when(enough, S.round_even(F.avg(column).over(seconds), 4)),
-        f"std_{hours}h": F.when(enough, S.round_even(F.stddev_pop(column).over(seconds), 4)),
-    }))
+    mean, deviation = F.avg(column).over(seconds), F.stddev_pop(column).over(seconds)
+    if digits is not None:
+        mean, deviation = S.round_even(mean, digits), S.round_even(deviation, digits)
+    return B.own(B.spread(df).select(
+        "*", F.when(enough, mean).alias(f"mean_{hours}h"), F.when(enough, deviation).alias(f"std_{hours}h"),
+    ))
 
 
 def point_lags(hours: DataFrame, offsets: tuple[int, ...] = (1, 24, 168)) -> DataFrame:
