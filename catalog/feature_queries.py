@@ -12,6 +12,7 @@ from catalog.snap import sql as snap
 from hourgrid import constants as C
 from hourgrid.functions import scalar as S
 from hourgrid.operators import cleaning, evaluate, exports, features, weather
+from hourgrid.plans.staging import staged
 
 
 def joined(spark, sf):
@@ -26,9 +27,14 @@ def feats(spark, sf):
     return features.build_features(joined(spark, sf))
 
 
+def stored_features(spark, sf):
+    """The feature table as later steps find it: written once, like the joined table before it."""
+    return staged(features.build_features(staged(joined(spark, sf), "joined")), "features")
+
+
 def predictions(spark, sf):
-    _, test, _ = evaluate.time_split(feats(spark, sf))
-    return evaluate.persistence(test)
+    _, test, _ = evaluate.time_split(stored_features(spark, sf))
+    return staged(evaluate.persistence(test), "predictions")
 
 
 def groups(spark, sf):
@@ -298,7 +304,7 @@ def _(spark, sf):
     count(*) FILTER (WHERE timestamp_utc < cutoff) AS train_rows, count(*) FILTER (WHERE timestamp_utc >= cutoff) AS test_rows
     FROM feat f JOIN cut c ON c.pollutant = f.pollutant GROUP BY f.pollutant, c.cutoff""")
 def _(spark, sf):
-    train, test, cutoffs = evaluate.time_split(feats(spark, sf))
+    train, test, cutoffs = evaluate.time_split(stored_features(spark, sf))
     def sizes(df, name):
         return df.groupBy("pollutant").agg(F.count(F.lit(1)).alias(name))
     return cutoffs.join(sizes(train, "train_rows"), "pollutant", "left").join(
@@ -476,7 +482,7 @@ def _(spark, sf):
 
 def _two_models(spark, sf):
     """Metrics of two deterministic forecasts under two model names."""
-    _, test, _ = evaluate.time_split(feats(spark, sf))
+    _, test, _ = evaluate.time_split(stored_features(spark, sf))
     a = evaluate.regression_metrics(evaluate.persistence(test))
     b = evaluate.regression_metrics(test.select("pollutant", F.col("target").alias("y_true"), F.col("roll_24h_mean").alias("y_pred")))
     return a.withColumn("model", F.lit("GradientBoosting")), b.withColumn("model", F.lit("RandomForest"))
