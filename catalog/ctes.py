@@ -201,7 +201,7 @@ CTES: dict[str, str] = {
           AND o.timestamp_utc BETWEEN r.end_hour - INTERVAL 170 HOUR AND r.end_hour""",
     "area": """SELECT request_id, pollutant, timestamp_utc,
           avg(value) FILTER (WHERE mine) / CASE WHEN pollutant = 'ozone' THEN 1000.0 ELSE 1.0 END AS value
-        FROM near GROUP BY ALL""",
+        FROM near GROUP BY request_id, pollutant, timestamp_utc""",
     "cover": """SELECT r.request_id, r.pollutant, count(n.request_id) AS n_raw_obs,
           coalesce(max(a.c), 0) AS coverage_hours,
           CASE WHEN count(*) FILTER (WHERE n.mine) > 0 THEN 171 - coalesce(max(a.c), 0) ELSE 0 END AS missing_hours,
@@ -243,7 +243,7 @@ CTES: dict[str, str] = {
           value * 0.0625 AS roll_168h_std,
           CASE WHEN event_id % 23 = 0 THEN 2 ELSE event_id % 2 END AS drift_flag, hour AS prediction_time
         FROM ev""",
-    "req_checked": """SELECT *, array_to_string(list_filter([
+    "req_checked": """SELECT *, concat_ws('; ',
           CASE WHEN pollutant NOT IN ('pm25', 'no2', 'ozone') THEN 'pollutant: not one of pm25, no2, ozone' END,
           CASE WHEN model NOT IN ('GradientBoosting', 'RandomForest') THEN 'model: not one of GradientBoosting, RandomForest' END,
           CASE WHEN latitude NOT BETWEEN -90 AND 90 THEN 'station.latitude: required, between -90 and 90' END,
@@ -251,7 +251,7 @@ CTES: dict[str, str] = {
           CASE WHEN lag_1h IS NULL THEN 'readings.lag_1h: required' END,
           CASE WHEN lag_24h IS NULL THEN 'readings.lag_24h: required' END,
           CASE WHEN drift_flag NOT IN (0, 1) THEN 'readings.drift_flag: must be 0 or 1' END
-        ], x -> x IS NOT NULL), '; ') AS errors FROM req""",
+        ) AS errors FROM req""",
 }
 
 _NAMES = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b", re.IGNORECASE)

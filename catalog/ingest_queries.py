@@ -265,15 +265,15 @@ def _(spark, sf):
 OPTIONAL = ("lag_168h", "roll_24h_mean", "roll_24h_std")
 
 
-@register("missing_features", f"""SELECT request_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in OPTIONAL)},
-    'temperature_2m', 'wind_speed_10m', 'relative_humidity_2m'], x -> x IS NOT NULL), ', ') AS missing_features FROM {OK} WHERE used = 'RandomForest'""")
+@register("missing_features", f"""SELECT request_id, concat_ws(', ', {', '.join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in OPTIONAL)},
+    'temperature_2m', 'wind_speed_10m', 'relative_humidity_2m') AS missing_features FROM {OK} WHERE used = 'RandomForest'""")
 def _(spark, sf):
     refused = R.reject_missing(assembled(spark, sf))[1]
     return refused.select("request_id", F.array_join("missing_features", ", ").alias("missing_features"))
 
 
-@register("essential_lag_guard", """SELECT request_id, array_to_string(list_filter([CASE WHEN lag_1h IS NULL THEN 'lag_1h' END,
-    CASE WHEN lag_24h IS NULL THEN 'lag_24h' END], x -> x IS NOT NULL), ', ') AS missing_required FROM req WHERE lag_1h IS NULL OR lag_24h IS NULL""")
+@register("essential_lag_guard", """SELECT request_id, concat_ws(', ', CASE WHEN lag_1h IS NULL THEN 'lag_1h' END,
+    CASE WHEN lag_24h IS NULL THEN 'lag_24h' END) AS missing_required FROM req WHERE lag_1h IS NULL OR lag_24h IS NULL""")
 def _(spark, sf):
     refused = R.essential_lag_guard(R.assemble_features(A.scoring_requests(spark, sf)))[1]
     return refused.select("request_id", F.array_join("missing_required", ", ").alias("missing_required"))
