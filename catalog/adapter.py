@@ -14,7 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their station number and hour."""
-    return table(spark, sf_dir, "events").select(
+    return with_station(table(spark, sf_dir, "events"))
+
+
+def with_station(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "event_id", "user_id", "event_type", "value",
         F.col("ts").cast("timestamp").alias("ts"),
         F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"),
@@ -53,13 +57,18 @@ def nation_key() -> Column:
 
 def raw_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw measurement row per event."""
-    rows = events(spark, sf_dir).withColumn("nk", nation_key())
+    return raw_rows(events(spark, sf_dir), nations(spark, sf_dir))
+
+
+def raw_rows(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The same for any rows of events, a stream included."""
+    rows = rows.withColumn("nk", nation_key())
     measured = (
         F.when(_every(211), F.lit(-5.0)).when(_every(307), F.lit(9999.0))
         .when(F.col("event_type") == "purchase", F.col("value") / 1000).otherwise(F.col("value"))
     )
     local = F.col("hour") - F.expr("interval 5 hours")
-    return rows.join(F.broadcast(nations(spark, sf_dir)), "nk").select(
+    return rows.join(F.broadcast(places), "nk").select(
         "event_id",
         (F.col("st") % 50 + 1).cast("string").alias("state_code"),
         (F.col("st") % 7 + 1).cast("string").alias("county_code"),
