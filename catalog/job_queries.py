@@ -141,14 +141,13 @@ def _(spark, sf):
         (F.unix_seconds(F.min("timestamp_utc")) + F.unix_seconds(F.max("timestamp_utc"))) / 2 / 3600) * 3600).alias("middle"))
     # One row.
     split = rows.join(F.broadcast(middle))
-    path = scratch_dir(spark, "arrivals")
-    late, first = F.col("timestamp_utc") < F.col("middle"), F.col("pollutant") == "pm25"
-    # A batch is filtered by the watermark of the batch before it, so two on-time arrivals come first.
-    for arrival in (~late & first, ~late & ~first, late):
-        split.filter(arrival).drop("middle").coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.read_stream(spark, path, rows.schema, files_per_trigger=1)
-    hours = spark.read.parquet(landed(spark, jobs.hourly_means(stream), "late"))
-    return hours.groupBy("station_id", "pollutant").agg(F.count(F.lit(1)).alias("hours"), F.sum("readings").alias("readings"))
+    path, out, state = (scratch_dir(spark, label) for label in ("arrivals", "late", "late-state"))
+    for late in (False, True):
+        arrival = split.filter((F.col("timestamp_utc") < F.col("middle")) == late).drop("middle")
+        arrival.write.mode("append").parquet(path)
+        jobs.run(jobs.to_table(jobs.hourly_means(jobs.read_stream(spark, path, rows.schema)), out, state))
+    return spark.read.parquet(out).groupBy("station_id", "pollutant").agg(
+        F.count(F.lit(1)).alias("hours"), F.sum("readings").alias("readings"))
 
 
 def live_stream(spark, sf):

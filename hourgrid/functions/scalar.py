@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourgrid import constants as C
 
@@ -30,6 +31,13 @@ def not_nan(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
+def parse_json(column: Column | str, schema: T.StructType) -> Column:
+    """The parsed document, null where the text cannot be read as one."""
+    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json(column, full, {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.when(parsed["_corrupt"].isNull(), parsed)
+
+
 def round_even(column: Column, digits: int) -> Column:
     """Scale, round half to even, scale back: the rounding of array libraries."""
     factor = float(10 ** digits)

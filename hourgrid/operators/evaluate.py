@@ -168,8 +168,12 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ("pollutant",),
     """Rank correlation with a two-sided p value; null below ``min_n`` rows or without spread."""
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = known.select(*by, average_rank(x, by).alias("_x"), average_rank(y, by).alias("_y"))
-    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("_rho"))
-    rho = F.when(F.col("n") >= min_n, S.not_nan(F.col("_rho")))
+    # ``corr`` itself raises an error where a side has no spread.
+    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
+    sums = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_x", "_y"), spread).alias("_rho")
+    )
+    rho = F.when(F.col("n") >= min_n, F.col("_rho"))
     return sums.select(*by, "n", rho.alias("rho")).withColumn(
         "p_value", correlation_p_value(F.col("rho"), F.col("n").cast("double"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hourgrid import constants as C
 from hourgrid import schemas
+from hourgrid.functions import scalar as S
 
 
 def classify_envelope(payloads: DataFrame, payload: str = "payload") -> DataFrame:
@@ -27,9 +28,10 @@ def classify_envelope(payloads: DataFrame, payload: str = "payload") -> DataFram
         F.when(F.col("_e").isNull(), F.lit("error"))
         .when(status == "Success", F.lit("success")).when(quiet, F.lit("no data")).otherwise(F.lit("error"))
     )
-    parsed = payloads.withColumn("_e", F.from_json(payload, schemas.ENVELOPE))
+    parsed = payloads.withColumn("_e", S.parse_json(payload, schemas.ENVELOPE))
     return parsed.withColumns({
-        "outcome": outcome, "message": F.when(outcome != "success", F.coalesce(message, F.lit("unreadable"))),
+        "outcome": outcome,
+        "message": F.when(F.col("_e").isNull(), F.lit("unreadable payload")).when(outcome != "success", message),
         "_rows": F.when(outcome == "success", F.col("_e.Data")),
     }).drop("_e")
 

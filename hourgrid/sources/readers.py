@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,13 +12,31 @@ from pyspark.sql import types as T
 from hourgrid import schemas
 
 
+# A parquet file without columns holds nothing but a footer; no such footer is larger than this.
+BLANK_FILE_BYTES = 16_384
+
+
+@F.pandas_udf(T.BooleanType())
+def _is_blank(content: pd.Series) -> pd.Series:
+    return content.map(lambda body: pq.ParquetFile(pa.BufferReader(body)).metadata.num_columns == 0)
+
+
 def scan_chunks(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_LONG) -> DataFrame:
-    """Many chunk files as one table.
+    """Many chunk files as one table; columns a chunk lacks are null.
 
-    The schema is given, since chunks of requests without data are written without any column; such
-    files and missing columns read as no rows and nulls.
+    Chunks of requests without data are parquet files without any column, which the parquet reader does
+    not accept. They are found among the smallest files by their footers and left out; a file that is
+    damaged in any other way still fails the scan.
     """
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    blank = files.filter(F.col("length") < BLANK_FILE_BYTES).filter(_is_blank("content")).select("path")
+    blank_paths = {row["path"] for row in blank.collect()}
+    reader = spark.read.schema(schema)
+    if not blank_paths:
+        return reader.option("recursiveFileLookup", "true").parquet(path)
+    # File names only; the session lists them anyway to plan the scan.
+    kept = [row["path"] for row in files.select("path").collect() if row["path"] not in blank_paths]
+    return reader.parquet(*kept) if kept else spark.createDataFrame([], schema)
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
