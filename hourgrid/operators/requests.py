@@ -71,7 +71,8 @@ def missing_names(columns=C.FEATURES) -> Column:
 
 def reject_missing(assembled: DataFrame, models: tuple[str, ...] = ("RandomForest",)) -> tuple[DataFrame, DataFrame]:
     """Rows a model that takes no nulls can score, and the rest with the names of what is missing."""
-    checked = assembled.withColumn("missing_features", missing_names())
+    known = "missing_features" in assembled.columns
+    checked = assembled if known else assembled.withColumn("missing_features", missing_names())
     refused = F.col("model").isin(*models) & (F.size("missing_features") > 0)
     return checked.filter(~refused).drop("missing_features"), checked.filter(refused)
 

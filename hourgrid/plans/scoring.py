@@ -13,6 +13,7 @@ from hourgrid import constants as C
 from hourgrid.functions import scalar as S
 from hourgrid.operators import live
 from hourgrid.operators import requests as R
+from hourgrid.plans.staging import staged
 
 Models = Mapping[tuple[str, str], PipelineModel]
 
@@ -44,7 +45,9 @@ def apply_models(rows: DataFrame, models: Models) -> DataFrame:
 def batch_predict(requests: DataFrame, models: Models, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Responses of the scorable requests, and rejected requests with their reasons."""
     valid, invalid = R.validate_requests(requests)
-    scorable, incomplete = R.reject_missing(R.assemble_features(valid))
+    # Every model reads its own part, so the assembled rows are written once.
+    assembled = staged(R.assemble_features(valid).withColumn("missing_features", R.missing_names()), "assembled")
+    scorable, incomplete = R.reject_missing(assembled)
     scored = attach_metrics(apply_models(scorable, models), metrics)
     responses = scored.select(
         "request_id", "pollutant", S.unit_label(F.col("pollutant")).alias("unit"),
@@ -60,7 +63,10 @@ def batch_predict(requests: DataFrame, models: Models, metrics: DataFrame) -> tu
 
 
 def live_predict(features: DataFrame, models: Models, metrics: DataFrame) -> DataFrame:
-    """Response records with nested sources for the live features whose status is ``ok``."""
+    """Response records with nested sources for the live features whose status is ``ok``.
+
+    Every model reads ``features``: hand in a stored table (``staged``).
+    """
     ready = features.filter(F.col("status") == "ok").withColumn("model", F.lit(C.REQUEST_MODELS[0]))
     scored = attach_metrics(apply_models(ready, models), metrics)
     counts = live.provenance_counts(scored).select("request_id", F.struct("live", "derived", "unavailable", "assumed", "total").alias("feature_summary"))
