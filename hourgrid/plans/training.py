@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -52,15 +53,23 @@ def _preparation(features: Sequence[str]) -> list:
     ]
 
 
-def _target_scale(train: DataFrame) -> tuple[float, float]:
-    row = train.agg(F.avg("target").alias("m"), F.stddev_pop("target").alias("s")).first()
-    return float(row["m"]), float(row["s"] or 1.0) or 1.0
+def _target_scale(train: DataFrame) -> tuple[float, float, int]:
+    row = train.agg(F.avg("target").alias("m"), F.stddev_pop("target").alias("s"), F.count("target").alias("n")).first()
+    return float(row["m"]), float(row["s"] or 1.0) or 1.0, row["n"]
+
+
+# Trees run one small job per level; a task with fewer rows than this is mostly overhead.
+ROWS_PER_TASK = 100_000
 
 
 def fit(train: DataFrame, learner, features: Sequence[str]) -> PipelineModel:
-    """Fit on a standardised target, so that one step size suits every unit; ``forecast`` is unscaled."""
-    mean, scale = _target_scale(train)
+    """Fit on a standardised target, so that one step size suits every unit; ``forecast`` is unscaled.
+
+    Large inputs keep their partitions; small ones are merged to fit the many short jobs of the learner.
+    """
+    mean, scale, n = _target_scale(train)
     rows = train.filter(F.col("target").isNotNull()).withColumn("_label", (F.col("target") - mean) / scale)
+    rows = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
     learner = learner.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_scaled")
     helpers = ", ".join(["_features", "_scaled", *(f"_{k}_{c}" for c in features for k in ("x", "i", "missing"))])
     unscale = SQLTransformer(

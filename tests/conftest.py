@@ -14,7 +14,7 @@ from hourgrid.session import get_session  # noqa: E402
 def spark():
     session = get_session(
         "tests", "local[4]", **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false",
         }
     )
