@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog import adapter as A
-from catalog.ctes import BASE, P, READINGS, W, each, fields, station, text_time
+from catalog.ctes import P, each, fields, station, text_time
 from catalog.registry import register
 from catalog.snap import sql as snap
-from hourgrid import constants as C
-from hourgrid.functions import scalar as S
 from hourgrid.operators import cleaning, quality
 
 KEYS = f"station_id, {text_time('timestamp_utc')}"

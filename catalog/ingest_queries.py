@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from catalog import adapter as A
-from catalog.cleaning_queries import KEYS, clean, wide
-from catalog.ctes import CALENDAR, P, READINGS, calendar, each, fields, station, text_time
-from catalog.feature_queries import DAILY, MEANS
+from catalog.cleaning_queries import clean
+from catalog.ctes import CALENDAR, READINGS, calendar, fields, text_time
+from catalog.feature_queries import DAILY
 from catalog.registry import register
 from catalog.snap import sql as snap
 from hourgrid import constants as C
 from hourgrid import schemas
 from hourgrid.functions import scalar as S
-from hourgrid.operators import cleaning, evaluate, exports, ingest, live, quality, weather
+from hourgrid.operators import cleaning, exports, ingest, live, quality, weather
 from hourgrid.operators import requests as R
 from hourgrid.plans.staging import staged
 from hourgrid.session import scratch_dir

@@ -139,8 +139,8 @@ def _(spark, sf):
     rows = staged(cleaning.measurements(A.raw_long(spark, sf)).select("station_id", "pollutant", "timestamp_utc", "value"), "readings")
     middle = rows.agg(F.timestamp_seconds(F.floor(
         (F.unix_seconds(F.min("timestamp_utc")) + F.unix_seconds(F.max("timestamp_utc"))) / 2 / 3600) * 3600).alias("middle"))
-    # One row.
-    split = rows.join(F.broadcast(middle))
+    # The middle is one row.
+    split = rows.withColumn("_one", F.lit(1)).join(F.broadcast(middle.withColumn("_one", F.lit(1))), "_one").drop("_one")
     path, out, state = (scratch_dir(spark, label) for label in ("arrivals", "late", "late-state"))
     for late in (False, True):
         arrival = split.filter((F.col("timestamp_utc") < F.col("middle")) == late).drop("middle")

@@ -3,7 +3,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from hourgrid import constants as C
 from hourgrid.operators import cleaning, quality

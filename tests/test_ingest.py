@@ -4,7 +4,6 @@ import datetime as dt
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from hourgrid import schemas
 from hourgrid.operators import ingest

@@ -5,10 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from hourgrid import constants as C
-from hourgrid.operators import evaluate, features
+from hourgrid.operators import features
 from hourgrid.plans import arima, scoring, training
 from hourgrid.plans.staging import staged
 from hourgrid.streaming import jobs
