@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, classifier, ngram_join, packing, secrets
+from llm import bpe, classifier, html_extract, metric_join, ngram_join, packing, posting_lists, secrets, sharding, warc
+from llm.common import scratch
 
 QUERIES, SQL = {}, {}
 
@@ -30,11 +31,51 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@register("op1_tag_path_ratios")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@register("op2_metric_range_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.range_join(table(spark, sf_dir, "embeddings"))
+
+
+@register("op3_hypergeometric_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffle_to_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    return dealt.select(
+        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op4_balanced_posting_lists")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return posting_lists.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 @register("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@register("op6_warc_source", """
+    WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+    d AS (SELECT page_id, url, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+    m AS (SELECT payload_digest, max(page_id) AS first FROM d GROUP BY 1)
+    SELECT page_id, url, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 1000 AND page_id != first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id != first THEN first END AS refers_to
+    FROM d JOIN m USING (payload_digest)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(spark, path).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op7_bpe_speculate_verify")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
