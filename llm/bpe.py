@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain, pairwise
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Code points whose classes do not depend on the version of the Unicode tables; others go by the library's own split.
 _STABLE = regex.compile("[\u0000-Ֆ֐-׿ऄ-ह‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-龥가-힣]*")
-_CACHED = 500_000
+_CACHED = 400_000
 _NONE = np.int64(1) << 40
 _FAR = 1 << 40
 
@@ -61,6 +62,7 @@ class Vocabulary:
             self.bytes[n] = token
         for text, n in self.special.items():
             self.bytes[n] = text.encode()
+        self._objects = np.array(self.bytes, object)
         self.left, self.right = np.full(top, -1), np.full(top, -1)
         pairs = []
         for one, two in merges:
@@ -193,7 +195,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of token ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(self._objects[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
@@ -207,17 +209,17 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, cached: int = _CACHED):
         self.vocab, self.cached, self.known = vocab, cached, {}
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text. Words are kept as the bytes of their ids, which join without a look at each."""
         if len(self.known) > self.cached:
             self.known = {}
         if not self.known:
-            self.known = {text: [n] for text, n in self.vocab.special.items()}
+            self.known = {text: np.int32(n).tobytes() for text, n in self.vocab.special.items()}
         split = [self.vocab.pieces(t) for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known)) if split else []
-        known.update(zip(new, self.vocab.encode_words(new), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.vocab.encode_words(new), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32) for pieces in split]
 
 
 @functools.lru_cache(maxsize=4)
@@ -244,7 +246,7 @@ def _encoded(path: str, at: int):
         for batch in batches:
             ids = []
             for texts in batches_of_texts([t or "" for t in batch.column(at).to_pylist()]):
-                ids += [np.array(x, np.int32) for x in encoder(path).encode_batch(texts)]
+                ids += encoder(path).encode_batch(texts)
             yield pa.record_batch([*batch.columns, pa.array(ids, pa.list_(pa.int32()))],
                                   names=[*batch.schema.names, "_ids"])
 
@@ -275,7 +277,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         vocab = vocabulary(path)
         for batch in batches:
             flat = batch.column(at)
-            text = [vocab.decode(x.values.to_pylist() if x.is_valid else ()) for x in flat]
+            text = [vocab.decode(x.values.to_numpy() if x.is_valid else ()) for x in flat]
             yield pa.record_batch([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "_text"])
 
     inner = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)])
