@@ -64,7 +64,10 @@ def neighbour_graph(centre: np.ndarray, degree: int = DEGREE) -> np.ndarray:
         near = centre[i:i + 1024] @ centre.T
         near[np.arange(len(near)), np.arange(i, i + len(near))] = -2
         out[i:i + 1024, 2:] = np.argsort(-near, axis=1, kind="stable")[:, :out.shape[1] - 2]
-    out[:, 0], out[:, 1] = (np.arange(n) + 1) % n, (np.arange(n) - 1) % n
+    own = np.arange(n)
+    # A neighbour that is listed already gives way to the centroid itself, which a search has always seen.
+    for k, ring in enumerate(((own + 1) % n, (own - 1) % n)):
+        out[:, k] = np.where((out[:, 2:] == ring[:, None]).any(1) | (k == 1) & (out[:, 0] == ring), own, ring)
     return out
 
 
@@ -132,18 +135,25 @@ def fit(rows: DataFrame, total: int, per_list: int = LIST, sample: int = SAMPLE)
     return Index(centre, neighbour_graph(centre))
 
 
-def _lists(shared, ratio, every):
-    """(list, id, vector) rows: of the index, or of queries."""
+def visited(ids: np.ndarray, cos: np.ndarray, ratio: float, sizes: np.ndarray, need: int) -> list[np.ndarray]:
+    """Lists of each query: those within the ratio, and on to the next ones until they hold enough entries."""
+    far = _distance(cos)
+    held = np.cumsum(np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0), axis=1)
+    before = np.concatenate((np.zeros((len(ids), 1), held.dtype), held[:, :-1]), axis=1)
+    keep = (ids >= 0) & ((far <= ratio * far[:, :1] + 1e-12) | (before < need))
+    return [r[k].astype(np.int32) for r, k in zip(ids, keep, strict=True)]
+
+
+def _lists(shared, ratio=0.0, sizes=None, need=0):
+    """(list, id, vector) rows: of the index, or of queries if the lists' sizes are given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
                 x = unit(matrix(part.column(1)))
-                if every:
-                    ids, cos = search_graph(index, x, len(index.centroids))
-                    far = _distance(cos)
-                    found = [r[(r >= 0) & (d <= ratio * d[0] + 1e-12)] for r, d in zip(ids, far, strict=True)]
+                if sizes is not None:
+                    found = visited(*search_graph(index, x, len(index.centroids)), ratio, sizes, need)
                 else:
                     found = replicas(index, x)
                 row = np.repeat(np.arange(len(x)), [len(f) for f in found])
@@ -262,8 +272,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, ratio: float =
     entries = rows.select("id", "vector").mapInArrow(_few(k + 1), "ids array<long>, vector array<double>").groupBy("vector").agg(
         F.flatten(F.collect_list("ids")).alias("ids"))
     entries = entries.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids")).withColumn("id", F.col("ids")[0])
-    lists = stage(entries.select("id", "vector", "ids").mapInArrow(_lists(index, ratio, False), "list int, id long, vector array<double>, ids array<long>"), "lists")
-    wanted = stage(asked.mapInArrow(_lists(index, ratio, True), "list int, id long, vector array<double>"), "queries")
+    lists = stage(entries.select("id", "vector", "ids").mapInArrow(_lists(index), "list int, id long, vector array<double>, ids array<long>"), "lists")
+    held = np.zeros(len(index.value.centroids), np.int64)
+    for row in lists.groupBy("list").count().collect():  # CENTROIDS rows at most
+        held[row["list"]] = row["count"]
+    # An entry may be in REPLICAS lists, so these hold k entries besides the query's own.
+    wanted = stage(asked.mapInArrow(_lists(index, ratio, held, REPLICAS * (k + 1)), "list int, id long, vector array<double>"), "queries")
 
     # Tiles of list chunk and query part, from the sizes of lists: a row each for at most CENTROIDS lists.
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_c")).join(
