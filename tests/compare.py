@@ -25,7 +25,7 @@ def duck(sf_dir: str):
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or str(value) in ("<NA>", "NaT") or (isinstance(value, float) and math.isnan(value)):
         return None
     if hasattr(value, "item"):
         value = value.item()
