@@ -30,6 +30,8 @@ from llm.shingles import hashed
 
 PERCENT = 80
 BLOCK = 2048
+#: Least bits of a bitmap for each shingle; at 2 a pair that shares less than 0.78 fails the bound, as a rule.
+BITS = 2
 FREQUENT = 1 << 19
 
 
@@ -39,8 +41,8 @@ def prefix_length(n: np.ndarray | int):
 
 
 def bitmap_bits(n: int) -> int:
-    """A power of two near half the set's size, so one band of sizes has one or two widths."""
-    return max(64, 1 << max(0, math.ceil(math.log2(max(n, 1) / 2))))
+    """A power of two of one to two bits a shingle and more, so one band of sizes has one or two widths."""
+    return max(64, 1 << math.ceil(math.log2(max(n, 1) * BITS)))
 
 
 def parity_bitmap(shingles: np.ndarray) -> bytes:
@@ -195,10 +197,30 @@ def _partners(tile, n, comp, block, alone, bitmaps):
             overlap = (total - differ) // 2
             ok = 100 * overlap >= PERCENT * (total - overlap)
             if ok.any():
-                yield x[ok], y[ok]
+                yield x[ok], y[ok], differ[ok] / total[ok]
         step += 1
 
 
+def _best(survivors, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the earlier partner that differs least; for a row without any pair so far, the later one.
+
+    Where all rows of a tile link, these pairs connect them all.
+    """
+    to = np.full((2, rows), -1)
+    least = np.full((2, rows), np.inf)
+    for i, j, differ in survivors:
+        for side, (x, y) in enumerate(((j, i), (i, j))):
+            better = differ < least[side][x]
+            to[side][x[better]] = y[better]
+            least[side][x[better]] = differ[better]
+    j = np.flatnonzero(to[0] >= 0)
+    i = to[0][j]
+    alone = to[1] >= 0
+    alone[i] = alone[j] = False
+    more = np.flatnonzero(alone)
+    return np.concatenate((i, more)), np.concatenate((j, to[1][more]))
+
+
 _TILE = ("key", "low", "high")
 
 
@@ -212,13 +234,14 @@ def _tiles(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Record
         key, low, high, block, rep, n, comp = (table.column(c).to_numpy() for c in (*_TILE, "block", "rep", "n", "comp"))
         new = np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
         tile = np.cumsum(new)
-        done = np.zeros(len(n), bool)
         a, b = [rep[:0]], [rep[:0]]
-        for i, j in _partners(tile, n, comp, block, low == high, table.column("bitmap").to_pylist()):
-            if not every:
-                fresh = ~done[i] | ~done[j]
-                i, j = i[fresh], j[fresh]
-                done[i] = done[j] = True
+        survivors = _partners(tile, n, comp, block, low == high, table.column("bitmap").to_pylist())
+        if every:
+            for i, j, _ in survivors:
+                a.append(rep[i])
+                b.append(rep[j])
+        else:
+            i, j = _best(survivors, len(n))
             a.append(rep[i])
             b.append(rep[j])
         a, b = np.concatenate(a), np.concatenate(b)
