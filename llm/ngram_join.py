@@ -30,8 +30,10 @@ from llm.shingles import hashed
 
 PERCENT = 80
 BLOCK = 2048
-#: Least bits of a bitmap for each shingle; at 2 a pair that shares less than 0.78 fails the bound, as a rule.
-BITS = 2
+#: Least bits of a bitmap for each shingle; at 1 a pair that shares less than 0.74 fails the bound, as a rule.
+BITS = 1
+#: Bits of the filter on ids that spares the texts that are in no pair; its size does not depend on the input.
+FILTER = 1 << 22
 FREQUENT = 1 << 19
 
 
@@ -282,16 +284,30 @@ def _candidates(rows: DataFrame, marks: DataFrame, every: bool) -> DataFrame:
 
 # -- verification -----------------------------------------------------------------------------------------
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted shingle arrays of the texts whose words are those of their class."""
-    for batch in batches:
-        wanted, rep = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-        ids, sets = [], []
-        for r, mark, (words, shingles) in zip(rep, wanted, hashed(batch.column(2)), strict=True):
-            if _digest(words) == mark:
-                ids.append(r)
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Which of ``FILTER`` remainders the ids leave; ORed in 64-bit words before they reach the driver."""
+    rest = F.pmod(F.col("id"), F.lit(FILTER))
+    words = ids.select(F.floor(rest / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(id, {FILTER}) % 64 AS int))").alias("b"))
+    out = np.zeros(FILTER // 64, np.int64)
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[row["w"]] = row["b"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _sets(shared):
+    """Id, digest and sorted shingle array of each text that passes the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy()
+            batch = batch.filter(pa.array(wanted[np.mod(ids, FILTER)] & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            marks, sets = [], []
+            for words, shingles in hashed(batch.column(1)):
+                marks.append(_digest(words))
                 sets.append(shingles.tobytes())
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            yield pa.record_batch([batch.column(0), pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +345,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _profiles(frequent), _PROFILE), "profiles")
 
     # A class of equal word sequences goes by the uid of one row that carries its prefix and bitmap.
-    members = profile.where("digest IS NOT NULL AND id IS NOT NULL")
-    classes = members.groupBy("digest").agg(
+    slim = stage(profile.select("id", "n", "digest"), "members")
+    members = slim.where("digest IS NOT NULL AND id IS NOT NULL")
+    classes = profile.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("least"), F.min(F.when(F.col("keys").isNotNull(), F.col("uid"))).alias("uid"))
     classes = stage(classes.withColumnRenamed("uid", "rep"), "classes")
     rich = profile.where("keys IS NOT NULL").join(
@@ -338,12 +355,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = stage(rich.select("rep", "id", "digest", "n", "bitmap"), "bitmaps")
     keyed = rich.select(F.explode("keys").alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
     shared = stage(keyed.mapInArrow(_runs, "key long, rep long"), "runs")
+    drop_staged(profile)
 
     first = stage(_candidates(shared.withColumn("comp", F.col("rep")), marks, False), "pairs")
     paired = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
-    wanted = marks.join(paired, "rep", "left_semi").select(F.col("id").alias("_id"), "rep", "digest")
-    sets = stage(source.join(wanted, source["id"] == wanted["_id"]).select("rep", "digest", "text").mapInArrow(
-        _sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    wanted = stage(marks.join(paired, "rep", "left_semi").select("id", "digest", "rep"), "wanted")
+    passing = spark.sparkContext.broadcast(_id_filter(wanted))
+    sets = source.mapInArrow(_sets(passing), "id long, digest binary, shingles binary").join(
+        wanted, ["id", "digest"]).select("rep", "shingles")
+    sets = stage(sets.dropDuplicates(["rep"]), "sets")
     links = stage(_links(first, sets), "links")
     groups = components(links, "groups")
 
@@ -358,7 +378,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "digest", "least", F.coalesce("component", "rep").alias("component"))
     label = node.join(node.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(
         "digest", "component_id")
-    return profile.select("id", "n", "digest").join(label, "digest", "left").select(
+    return slim.join(label, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
