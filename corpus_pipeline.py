@@ -17,9 +17,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component; documents without an id stay."""
+    """The document with the least id of each component, once if its row is repeated; rows without an id stay."""
     extra = stage(ngram_join.jaccard_components(docs), "components").where("component_id != doc_id")
-    return docs.join(extra.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+    known = docs.where("doc_id IS NOT NULL").join(extra.select("doc_id").distinct(), "doc_id", "left_anti")
+    return known.select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
