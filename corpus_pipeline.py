@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import classifier, ngram_join, packing, secrets
-from llm.common import scratch, stage
+from llm.common import scratch, small_batches, stage
 from llm.queries import table, tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier gives at least even chances of label 1."""
+    small_batches(spark)
     model = classifier.fit_on_labels(docs, table(spark, sf_dir, "labels"))
     return classifier.score(docs, model, score_col="_score").where("_score >= 0.5").drop("_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component, once if its row is repeated; rows without an id stay."""
+    small_batches(spark)
     extra = stage(ngram_join.jaccard_components(docs), "components").where("component_id != doc_id")
     known = docs.where("doc_id IS NOT NULL").join(extra.select("doc_id").distinct(), "doc_id", "left_anti")
     return known.select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
@@ -25,6 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by a mark and n_chars counted anew."""
+    small_batches(spark)
     found = secrets.scan(docs, spans_col="_spans").withColumn(
         "text", F.when(F.size("_spans") > 0, secrets.redact("text", "_spans")).otherwise(F.col("text")))
     return found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
@@ -32,6 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of at most 1024."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 

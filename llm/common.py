@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of long texts reach Python 2000 at a time, which bounds what a worker and its JVM hold for a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``.
 

@@ -74,7 +74,7 @@ def _locally_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 seen.add(mark)
                 sets.append(shingles)
                 held += len(shingles)
-            if held > 4_000_000:
+            if held > 2_000_000:
                 yield counted(sets)
                 sets, held, seen = [], 0, set()
     if sets:

@@ -9,6 +9,8 @@ of other packs: open bins are items of the next level, 32 packs to one, until on
 from __future__ import annotations
 
 import functools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.bpe import batches_of_texts, is_stable
+from llm.bpe import PATTERN, batches_of_texts, byte_letters, is_stable
 from llm.common import stage
 
 LENGTH = 1024
@@ -71,33 +73,36 @@ class BestFit:
 # -- pieces -----------------------------------------------------------------------------------------------
 
 @functools.lru_cache(maxsize=4)
-def _encoders(path: str):
-    """The tokenizers library's encoder, and a faster one over the same vocabulary for ordinary texts."""
-    import json
-    import os
+def _exact(path: str):
+    """The tokenizers library's encoder."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    import tiktoken
+    return Tokenizer.from_file(path)
 
-    from llm.bpe import PATTERN, byte_letters
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+@functools.lru_cache(maxsize=4)
+def _fast(path: str):
+    """A faster encoder over the same vocabulary, and the special tokens that it does not know."""
+    import tiktoken
 
     letters = byte_letters()
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     ranks = {bytes(letters[c] for c in token): n for token, n in spec["model"]["vocab"].items()}
     special = [t["content"] for t in spec["added_tokens"]]
-    fast = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(path), fast, special
+    return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 def token_ids(path: str, text: str) -> np.ndarray:
-    """Ids as the tokenizers library gives them, without added special tokens."""
-    exact, fast, special = _encoders(path)
+    """Ids as the tokenizers library gives them, without added special tokens.
+
+    Texts with special tokens, or with characters that Unicode tables class differently, go to the library.
+    """
+    fast, special = _fast(path)
     if is_stable(text) and not any(s in text for s in special):
         return fast.encode_to_numpy(text)
-    return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+    return np.array(_exact(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def piece_lengths(n: int, length: int = LENGTH) -> list[int]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import bpe, classifier, html_extract, metric_join, ngram_join, packing, posting_lists, secrets, sharding, warc
-from llm.common import scratch
+from llm.common import scratch, small_batches
 
 QUERIES, SQL = {}, {}
 
@@ -22,6 +22,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

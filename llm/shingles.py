@@ -19,7 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _PLACE = _RNG.integers(0, 2**64, WIDTH, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
