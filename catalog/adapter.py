@@ -1,4 +1,4 @@
-"""The given tables as the tables of the domain (Spark side; ``sql.py`` says the same in SQL)."""
+"""The given tables as the tables of the domain (Spark side; ``ctes.py`` says the same in SQL)."""
 
 from __future__ import annotations
 

@@ -146,15 +146,16 @@ def _(spark, sf):
     return rows.select("event_id", S.clip(F.col("sample_measurement") * 2, F.col("pollutant"), None).alias("value"))
 
 
-_STATES = sorted(s for states in C.CENSUS_REGIONS.values() for s in states) + ["District", "Elsewhere"]
+# Every state name, and two that are in no region, dealt over the customers.
+_REGION_OF = {state: region for region, states in C.CENSUS_REGIONS.items() for state in states}
+_STATES = [*sorted(_REGION_OF), "District", "Elsewhere"]
 
 
-@register("census_region", "SELECT c_custkey, CASE c_custkey % 5 " + " ".join(
-    f"WHEN {i} THEN '{r}'" for i, r in enumerate(("South", "West", "Midwest", "Northeast", "Unknown"))
+@register("census_region", f"SELECT c_custkey, CASE c_custkey % {len(_STATES)} " + " ".join(
+    f"WHEN {i} THEN '{_REGION_OF.get(s, 'Unknown')}'" for i, s in enumerate(_STATES)
 ) + " END AS region FROM customer")
 def _(spark, sf):
-    names = ("Texas", "Nevada", "Ohio", "Maine", "District")
-    state = F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    state = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("c_custkey") % len(_STATES) + 1).cast("int"))
     return A.table(spark, sf, "customer").select("c_custkey", S.census_region(state).alias("region"))
 
 

@@ -189,8 +189,8 @@ def interpolate_gaps(
     trailing gap holds the last value; leading gaps stay. With ``strict`` only gaps of at most ``limit``
     hours between two readings are filled.
     """
-    after = B.block_table(df, columns).drop("_first", "_last")
-    rows = B.spread(df).join(after, ["station_id", "_block"], "left")
+    after = B.block_table(df, columns, limit + 1).drop("_first", "_last")
+    rows = B.spread(df, limit + 1).join(after, ["station_id", "_block"], "left")
     filled = _fill(rows, columns, "{0}_after", limit, strict)
     return B.own(filled.drop(*(f"{c}_after" for c in columns)))
 
@@ -315,8 +315,11 @@ def clean_hourly(
 ) -> DataFrame:
     """Normalise, fill gaps, flag outliers and drift: one shuffle by hour, one by block.
 
-    All windows run on the partitioning that ``dense_blocks`` has made, halo included.
+    All windows run on the partitioning that ``dense_blocks`` has made, halo included, so ``limit`` must lie
+    within the halo; ``interpolate_gaps`` takes any.
     """
+    if limit >= B.HALO_HOURS:
+        raise ValueError(f"limit must be under {B.HALO_HOURS} hours")
     rows = measurements(raw)
     dense = dense_blocks(pivot_hours(rows), station_metadata(rows))
     filled = _fill(dense, C.POLLUTANTS, "_info.{0}_after", limit, strict)

@@ -17,15 +17,15 @@ DAY, WEEK = 24, 168
 
 
 def lags(df: DataFrame, column: str, hours: Sequence[int] = (1, DAY, WEEK)) -> DataFrame:
-    """Values some rows back on a complete hourly grid (at most a week)."""
-    rows = B.spread(df)
+    """Values some rows back on a complete hourly grid."""
+    rows = B.spread(df, max(map(abs, hours), default=0))
     return B.own(rows.select(
         "*", *(F.lag(column, k).over(B.by_hour()).alias(f"lag_{k}h") for k in hours)
     ))
 
 
 def target_lead(df: DataFrame, column: str, horizon: int = C.HORIZON_HOURS) -> DataFrame:
-    rows = B.spread(df)
+    rows = B.spread(df, abs(horizon))
     return B.own(rows.select("*", F.lead(column, horizon).over(B.by_hour()).alias("target")))
 
 

@@ -209,14 +209,14 @@ def range_stats(column: str, hours: int, hour: Column, reference: Column, digits
 def rolling_range_stats(df: DataFrame, column: str, hours: int, digits: int | None = 4) -> DataFrame:
     """Row-wise variant over time rather than rows: ``[t - hours, t)``, from two values on.
 
-    Runs on time blocks like all series windows; ``hours`` is at most a week.
+    Runs on time blocks like all series windows, with a halo of ``hours``.
     """
     seconds = Window.partitionBy(B.KEY, "_block").orderBy("_hour").rangeBetween(-hours, -1)
     enough = F.count(column).over(seconds) >= 2
     mean, deviation = F.avg(column).over(seconds), F.stddev_pop(column).over(seconds)
     if digits is not None:
         mean, deviation = S.round_even(mean, digits), S.round_even(deviation, digits)
-    return B.own(B.spread(df).select(
+    return B.own(B.spread(df, hours).select(
         "*", F.when(enough, mean).alias(f"mean_{hours}h"), F.when(enough, deviation).alias(f"std_{hours}h"),
     ))
 

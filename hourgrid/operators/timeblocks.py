@@ -2,7 +2,7 @@
 
 A station's series is cut into blocks of ``BLOCK_HOURS``. Every window in this package is partitioned
 by ``(station_id, _block)``; rows close to an edge are copied into the neighbouring block (the halo of
-``HALO_HOURS`` on either side), so that any frame up to a week wide sees exactly the rows it would see in
+``HALO_HOURS`` on either side), so that any frame up to the halo's width sees exactly the rows it would see in
 the whole series. After the windows, each row is kept only in the block that owns it. One station may
 therefore hold any share of the data: its blocks are spread over many tasks.
 
@@ -35,11 +35,15 @@ def block_of(hour: Column) -> Column:
     return F.floor(hour / BLOCK_HOURS)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Add ``_hour`` and one row per block whose halo covers it (one block for most rows)."""
+def spread(df: DataFrame, reach: int = HALO_HOURS) -> DataFrame:
+    """Add ``_hour`` and one row per block whose halo covers it (one block for most rows).
+
+    ``reach`` is the widest frame asked for, in hours; the halo is never narrower than ``HALO_HOURS``.
+    """
+    halo = max(HALO_HOURS, reach)
     hour = F.col("_hour")
-    first = F.floor((hour - HALO_HOURS) / BLOCK_HOURS)
-    last = F.floor((hour + HALO_HOURS) / BLOCK_HOURS)
+    first = F.floor((hour - halo) / BLOCK_HOURS)
+    last = F.floor((hour + halo) / BLOCK_HOURS)
     return df.withColumn("_hour", hour_index(F.col(TIME))).withColumn(
         "_block", F.explode(F.sequence(first, last))
     )
@@ -65,16 +69,17 @@ def frame(start: int, end: int) -> str:
     return f"over (partition by {KEY}, _block order by _hour rows between {edge(start)} and {edge(end)})"
 
 
-def block_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def block_table(df: DataFrame, columns: Sequence[str], reach: int = HALO_HOURS) -> DataFrame:
     """One row per station and block of the station's range, with what a block cannot see by itself.
 
     Result: ``station_id, _block``, the first and last hour of the series (``_first``, ``_last``) and for
-    each column ``<column>_after`` = struct(hour, value), its first reading beyond the block's halo.
+    each column ``<column>_after`` = struct(hour, value), its first reading beyond the block's halo for
+    frames of ``reach`` hours.
     Rows are reduced to one per station and block before the windows, which run over blocks only.
     """
     hour = hour_index(F.col(TIME))
     # A row serves the blocks up to the last one whose halo ends before it.
-    serves = F.floor((hour - HALO_HOURS) / BLOCK_HOURS) - 1
+    serves = F.floor((hour - max(HALO_HOURS, reach)) / BLOCK_HOURS) - 1
     seen = df.select(KEY, serves.alias("_serves"), hour.alias("_hour"), *columns)
     firsts = seen.groupBy(KEY, "_serves").agg(
         F.min("_hour").alias("_min"), F.max("_hour").alias("_max"),

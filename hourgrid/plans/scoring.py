@@ -21,7 +21,7 @@ Models = Mapping[tuple[str, str], PipelineModel]
 def attach_metrics(rows: DataFrame, metrics: DataFrame) -> DataFrame:
     """Test metrics of the model used; the metrics table has one row per pollutant and model."""
     side = metrics.select("pollutant", "model", F.struct("mae", "rmse", "r2", "n_test").alias("model_metrics"))
-    return rows.join(F.broadcast(side), ["pollutant", "model"], "left")
+    return rows.join(side, ["pollutant", "model"], "left")
 
 
 def model_inventory(metrics: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,14 +28,12 @@ def get_session(app: str = "hourgrid", master: str | None = None, **conf: str) -
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name for intermediate tables.
 
-    The cluster names a folder that all executors share in ``spark.checkpoint.dir``; only where that
-    is unset, as in local tests, a temporary folder of this machine is used.
+    The cluster names a folder that all executors share in ``spark.checkpoint.dir``; where that is unset,
+    a folder below the warehouse takes its place, which all executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), f"hourgrid-{os.getpid()}")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_hourgrid"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 

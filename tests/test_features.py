@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourgrid import constants as C
 from hourgrid.functions import scalar as S
-from hourgrid.operators import features, weather
+from hourgrid.operators import cleaning, features, live, weather
 from hourgrid.operators import timeblocks as B
 from tests.helpers import START, clean_frame, pulled, series, to_spark
 
@@ -98,6 +98,29 @@ def test_series_features_match_an_array_library_across_blocks(spark, gaps):
         assert np.allclose(out[name], expected, equal_nan=True, atol=1e-9), name
 
 
+def test_frames_wider_than_a_week_see_all_their_rows(spark):
+    n = 2 * B.BLOCK_HOURS + 700
+    values = series(n, 3, 0.3)
+    frame = pd.DataFrame({"station_id": "S", "timestamp_utc": pd.date_range(START, periods=n, freq="h"), "v": values})
+    s, df = pd.Series(values), to_spark(spark, frame)
+    assert np.allclose(pulled(features.lags(df, "v", (720,)))["lag_720h"], s.shift(720), equal_nan=True)
+    assert np.allclose(pulled(features.target_lead(df, "v", 720))["target"], s.shift(-720), equal_nan=True)
+    out = pulled(live.rolling_range_stats(df, "v", 720, None))
+    assert np.allclose(out["mean_720h"], s.shift(1).rolling(720, min_periods=2).mean(), equal_nan=True, atol=1e-9)
+
+
+@pytest.mark.parametrize("where", [500, B.BLOCK_HOURS - 200, B.BLOCK_HOURS - 600])
+def test_long_fills_cross_block_edges(spark, where):
+    n = 2 * B.BLOCK_HOURS
+    values = np.arange(n, dtype=float)
+    values[where:where + 900] = np.nan
+    frame = pd.DataFrame({"station_id": "S", "timestamp_utc": pd.date_range(START, periods=n, freq="h"), "v": values})
+    out = pulled(cleaning.interpolate_gaps(to_spark(spark, frame), ["v"], limit=400))
+    want = pd.Series(np.arange(n, dtype=float))
+    want[where + 400:where + 900] = np.nan
+    assert np.allclose(out["v"], want, equal_nan=True)
+
+
 def test_fill_both_ways_across_blocks(spark):
     n = 2 * B.BLOCK_HOURS + 100
     values = series(n, 9, 0.9995)
