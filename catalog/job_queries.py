@@ -150,10 +150,21 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("hours"), F.sum("readings").alias("readings"))
 
 
-def live_stream(spark, sf):
-    hourly = landed(spark, jobs.hourly_means(measurement_stream(spark, sf)), "hourly")
-    schema = "station_id string, pollutant string, timestamp_utc timestamp, value double, readings long"
-    return jobs.live_features(jobs.read_stream(spark, hourly, schema))
+ARRIVALS = 3
+
+
+def live_arrivals(spark, sf, label, sink):
+    """Hourly means arrive in ``ARRIVALS`` spans of time, one run of the stream after each; returns the sink's path."""
+    hourly = spark.read.schema("station_id string, pollutant string, timestamp_utc timestamp, value double, readings long").parquet(
+        landed(spark, jobs.hourly_means(measurement_stream(spark, sf)), "hourly"))
+    seconds = F.unix_seconds("timestamp_utc")
+    first, last = hourly.agg(F.min(seconds), F.max(seconds)).first()
+    path, out, state = (scratch_dir(spark, name) for name in ("arrivals", label, f"{label}-state"))
+    for k in range(ARRIVALS):
+        arrival = F.floor((seconds - (first or 0)) * ARRIVALS / ((last or 0) - (first or 0) + 1)) == k
+        hourly.filter(arrival).write.mode("append").parquet(path)
+        jobs.run(sink(jobs.live_features(jobs.read_stream(spark, path, hourly.schema)), out, state))
+    return out
 
 
 _SERIES = "PARTITION BY station_id, pollutant ORDER BY timestamp_utc"
@@ -164,13 +175,13 @@ _SERIES = "PARTITION BY station_id, pollutant ORDER BY timestamp_utc"
     + ", ".join(f"CASE WHEN count(value) OVER w{w} >= 2 THEN {f}(value) OVER w{w} END AS roll_{w}h_{n}" for w in (24, 168) for f, n in (("avg", "mean"), ("stddev_pop", "std")))
     + f" FROM ({HOURLY}) WINDOW " + ", ".join(f"w{w} AS ({_SERIES} RANGE BETWEEN INTERVAL {w} HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING)" for w in (24, 168)) + ")")
 def _(spark, sf):
-    return spark.read.parquet(landed(spark, live_stream(spark, sf), "live"))
+    return spark.read.parquet(live_arrivals(spark, sf, "live", jobs.to_table))
 
 
 @register("stream_score")
 def _(spark, sf):
     fitted, _ = trained(spark, sf)
     places = staged(cleaning.station_metadata(cleaning.measurements(A.raw_long(spark, sf))), "places")
-    path = scratch_dir(spark, "scores")
-    jobs.run(jobs.to_batches(live_stream(spark, sf), path, scratch_dir(spark, "scores-state"), lambda batch: jobs.scored(batch, places, fitted)))
+    path = live_arrivals(spark, sf, "scores", lambda stream, out, state: jobs.to_batches(
+        stream, out, state, lambda batch: jobs.scored(batch, places, fitted)))
     return spark.read.parquet(path).select("station_id", "pollutant", "timestamp_utc", "target_time", "prediction")

@@ -91,19 +91,21 @@ def station_range(wide: DataFrame) -> DataFrame:
 # -- Complete grid -------------------------------------------------------------------------------
 
 def hourly_grid(ranges: DataFrame) -> DataFrame:
-    """Every hour from first to last per station.
+    """Every hour from first to last per station, in steps from the first reading, whatever its minute.
 
     Ranges are first cut into blocks, which are spread over the cluster before they are expanded.
     """
-    first, last = B.hour_index(F.col("first_hour")), B.hour_index(F.col("last_hour"))
+    offset = B.hour_offset(F.col("first_hour"))
+    first = B.hour_index(F.col("first_hour"))
+    last = F.floor((F.unix_seconds("last_hour") - offset) / 3600)
     blocks = ranges.select(
-        "station_id", first.alias("_first"), last.alias("_last"),
+        "station_id", first.alias("_first"), last.alias("_last"), offset.alias("_offset"),
         F.explode(F.sequence(B.block_of(first), B.block_of(last))).alias("_block"),
     ).repartition("station_id", "_block")
     start = F.greatest(F.col("_first"), F.col("_block") * B.BLOCK_HOURS)
     end = F.least(F.col("_last"), (F.col("_block") + 1) * B.BLOCK_HOURS - 1)
-    hours = blocks.select("station_id", F.explode(F.sequence(start, end)).alias("_hour"))
-    return hours.select("station_id", B.hour_start(F.col("_hour")).alias("timestamp_utc"))
+    hours = blocks.select("station_id", "_offset", F.explode(F.sequence(start, end)).alias("_hour"))
+    return hours.select("station_id", B.hour_start(F.col("_hour"), F.col("_offset")).alias("timestamp_utc"))
 
 
 def grid_join(grid: DataFrame, wide: DataFrame) -> DataFrame:
@@ -119,25 +121,27 @@ def dense_blocks(wide: DataFrame, metadata: DataFrame) -> DataFrame:
     """The complete hourly grid with values and metadata, one shuffle on ``(station_id, _block)``.
 
     Only observed hours and one marker per block are shuffled. Inside its block each row then emits
-    the hours up to the next row, which yields the same rows as joining a prepared grid.
+    the hours up to the next row, which yields the same rows as joining a prepared grid. Readings off the
+    station's grid, at another minute than its first reading, are left out there.
     Result: ``station_id, _block, _hour``, the values, and ``_info`` of the block.
     """
     meta = [c for c in METADATA if c in metadata.columns]
     start = f"greatest(_first, _block * {B.BLOCK_HOURS} - {B.HALO_HOURS})"
     end = f"least(_last, (_block + 1) * {B.BLOCK_HOURS} + {B.HALO_HOURS} - 1)"
-    info = ", ".join(["'end'", end, *(f"'{c}', {c}" for c in (*(f"{p}_after" for p in C.POLLUTANTS), *meta))])
+    info = ", ".join(["'end'", end, "'offset'", "_offset", *(f"'{c}', {c}" for c in (*(f"{p}_after" for p in C.POLLUTANTS), *meta))])
     markers = B.block_table(wide, C.POLLUTANTS).join(metadata, "station_id", "left").selectExpr(
-        "station_id", "_block", f"{start} as _hour", "0 as _rank",
+        "station_id", "_block", f"{start} as _hour", "0 as _rank", "_offset as _at",
         *(f"cast(null as double) as {p}" for p in C.POLLUTANTS), f"named_struct({info}) as _info",
     )
-    observed = B.spread(wide).selectExpr(
-        "station_id", "_block", "_hour", "1 as _rank", *C.POLLUTANTS, "null as _info"
+    observed = B.spread(wide).withColumn("_at", B.hour_offset(F.col("timestamp_utc"))).selectExpr(
+        "station_id", "_block", "_hour", "1 as _rank", "_at", *C.POLLUTANTS, "null as _info"
     )
     order = "over (partition by station_id, _block order by _hour, _rank {})"
     running = order.format("rows between unbounded preceding and current row")
     rows = observed.unionByName(markers).selectExpr(
-        "station_id", "_block", "_hour", *C.POLLUTANTS, f"first(_info, true) {running} as _info",
-        f"lead(_hour) {order.format('')} as _next",
+        "station_id", "_block", "_hour", "_rank", "_at", *C.POLLUTANTS, f"first(_info, true) {running} as _info",
+    ).filter("_at = _info.offset").selectExpr(
+        "station_id", "_block", "_hour", *C.POLLUTANTS, "_info", f"lead(_hour) {order.format('')} as _next",
     )
     # A halo copy in a block outside the station's range has no marker and is not needed; a marker on an
     # observed hour emits nothing.
@@ -189,7 +193,7 @@ def interpolate_gaps(
     trailing gap holds the last value; leading gaps stay. With ``strict`` only gaps of at most ``limit``
     hours between two readings are filled.
     """
-    after = B.block_table(df, columns, limit + 1).drop("_first", "_last")
+    after = B.block_table(df, columns, limit + 1).drop("_first", "_last", "_offset")
     rows = B.spread(df, limit + 1).join(after, ["station_id", "_block"], "left")
     filled = _fill(rows, columns, "{0}_after", limit, strict)
     return B.own(filled.drop(*(f"{c}_after" for c in columns)))
@@ -304,7 +308,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     dense = dense_blocks(pivot_hours(rows), station_metadata(rows))
     meta = [c for c in METADATA if c in raw.columns]
     return B.own(dense.select(
-        "station_id", B.hour_start(F.col("_hour")).alias("timestamp_utc"), *C.POLLUTANTS,
+        "station_id", B.hour_start(F.col("_hour"), F.col("_info.offset")).alias("timestamp_utc"), *C.POLLUTANTS,
         *(F.col(f"_info.{c}").alias(c) for c in meta), "_block", "_hour",
     ))
 
@@ -327,7 +331,7 @@ def clean_hourly(
     flagged = _drift(bounded, C.POLLUTANTS, z, min_n, C.DRIFT_WINDOW_HOURS)
     meta = [c for c in METADATA if c in raw.columns]
     return B.own(flagged.select(
-        "station_id", B.hour_start(F.col("_hour")).alias("timestamp_utc"), *C.POLLUTANTS,
+        "station_id", B.hour_start(F.col("_hour"), F.col("_info.offset")).alias("timestamp_utc"), *C.POLLUTANTS,
         *(F.col(f"_info.{c}").alias(c) for c in meta),
         *(f"{p}_{flag}_flag" for p in C.POLLUTANTS for flag in ("interp", "neg", "bounds", "drift")),
         "_block", "_hour",

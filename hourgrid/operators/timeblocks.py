@@ -27,8 +27,13 @@ def hour_index(ts: Column) -> Column:
     return F.floor(F.unix_seconds(ts) / 3600)
 
 
-def hour_start(hour: Column) -> Column:
-    return F.timestamp_seconds(hour * 3600)
+def hour_start(hour: Column, offset: Column | int = 0) -> Column:
+    """The grid's time in an hour; ``offset`` is the station's place within the hour, in seconds."""
+    return F.timestamp_seconds(hour * 3600 + offset)
+
+
+def hour_offset(ts: Column) -> Column:
+    return F.pmod(F.unix_seconds(ts), F.lit(3600))
 
 
 def block_of(hour: Column) -> Column:
@@ -72,25 +77,34 @@ def frame(start: int, end: int) -> str:
 def block_table(df: DataFrame, columns: Sequence[str], reach: int = HALO_HOURS) -> DataFrame:
     """One row per station and block of the station's range, with what a block cannot see by itself.
 
-    Result: ``station_id, _block``, the first and last hour of the series (``_first``, ``_last``) and for
-    each column ``<column>_after`` = struct(hour, value), its first reading beyond the block's halo for
+    The grid of a station steps by an hour from its first reading; ``_offset`` is that reading's place within
+    the hour, in seconds, and readings at another place are not on the grid.
+    Result: ``station_id, _block``, the first and last hour of the grid (``_first``, ``_last``), ``_offset``, and
+    for each column ``<column>_after`` = struct(hour, value), its first reading beyond the block's halo for
     frames of ``reach`` hours.
-    Rows are reduced to one per station and block before the windows, which run over blocks only.
+    Rows are reduced to one per station, block and offset before the windows, which run over those only.
     """
     hour = hour_index(F.col(TIME))
     # A row serves the blocks up to the last one whose halo ends before it.
     serves = F.floor((hour - max(HALO_HOURS, reach)) / BLOCK_HOURS) - 1
-    seen = df.select(KEY, serves.alias("_serves"), hour.alias("_hour"), *columns)
-    firsts = seen.groupBy(KEY, "_serves").agg(
-        F.min("_hour").alias("_min"), F.max("_hour").alias("_max"),
+    seen = df.select(
+        KEY, serves.alias("_serves"), hour_offset(F.col(TIME)).alias("_at"), hour.alias("_hour"),
+        F.unix_seconds(TIME).alias("_seconds"), *columns,
+    )
+    whole = f"over (partition by {KEY})"
+    firsts = seen.groupBy(KEY, "_serves", "_at").agg(
+        F.min("_seconds").alias("_min"), F.max("_seconds").alias("_max"),
         *(F.expr(f"min(_hour) filter (where {c} is not null)").alias(f"{c}_h") for c in columns),
         *(F.expr(f"min_by({c}, _hour) filter (where {c} is not null)").alias(f"{c}_v") for c in columns),
+    ).selectExpr(
+        "*", f"min(_min) {whole} as _start", f"max(_max) {whole} as _end",
+    ).selectExpr("*", "pmod(_start, 3600) as _offset").filter("_at = _offset").selectExpr(
+        "*", "floor(_start / 3600) as _first", "floor((_end - _offset) / 3600) as _last",
     )
     back = f"over (partition by {KEY} order by _serves desc)"
     running = f"over (partition by {KEY} order by _serves desc rows between unbounded preceding and current row)"
-    whole = f"over (partition by {KEY})"
     spans = firsts.selectExpr(
-        KEY, "_serves", f"min(_min) {whole} as _first", f"max(_max) {whole} as _last",
+        KEY, "_serves", "_offset", "_first", "_last",
         f"lead(_serves) {back} + 1 as _from", f"lag(_serves) {back} is null as _newest",
         *(
             f"last(case when {c}_h is not null then named_struct('hour', {c}_h, 'value', {c}_v) end, true)"
@@ -103,9 +117,9 @@ def block_table(df: DataFrame, columns: Sequence[str], reach: int = HALO_HOURS)
     low = f"greatest(coalesce(_from, {first_block}), {first_block})"
     high = f"if(_newest, {last_block}, _serves)"
     return spans.selectExpr(
-        KEY, "_first", "_last", "_serves", *(f"{c}_after" for c in columns),
+        KEY, "_first", "_last", "_offset", "_serves", *(f"{c}_after" for c in columns),
         f"explode(if({low} <= {high}, sequence({low}, {high}), array())) as _block",
     ).selectExpr(
-        KEY, "_block", "_first", "_last",
+        KEY, "_block", "_first", "_last", "_offset",
         *(f"case when _block <= _serves then {c}_after end as {c}_after" for c in columns),
     )

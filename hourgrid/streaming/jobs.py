@@ -19,6 +19,7 @@ from hourgrid import constants as C
 from hourgrid.functions import scalar as S
 from hourgrid.operators import requests as R
 from hourgrid.plans.scoring import Models, apply_models
+from hourgrid.plans.staging import staged
 
 WATERMARK = "2 hours"
 
@@ -66,64 +67,80 @@ LIVE_SCHEMA = (
     "station_id string, pollutant string, timestamp_utc timestamp, lag_1h double, lag_24h double, lag_168h double, "
     "roll_24h_mean double, roll_24h_std double, roll_168h_mean double, roll_168h_std double"
 )
-STATE_SCHEMA = "hours array<long>, values array<double>, emitted long"
+STATE_SCHEMA = "hours array<long>, values array<double>, pending array<long>"
 HOUR = 3600
 
 
 def hour_features(hours: np.ndarray, values: np.ndarray, at: int) -> dict[str, float | None]:
-    """Lags and range statistics of one hour from the buffered hours before it."""
-    known = dict(zip(hours.tolist(), values.tolist()))
-    out: dict[str, float | None] = {f"lag_{k}h": known.get(at - k) for k in (1, 24, 168)}
+    """Lags and range statistics of one hour from the buffered hours before it; ``hours`` ascend."""
+    out: dict[str, float | None] = {}
+    for back in (1, 24, 168):
+        i = int(np.searchsorted(hours, at - back))
+        out[f"lag_{back}h"] = float(values[i]) if i < len(hours) and hours[i] == at - back else None
+    end = int(np.searchsorted(hours, at))
     for width in (24, 168):
-        inside = values[(hours >= at - width) & (hours < at)]
+        inside = values[int(np.searchsorted(hours, at - width)):end]
         enough = len(inside) >= 2
         out[f"roll_{width}h_mean"] = float(inside.mean()) if enough else None
         out[f"roll_{width}h_std"] = float(inside.std()) if enough else None
     return out
 
 
-def advance(
-    key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState,
-) -> Iterator[pd.DataFrame]:
-    """Add a batch of hourly means to a series' buffer and emit features for each new hour.
-
-    The buffer keeps the history of the newest hour. An hour older than the newest emitted one only
-    completes the buffer. A series without news for the length of the buffer is forgotten.
+def _advance(wait: int, late: int):
+    """State function of ``live_features``. Spark's watermark runs ``late`` hours behind the newest hour and only
+    drops what is older; the features follow a nearer one, ``wait`` hours behind.
+    """
+    shift = (late - wait) * HOUR * 1000
+
+    def advance(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hours, values, waiting = state.get if state.exists else ([], [], [])
+        buffer, pending = dict(zip(hours, values)), set(waiting)
+        if not state.hasTimedOut:
+            for frame in frames:
+                seconds = frame["timestamp_utc"].astype("datetime64[s]").astype("int64")
+                for hour, value in zip((seconds // HOUR).tolist(), frame["value"].tolist()):
+                    if hour not in buffer:
+                        pending.add(hour)
+                    buffer[hour] = value
+        watermark = state.getCurrentWatermarkMs()
+        ready = sorted(h for h in pending if h * HOUR * 1000 <= watermark + shift)
+        pending.difference_update(ready)
+        if ready:
+            ordered = np.array(sorted(buffer))
+            known = np.array([buffer[h] for h in ordered.tolist()], dtype=float)
+            yield pd.DataFrame([
+                {"station_id": key[0], "pollutant": key[1], "timestamp_utc": pd.Timestamp(h * HOUR, unit="s"),
+                 **hour_features(ordered, known, h)} for h in ready
+            ])
+        kept = sorted(h for h in buffer if h >= watermark // (HOUR * 1000) - C.HISTORY_HOURS)
+        if not kept:
+            state.remove()
+            return
+        state.update((kept, [buffer[h] for h in kept], sorted(pending)))
+        # Called again when the next waiting hour is reached, else when the whole history has aged; a timeout
+        # must lie after the watermark, and fires once the watermark is past it.
+        due = min(pending) * HOUR * 1000 - 1 - shift if pending else (kept[-1] + C.HISTORY_HOURS + 1) * HOUR * 1000
+        state.setTimeoutTimestamp(max(due, watermark + 1))
+
+    return advance
+
+
+def live_features(hourly: DataFrame, wait: int = 0, late: int = 30 * 24) -> DataFrame:
+    """Reading features of every hour from a stream of hourly means.
+
+    An hour is emitted once the newest hour of the stream is ``wait`` hours ahead of it, in order; give as much
+    as hours can be out of order between triggers. One that comes later than that is emitted at once, with the
+    history that has arrived. Only hours more than ``late`` hours behind the newest are dropped. A second value
+    of an hour replaces the first in the history and is not emitted again. The state of a series holds
+    ``late`` hours and a week, and is forgotten without news for that long.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    hours, values, emitted = state.get if state.exists else ([], [], -(2 ** 62))
-    buffer = dict(zip(hours, values))
-    fresh: dict[int, float] = {}
-    for frame in frames:
-        seconds = frame["timestamp_utc"].astype("datetime64[s]").astype("int64")
-        fresh.update(zip((seconds // HOUR).tolist(), frame["value"].tolist()))
-    rows = []
-    for hour in sorted(fresh):
-        buffer[hour] = fresh[hour]
-        if hour > emitted:
-            buffer = {h: v for h, v in buffer.items() if h >= hour - C.HISTORY_HOURS}
-            ordered = sorted(buffer)
-            features = hour_features(np.array(ordered), np.array([buffer[h] for h in ordered]), hour)
-            rows.append({"station_id": key[0], "pollutant": key[1], "timestamp_utc": pd.Timestamp(hour * HOUR, unit="s"), **features})
-            emitted = hour
-    kept = sorted(h for h in buffer if h >= emitted - C.HISTORY_HOURS)
-    state.update((kept, [buffer[h] for h in kept], emitted))
-    # The timeout must lie after the current watermark, also for a series whose news come late.
-    expires = (emitted + C.HISTORY_HOURS + 1) * HOUR * 1000
-    state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-    if rows:
-        yield pd.DataFrame(rows)
-
-
-def live_features(hourly: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Reading features of every new hour from a stream of hourly means."""
+    if not 0 <= wait <= late:
+        raise ValueError("wait must lie between 0 and late")
     return (
         hourly.select("station_id", "pollutant", "timestamp_utc", "value")
-        .withWatermark("timestamp_utc", watermark)
+        .withWatermark("timestamp_utc", f"{late} hours")
         .groupBy("station_id", "pollutant")
-        .applyInPandasWithState(advance, LIVE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(_advance(wait, late), LIVE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -150,9 +167,13 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def to_batches(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Write ``transform`` of every micro-batch to its own folder; a repeated batch replaces it."""
+    """Write ``transform`` of every micro-batch to its own folder; a repeated batch replaces it.
+
+    The batch is stored first, in a folder readers of ``path`` pass over: a transform may read it several times,
+    and each time would run the stateful operator again.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        transform(staged(batch, "batch", f"{path}/_incoming")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         stream.writeStream.outputMode("append").foreachBatch(write)

@@ -152,6 +152,36 @@ def test_grid_join_equals_the_dense_form(spark):
     pd.testing.assert_frame_equal(joined, dense[joined.columns])
 
 
+def at_minutes(site, times):
+    return [row for t, v in times for row in raw_rows(1, site=site, values=[v], start=START + pd.Timedelta(t))]
+
+
+@pytest.mark.parametrize("step", [cleaning.normalize, cleaning.clean_hourly])
+def test_readings_off_the_grid_are_left_out(spark, step):
+    rows = at_minutes("0001", [("0h", 1.0), ("1h", 2.0), ("90min", 50.0), ("3h", 4.0), ("330min", 60.0)])
+    rows += at_minutes("0002", [("30min", 5.0), ("1h", 70.0), ("150min", 7.0)])
+    got = pulled(step(raw_table(spark, rows)))
+    minutes = ((got["timestamp_utc"] - START).dt.total_seconds() // 60).astype(int)
+    # The grid steps from the station's first reading up to its last one, wherever that lies.
+    assert minutes.tolist() == [*range(0, 301, 60), 30, 90, 150]
+    known = dict(zip(zip(got["station_id"].str[-4:], minutes), got["pm25"]))
+    assert known["0001", 60] == 2.0 and known["0001", 180] == 4.0 and known["0002", 30] == 5.0 and known["0002", 150] == 7.0
+    if step is cleaning.clean_hourly:
+        assert known["0001", 120] == 3.0 and known["0001", 300] == 4.0 and known["0002", 90] == 6.0
+    else:
+        assert got["pm25"].isna().sum() == 4
+
+
+def test_off_grid_readings_beyond_the_halo_do_not_fill_gaps(spark):
+    far = B.BLOCK_HOURS * 2
+    rows = at_minutes("0001", [("0h", 1.0), (f"{far * 60 - 30}min", 90.0), (f"{far}h", 5.0)])
+    got = pulled(cleaning.clean_hourly(raw_table(spark, rows)))
+    wide = cleaning.pivot_hours(cleaning.measurements(raw_table(spark, rows)))
+    grid = cleaning.grid_join(cleaning.hourly_grid(cleaning.station_range(wide)), wide)
+    assert len(got) == grid.count() == far + 1
+    assert got["pm25"][1] == pytest.approx(1.0 + 4.0 / far) and got["pm25"].iloc[-1] == 5.0
+
+
 def test_missingness_counts_measuring_stations_only(spark):
     a, b = clean_frame(10, "A"), clean_frame(10, "B")
     a["no2"] = np.nan

@@ -134,6 +134,31 @@ def test_streamed_features_equal_batch_ones(spark, tmp_path):
         assert np.allclose(got[name], expected.loc[hours].values, equal_nan=True), name
 
 
+def test_hours_out_of_order_are_all_emitted_in_order(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for hours in (range(30, 60), range(30)):
+        rows = [("S", "pm25", (START + pd.Timedelta(hours=h)).to_pydatetime(), float(h)) for h in hours]
+        spark.createDataFrame(rows, MEASURED).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_stream(spark, source, MEASURED, files_per_trigger=1)
+    jobs.run(jobs.to_table(jobs.live_features(stream), out, state))
+    got = pulled(spark.read.parquet(out)).sort_values("timestamp_utc")
+    hours = ((got["timestamp_utc"] - START).dt.total_seconds() // 3600).astype(int)
+    assert hours.tolist() == list(range(60))
+    # The later file came first; its hours still see the earlier ones.
+    assert np.allclose(got["lag_24h"], [h - 24 if h >= 24 else np.nan for h in range(60)], equal_nan=True)
+
+
+def test_an_hour_behind_the_watermark_is_emitted_late(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for hours in (range(10, 20), range(5), range(20, 22)):
+        rows = [("S", "pm25", (START + pd.Timedelta(hours=h)).to_pydatetime(), float(h)) for h in hours]
+        spark.createDataFrame(rows, MEASURED).write.mode("append").parquet(source)
+        jobs.run(jobs.to_table(jobs.live_features(jobs.read_stream(spark, source, MEASURED)), out, state))
+    got = pulled(spark.read.parquet(out))
+    hours = ((got["timestamp_utc"] - START).dt.total_seconds() // 3600).astype(int)
+    assert sorted(hours) == [*range(5), *range(10, 22)]
+
+
 def test_streamed_scores(spark, tmp_path, trained):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     rows = [("S", "pm25", (START + pd.Timedelta(hours=h)).to_pydatetime(), 20.0) for h in range(40)]
