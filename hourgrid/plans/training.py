@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -25,19 +24,24 @@ from hourgrid.session import ensure_checkpoint_dir
 GBT_PARAMS = {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 10, "lossType": "absolute"}
 RF_PARAMS = {"numTrees": 200, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 10}
 SEED = 42
-# The forest's trees are grown to purity where leaf size allows; the learner here needs a depth.
-RF_DEPTH = 12
+# The forest's trees are grown to purity where leaf size allows; this is the deepest the learner takes.
+RF_DEPTH = 30
 
 
 @dataclass(frozen=True)
 class TrainSettings:
-    """What a run may change: learner sizes for short runs, feature set, seed."""
+    """What a run may change: learner sizes, feature set, seed, and the partitions that rows are merged to.
+
+    By default rows keep the partitions of the feature table; a level of a tree is a job over them, so a small
+    table trains faster in few.
+    """
 
     gbt: dict | None = None
     forest: dict | None = None
     features: Sequence[str] = C.FEATURES
     seed: int = SEED
     test_fraction: float = C.TEST_FRACTION
+    partitions: int | None = None
 
 
 def _preparation(features: Sequence[str]) -> list:
@@ -53,23 +57,17 @@ def _preparation(features: Sequence[str]) -> list:
     ]
 
 
-def _target_scale(train: DataFrame) -> tuple[float, float, int]:
-    row = train.agg(F.avg("target").alias("m"), F.stddev_pop("target").alias("s"), F.count("target").alias("n")).first()
-    return float(row["m"]), float(row["s"] or 1.0) or 1.0, row["n"]
-
-
-# Trees run one small job per level; a task with fewer rows than this is mostly overhead.
-ROWS_PER_TASK = 100_000
+def _target_scale(train: DataFrame) -> tuple[float, float]:
+    row = train.agg(F.avg("target").alias("m"), F.stddev_pop("target").alias("s")).first()
+    return float(row["m"]), float(row["s"] or 1.0) or 1.0
 
 
-def fit(train: DataFrame, learner, features: Sequence[str]) -> PipelineModel:
-    """Fit on a standardised target, so that one step size suits every unit; ``forecast`` is unscaled.
-
-    Large inputs keep their partitions; small ones are merged to fit the many short jobs of the learner.
-    """
-    mean, scale, n = _target_scale(train)
+def fit(train: DataFrame, learner, features: Sequence[str], partitions: int | None = None) -> PipelineModel:
+    """Fit on a standardised target, so that one step size suits every unit; ``forecast`` is unscaled."""
+    mean, scale = _target_scale(train)
     rows = train.filter(F.col("target").isNotNull()).withColumn("_label", (F.col("target") - mean) / scale)
-    rows = rows.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
+    if partitions:
+        rows = rows.coalesce(partitions)
     learner = learner.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_scaled")
     helpers = ", ".join(["_features", "_scaled", *(f"_{k}_{c}" for c in features for k in ("x", "i", "missing"))])
     unscale = SQLTransformer(
@@ -87,12 +85,12 @@ def _usable(train: DataFrame, features: Sequence[str]) -> list[str]:
 def train_gbt(train: DataFrame, settings: TrainSettings = TrainSettings()) -> PipelineModel:
     ensure_checkpoint_dir(train.sparkSession)
     learner = GBTRegressor(**{**GBT_PARAMS, **(settings.gbt or {})}, seed=settings.seed)
-    return fit(train, learner, _usable(train, settings.features))
+    return fit(train, learner, _usable(train, settings.features), settings.partitions)
 
 
 def train_forest(train: DataFrame, settings: TrainSettings = TrainSettings()) -> PipelineModel:
     learner = RandomForestRegressor(**{"maxDepth": RF_DEPTH, **RF_PARAMS, **(settings.forest or {})}, seed=settings.seed)
-    return fit(train, learner, _usable(train, settings.features))
+    return fit(train, learner, _usable(train, settings.features), settings.partitions)
 
 
 TRAINERS = {"GradientBoosting": train_gbt, "RandomForest": train_forest}
@@ -145,12 +143,17 @@ def train_and_evaluate(
     return fitted, metrics
 
 
-def cached_retrain(clean: DataFrame, path: str, build, settings: TrainSettings = TrainSettings(), refresh: bool = False):
-    """Train from the feature table stored under ``path``; it is built only where it is absent."""
+def stored_table(clean: DataFrame, path: str, build, refresh: bool = False) -> DataFrame:
+    """The feature table under ``path``; it is built only where it is absent."""
     spark = clean.sparkSession
     if refresh or not exists(spark, path):
         build(clean).write.mode("overwrite").partitionBy("pollutant").parquet(path)
-    return train_and_evaluate(spark.read.parquet(path), ("GradientBoosting",), settings)
+    return spark.read.parquet(path)
+
+
+def cached_retrain(clean: DataFrame, path: str, build, settings: TrainSettings = TrainSettings(), refresh: bool = False):
+    """Train from the feature table stored under ``path``."""
+    return train_and_evaluate(stored_table(clean, path, build, refresh), ("GradientBoosting",), settings)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -170,9 +173,14 @@ def weather_ablation(with_weather: DataFrame, settings: TrainSettings = TrainSet
     rows of ``build_features(..., weather='optional')``.
     """
     stored = staged(with_weather, "ablation")
-    base_settings = TrainSettings(settings.gbt, settings.forest, C.BASE_FEATURES, settings.seed, settings.test_fraction)
-    _, base = train_and_evaluate(stored, ("GradientBoosting",), base_settings)
-    _, augmented = train_and_evaluate(stored.dropna(subset=list(C.WEATHER_COLUMNS)), ("GradientBoosting",), settings)
+    base_settings = replace(settings, features=C.BASE_FEATURES)
+    tasks = (stored, base_settings), (stored.dropna(subset=list(C.WEATHER_COLUMNS)), settings)
+
+    def run(task):
+        return train_and_evaluate(task[0], ("GradientBoosting",), task[1])[1]
+
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        base, augmented = pool.map(inheritable_thread_target(stored.sparkSession)(run), tasks)
     return exports.ablation(base, augmented)
 
 
