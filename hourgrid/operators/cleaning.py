@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid import constants as C
@@ -58,14 +58,27 @@ def measurements(raw: DataFrame) -> DataFrame:
 # -- Aggregation to hours ------------------------------------------------------------------------
 
 def station_metadata(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """First non-null value of each metadata column per station, in (hour, sensor) order."""
+    """First non-null value of each metadata column per station, in (hour, sensor) order.
+
+    Rows shrink to the few different metadata of each station first, by a numeric position that aggregates
+    in hash tables; only those rows are ordered by values.
+    """
     columns = [c for c in METADATA if c in rows.columns] if columns is None else list(columns)
-    order = [c for c in ("timestamp_utc", "poc") if c in rows.columns]
-    firsts = []
-    for name in columns:
-        position = F.when(F.col(name).isNotNull(), F.struct(*order, name))
-        firsts.append(F.min_by(F.col(name), position).alias(name))
-    return rows.groupBy("station_id").agg(*firsts)
+    few = rows.groupBy("station_id", *columns).agg(F.min(_position(rows)).alias("_position"))
+    firsts = [
+        F.min_by(F.col(name), F.when(F.col(name).isNotNull(), F.struct("_position", name))).alias(name)
+        for name in columns
+    ]
+    return few.groupBy("station_id").agg(*firsts)
+
+
+def _position(rows: DataFrame) -> Column:
+    """One number in the order of (hour, sensor), missing ones first."""
+    hour = F.unix_micros("timestamp_utc") if "timestamp_utc" in rows.columns else F.lit(0)
+    sensor = F.col("poc").cast("long") if "poc" in rows.columns else F.lit(0)
+    before = F.lit(-(1 << 62))  # before every hour
+    scaled = F.coalesce(hour, before).cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(14,0)")
+    return (scaled + F.coalesce(sensor, F.lit(-(1 << 39))).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def sensor_mean(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.operators import ingest
@@ -29,19 +30,24 @@ def write_json(df: DataFrame, path: str) -> str:
     return path
 
 
+def _stored_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Keys of the store's directories, from its file listing: one row a file, no file is opened."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return files.select(key).distinct() if key in files.columns else None
+
+
 def land_new_chunks(batch: DataFrame, path: str, key: str = "chunk_key") -> str:
     """Append the chunks of a batch that the store does not hold yet.
 
     Chunks are directories (``key=value``): a rerun after a lost job replaces the directories it writes
     and leaves all others as they are.
     """
-    spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(key).distinct()
-    except Exception as error:  # the store does not exist yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        stored = None
+    stored = _stored_keys(batch.sparkSession, path, key)
     new = batch if stored is None else ingest.resume_filter(
         batch.withColumnRenamed(key, "chunk_key"), stored.withColumnRenamed(key, "chunk_key")
     ).withColumnRenamed("chunk_key", key)

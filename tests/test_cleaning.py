@@ -62,6 +62,26 @@ def test_first_known_metadata_wins(spark):
     assert got.latitude == 34.05 and got.state == "state0"
 
 
+def test_metadata_order_is_hour_then_sensor(spark):
+    rows = spark.createDataFrame(
+        [("A", 5, 1, "late"), ("A", 3, 900, "sensor 900"), ("A", 3, 2, "sensor 2"), ("A", 1, 1, None),
+         ("B", 3, 2, "second"), ("B", 3, None, "no sensor"), ("C", None, 7, "no hour"), ("C", 2, 1, "hour 2"),
+         ("D", 4, 1, "tie b"), ("D", 4, 1, "tie a"), ("E", 1, 1, None)],
+        "station_id string, hour long, poc int, state string",
+    ).selectExpr("station_id", "timestamp_seconds(hour * 3600) timestamp_utc", "poc", "state")
+    found = {r.station_id: r.state for r in cleaning.station_metadata(rows).collect()}
+    assert found == {"A": "sensor 2", "B": "no sensor", "C": "no hour", "D": "tie a", "E": None}
+
+
+def test_metadata_of_raw_rows_aggregates_in_hash_tables(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    raw_table(spark).write.parquet(path)
+    rows = cleaning.measurements(spark.read.parquet(path))
+    plan = cleaning.station_metadata(rows)._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Aggregate" in line or "FileScan" in line]
+    assert "FileScan" in lines[-1] and all("HashAggregate" in line for line in lines[-3:-1])
+
+
 def test_gap_at_the_limit_is_filled_and_counted(spark):
     values = np.arange(1.0, 25.0)
     values[10:13] = np.nan

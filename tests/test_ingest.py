@@ -84,6 +84,16 @@ def test_chunks_are_landed_once(spark, tmp_path):
     assert sorted((r.chunk_key, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("a", 2), ("b", 3)]
 
 
+def test_stored_keys_come_from_the_file_listing(spark, tmp_path):
+    path = tmp_path / "store"
+    (path / "chunk_key=a").mkdir(parents=True)
+    (path / "chunk_key=a" / "part-0.parquet").write_bytes(b"not opened")
+    assert [r.chunk_key for r in sinks._stored_keys(spark, str(path), "chunk_key").collect()] == ["a"]
+    (tmp_path / "bare").mkdir()
+    assert sinks._stored_keys(spark, str(tmp_path / "bare"), "chunk_key") is None
+    assert sinks._stored_keys(spark, str(tmp_path / "absent"), "chunk_key") is None
+
+
 def test_complete_chunks_and_row_counts(spark):
     rows = spark.createDataFrame([("A",)] * 3 + [("B",)] * 2, "station_id string")
     assert [r.station_id for r in ingest.complete_chunks(rows, 3).collect()] == ["A"]
