@@ -32,6 +32,9 @@ CLOSED_BY_BLOCK = frozenset("p".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMIT_OF_CLOSING = frozenset("ul ol dl table body article main section div td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that declare an article, and those that are parts of one and never hold it whole.
+DECLARED = frozenset("article main".split())
+PARTS = HEADINGS | frozenset("p pre blockquote ul ol dl li dt dd figure figcaption table caption thead tbody tfoot tr section details summary address hgroup header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # Words of class and id values that name other parts of a page than its article.
 OTHER_PARTS = re.compile(
@@ -167,12 +170,30 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _container(chosen: list[Node]) -> tuple[int, ...]:
+    """The elements from the root to the smallest one that holds all of ``chosen``; empty for the page itself.
+
+    It is no part of an article (a paragraph, quote, list, table or section), no single block of text, and
+    nothing below an article or main element.
+    """
+    first = chosen[0]
+    k = min(len(n.elements) for n in chosen)
+    while any(n.elements[:k] != first.elements[:k] for n in chosen):
+        k -= 1
+    if k and all(len(n.elements) == k for n in chosen):
+        k -= first.path[k - 1] not in DECLARED
+    while k and first.path[k - 1] in PARTS:
+        k -= 1
+    declared = [i + 1 for i, t in enumerate(first.path[:k]) if t in DECLARED]
+    return first.elements[:declared[0] if declared else k]
+
+
 def content_nodes(nodes: list[Node]) -> list[Node]:
     """The nodes of the article.
 
     Nodes in elements that name other parts stay out. Ratios are per path and page; a path passes if its fused
-    score is at least a fifth of a deviation of all scores. The article's container is the deepest element
-    that holds four fifths of the passing text; its other nodes come along unless they are mostly links.
+    score is at least a fifth of a deviation of all scores. The article's container is the smallest element
+    that holds all passing nodes; its other nodes come along, but for link lists away from the article's blocks.
     """
     open_ = [n for n in nodes if not n.banned]
     if not open_:
@@ -195,23 +216,15 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
     chosen = [n for n in open_ if n.path in passing and n.linked * 2 <= len(n.text)]
     if not chosen:
         return []
-    total = sum(len(n.text) for n in chosen)
-    held: dict[int, int] = {}
-    for n in chosen:
-        for e in n.elements:
-            held[e] = held.get(e, 0) + len(n.text)
-    # Elements are numbered in page order, so the deepest of a chain has the largest number.
-    enough = [e for e, size in held.items() if size * 5 >= 4 * total]
-    if not enough:
-        return chosen
-    container = max(enough)
-    inside = [n for n in open_ if container in n.elements]
-    if len(inside) == 1 and len(inside[0].elements) > 1:
-        # One paragraph is no container: its parent may hold the heading.
-        container = inside[0].elements[-2] if inside[0].elements[-1] == container else container
-        wider = [n for n in open_ if container in n.elements]
-        inside = wider if inside[0].elements.index(container) > 1 else inside
-    return [n for n in inside if n.linked * 2 <= len(n.text)]
+    container = _container(chosen)
+    inside = [k for k, n in enumerate(nodes) if not n.banned and n.elements[:len(container)] == container]
+    # Lists of links are the article's own in a declared article, beside its blocks, and between them.
+    declared = any(t in DECLARED for t in chosen[0].path[:len(container)])
+    beside = {n.elements[-2] for n in chosen if len(n.path) > 1 and n.path[-1] in PARTS and n.path[-2] not in ("body", "html")}
+    picked = set(map(id, chosen))
+    at = [k for k in inside if id(nodes[k]) in picked]
+    return [nodes[k] for k in inside if nodes[k].linked * 2 <= len(nodes[k].text) or declared or at[0] < k < at[-1]
+            or not beside.isdisjoint(nodes[k].elements)]
 
 
 def main_text(page: str | None) -> str:

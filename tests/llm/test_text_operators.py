@@ -216,6 +216,29 @@ def test_pages_give_their_article(spark):
         assert "".join(html_extract.main_text(page["html"]).split()) == "".join(H.unescape(want).split())
 
 
+LONG = "A long paragraph, with marks, and words; it goes on, and on, and then some more. " * 6
+
+
+def test_nothing_of_an_article_is_cut():
+    long, lines = LONG.strip(), "\n".join
+    nav = "<nav><a href=1>One</a></nav>"
+    bodies = {
+        f"<article><h1>T</h1><p>lead</p><div class=content><p>{long}</p><p>{long}</p></div></article>": lines(["T", "lead", long, long]),
+        f"<article><section><h2>A</h2><p>Short.</p></section><section><h2>B</h2>{f'<p>{long}</p>' * 4}</section>"
+        "<section><ul><li>Item</li></ul></section></article>": lines(["A", "Short.", "B", *[long] * 4, "Item"]),
+        f"<div id=c><section><ul><li>Item</li></ul></section><section>{f'<p>{long}</p>' * 4}</section></div>": lines(["Item", *[long] * 4]),
+        f"<article><h1>T</h1><p>Short.</p><blockquote><p>{long}</p><p>{long}</p></blockquote></article>": lines(["T", "Short.", long, long]),
+        f"<article><h1>T</h1><ul><li>{long}</li><li>{long}</li></ul><p>End</p></article>": lines(["T", long, long, "End"]),
+        f"<h1>T</h1><p>Lead</p><p>{long * 9}</p><p>End</p>": lines(["T", "Lead", long * 9, "End"]),
+        f"<h1>T</h1><div>{long * 9}</div><div>End</div>": lines(["T", long * 9, "End"]),
+        f"<article><h1>T</h1><p>{long}</p><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></article>": lines(["T", long, "One", "Two"]),
+        f"<div><p>{long}</p><ul><li><a href=1>One</a></ul><p>{long}</p></div>": lines([long, "One", long]),
+    }
+    for body, want in bodies.items():
+        for page in (f"{nav}{body}", f"<body>{nav}{body}</body>", f"<html><body>{nav}{body}</body></html>"):
+            assert html_extract.main_text(page) == want, page
+
+
 # -- queries ----------------------------------------------------------------------------------------------
 
 def test_digests_of_queries(spark, tokenizer):
