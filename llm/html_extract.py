@@ -27,7 +27,7 @@ _MARKS = re.compile(r"[.,;:!?…。，、！？；：¿¡]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head script style template noscript nav footer aside form button select textarea option dialog menu iframe object svg math canvas audio video map title".split())
+NEVER = frozenset("head script style template noscript nav footer aside button select textarea option dialog menu iframe object svg math canvas audio video map title".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMIT_OF_CLOSING = frozenset("ul ol dl table body article main section div td".split())
@@ -35,13 +35,18 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that declare an article, and those that are parts of one and never hold it whole.
 DECLARED = frozenset("article main".split())
 PARTS = HEADINGS | frozenset("p pre blockquote ul ol dl li dt dd figure figcaption table caption thead tbody tfoot tr section details summary address hgroup header".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary dialog alert menu menubar".split())
 # Words of class and id values that name other parts of a page than its article.
 OTHER_PARTS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|overlay|"
     r"nav\w*|menu\w*|breadcrumb\w*|(?<!article-)(?<!entry-)(?<!post-)(?<!content-)header|masthead|topbar|footer|foot|copyright|sidebar\w*|side|aside|widget\w*|related|recommend\w*|"
     r"share\w*|sharing|social\w*|subscribe|subscription|newsletter|signup|login|form|search|comment\w*|disqus|replies|reply|respond|"
     r"reader-?\w*|reaction\w*|tags|toc|pagination|pager|skip\w*|hidden|meta|byline-?tools)(?=$|[\s_-])", re.I)
+# Words that tell what a container has beside its article, and words for what readers wrote below it.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]+\w+", re.I)
+OF_READERS = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus|replies|reply|respond|reader-?\w*|reaction\w*)(?=$|[\s_-])", re.I)
+#: What bans an element: its name alone, a word for readers' texts, or an element or attribute that never holds an article.
+NAMED, READERS, HARD = 1, 2, 3
 
 
 @dataclass
@@ -54,33 +59,40 @@ class Node:
     linked: int
     banned: bool
     heading: bool
+    #: Elements around the text that only their names ban, each with its kind of ban.
+    named: tuple[tuple[int, int], ...] = ()
 
 
 @dataclass
 class _Open:
     tag: str
     number: int
-    banned: bool
+    banned: int
     label: str
     marks: dict = field(default_factory=dict)
 
 
-def _banned(tag: str, attributes: str) -> bool:
+def _banned(tag: str, attributes: str) -> int:
     if tag in NEVER:
-        return True
+        return HARD
     if tag in ("body", "html", "article", "main"):
-        return False
+        return 0
+    kind = NAMED if tag == "form" else 0
     if not attributes.strip():
-        return False
+        return kind
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and OTHER_PARTS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
+        if name in ("class", "id"):
+            words = BESIDE.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))
+            if OTHER_PARTS.search(words):
+                kind = max(kind, READERS if OF_READERS.search(words) else NAMED)
+        if name == "role" and value.lower() in ("search", "form"):
+            kind = max(kind, NAMED)
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return HARD
+    return kind
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -96,7 +108,8 @@ def text_nodes(page: str) -> list[Node]:
         if text:
             held = [o for o in stack if o.tag not in INLINE]
             out.append(Node(tuple(o.label for o in held), tuple(o.number for o in held), text, linked,
-                            any(o.banned for o in stack), any(o.tag in HEADINGS for o in held)))
+                            any(o.banned == HARD for o in stack), any(o.tag in HEADINGS for o in held),
+                            tuple((o.number, o.banned) for o in stack if o.banned in (NAMED, READERS))))
         parts.clear()
         linked = 0
 
@@ -170,6 +183,39 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _without_other_parts(nodes: list[Node]) -> list[Node]:
+    """Nodes outside of other parts of the page.
+
+    A name alone bans only an element that holds less text than the open rest of the page. Larger ones open,
+    the largest first, if they have the makings of an article: a declared one, a heading or two blocks of
+    prose. Texts of readers may be longer than the article: they open only where next to nothing else is.
+    """
+    rest = [n for n in nodes if not n.banned]
+    if not any(n.named for n in rest):
+        return rest
+    size = [len(n.text) - n.linked for n in rest]
+    under: dict[int, list[int]] = {}
+    kinds = {}
+    for k, n in enumerate(rest):
+        for e, kind in n.named:
+            under.setdefault(e, []).append(k)
+            kinds[e] = kind
+    bans = [len(n.named) for n in rest]
+    free = sum(s for s, b in zip(size, bans, strict=True) if not b)
+    total = {e: sum(size[k] for k in ks) for e, ks in under.items()}
+    for e in sorted(total, key=lambda e: (kinds[e], -total[e], e)):
+        if total[e] <= free * (20 if kinds[e] == READERS else 1):
+            continue
+        held = [rest[k] for k in under[e]]
+        prose = sum(not n.heading and n.linked * 2 <= len(n.text) and _MARKS.search(n.text) is not None for n in held)
+        if prose < 2 and not any(n.heading or not DECLARED.isdisjoint(n.path) for n in held):
+            continue
+        for k in under[e]:
+            bans[k] -= 1
+            free += 0 if bans[k] else size[k]
+    return [n for n, b in zip(rest, bans, strict=True) if not b]
+
+
 def _container(chosen: list[Node]) -> tuple[int, ...]:
     """The elements from the root to the smallest one that holds all of ``chosen``; empty for the page itself.
 
@@ -191,11 +237,11 @@ def _container(chosen: list[Node]) -> tuple[int, ...]:
 def content_nodes(nodes: list[Node]) -> list[Node]:
     """The nodes of the article.
 
-    Nodes in elements that name other parts stay out. Ratios are per path and page; a path passes if its fused
+    Nodes in other parts of the page stay out. Ratios are per path and page; a path passes if its fused
     score is at least a fifth of a deviation of all scores. The article's container is the smallest element
     that holds all passing nodes; its other nodes come along, but for link lists away from the article's blocks.
     """
-    open_ = [n for n in nodes if not n.banned]
+    open_ = _without_other_parts(nodes)
     if not open_:
         return []
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -217,14 +263,14 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
     if not chosen:
         return []
     container = _container(chosen)
-    inside = [k for k, n in enumerate(nodes) if not n.banned and n.elements[:len(container)] == container]
+    inside = [k for k, n in enumerate(open_) if n.elements[:len(container)] == container]
     # Lists of links are the article's own in a declared article, beside its blocks, and between them.
     declared = any(t in DECLARED for t in chosen[0].path[:len(container)])
     beside = {n.elements[-2] for n in chosen if len(n.path) > 1 and n.path[-1] in PARTS and n.path[-2] not in ("body", "html")}
     picked = set(map(id, chosen))
-    at = [k for k in inside if id(nodes[k]) in picked]
-    return [nodes[k] for k in inside if nodes[k].linked * 2 <= len(nodes[k].text) or declared or at[0] < k < at[-1]
-            or not beside.isdisjoint(nodes[k].elements)]
+    at = [k for k in inside if id(open_[k]) in picked]
+    return [open_[k] for k in inside if open_[k].linked * 2 <= len(open_[k].text) or declared or at[0] < k < at[-1]
+            or not beside.isdisjoint(open_[k].elements)]
 
 
 def main_text(page: str | None) -> str:

@@ -239,6 +239,25 @@ def test_nothing_of_an_article_is_cut():
             assert html_extract.main_text(page) == want, page
 
 
+def test_names_do_not_ban_the_container_of_an_article():
+    long, lines = LONG.strip(), "\n".join
+    body = f"<h1>T</h1><p>{long}</p><p>{long}</p>"
+    side = "<div class=sidebar><p>Other, short, things.</p></div><div id=comments><p>I like it, really.</p></div>"
+    names = ('class="content has-sidebar"', 'class="layout no-sidebar"', 'class="post category-search"', 'class="page with-comments"',
+             'id="main-form"', 'class="layout--without-sidebar"', 'class="contentHasSidebar"', 'class="related"')
+    for name in names:
+        for page in (f"<div {name}>{body}{side}</div>", f"<div {name}><article>{body}</article>{side}</div>",
+                     f"<body><div class=cookie-notice><p>Cookies, many.</p></div><div {name}><div>{body}</div>{side}</div></body>"):
+            assert html_extract.main_text(page) == lines(["T", long, long]), page
+    form = f"<body><form id=aspnetForm><div class=header>Site</div>{body}<form class=search><p>Search, now.</p></form>{side}</form></body>"
+    assert html_extract.main_text(form) == lines(["T", long, long])
+    # Readers' texts longer than the article, other parts, and notices alone stay out.
+    assert html_extract.main_text(f"<div>{body}</div><div id=comments>{f'<p>{long}</p>' * 9}</div>") == lines(["T", long, long])
+    assert html_extract.main_text(f"<div>{body}</div><form>{f'<p>Short, one.</p>' * 9}</form>") == lines(["T", long, long])
+    assert html_extract.main_text("<div class=cookie-notice><p>We use cookies, many.</p></div>") == ""
+    assert html_extract.main_text(f"<div hidden>{body}</div><div role=dialog>{body}</div>") == ""
+
+
 # -- queries ----------------------------------------------------------------------------------------------
 
 def test_digests_of_queries(spark, tokenizer):
