@@ -3,8 +3,9 @@
 Vectors go to the cell of their nearest pivot. On the unit sphere a cosine of at least 0.95 is a distance of
 at most ``sqrt(2 - 2 * 0.95)``. If x of cell i has a partner in cell j within that radius r, the triangle
 inequality gives d(x, p_j) <= d(x, p_i) + 2 r, and d(x, p_j) <= R_j + r with R_j the cell's own radius; x is
-copied to just those cells, and of two cells one compares the pair. Cells join independently, cut into pairs
-of blocks, so neither a crowded cell nor a third of all vectors in one spot makes a large task.
+copied to just those cells, and of two cells one compares the pair. Cells join independently, members and
+copies cut into blocks by their own counts, so neither a crowded cell nor one that most vectors are copied to,
+nor a third of all vectors in one spot, makes a large task.
 """
 
 from __future__ import annotations
@@ -60,8 +61,51 @@ def compares(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (i < j) == ((i + j) % 2 == 0)
 
 
-def _tiles(pivots, radius, blocks, r):
+def _copied(d, home, near, c, radius, r):
+    """Rows of other cells that are copied to cell c."""
+    return np.flatnonzero((home != c) & compares(c, home) & (d[:, c] <= near + 2 * r + _SLACK) & (d[:, c] <= radius[c] + r + _SLACK))
+
+
+def _copies(pivots, radius, r):
+    """The number of vectors copied to each cell, one row for each cell and batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = _distances(unit(matrix(batch.column(0))), pivots)
+                home, near = d.argmin(1), d.min(1)
+                n = [len(_copied(d, home, near, c, radius, r)) for c in range(len(pivots))]
+                yield pa.record_batch([pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    return run
+
+
+def _tiles(pivots, radius, blocks, copy_blocks, r):
     """Rows for the tiles of each vector: its home's own block pairs, and those of cells it is copied to."""
+    def pieces(home, near, d, key):
+        """(rows, cell, low, high, own) of the batch, one tile side after another."""
+        for c in range(len(pivots)):
+            k, m = blocks[c], copy_blocks[c]
+            there = np.flatnonzero(home == c)
+            part = (key[there] % np.uint64(k)).astype(np.int64)
+            for other in range(k if len(there) else 0):
+                yield there, c, np.minimum(part, other), np.maximum(part, other), part
+            # Copies of vectors of other cells, in blocks of their own beyond the cell's.
+            for other in range(k, k + m if len(there) else 0):
+                yield there, c, part, np.full(len(there), other), part
+            copied = _copied(d, home, near, c, radius, r)
+            part = k + (key[copied] % np.uint64(max(1, m))).astype(np.int64)
+            for other in range(k if len(copied) else 0):
+                yield copied, c, np.full(len(copied), other), part, part
+
+    def rows(batch, x, held):
+        row, low, high, own = (np.concatenate([p[i] for p in held]) for i in (0, 2, 3, 4))
+        cell = np.repeat([p[1] for p in held], [len(p[0]) for p in held]).astype(np.int64)
+        return pa.record_batch([
+            pa.array(cell << 40 | low << 20 | high), pa.array((own == high) & (low != high)),
+            batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)),
+            pa.array([v.tobytes() for v in x[row]], pa.binary()),
+        ], names=["tile", "second", "rep", "copies", "x"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -73,41 +117,15 @@ def _tiles(pivots, radius, blocks, r):
             rep = batch.column(1).to_numpy()
             key = rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-            row, cell, low, high, own = [], [], [], [], []
-            for c in range(len(pivots)):
-                k = blocks[c]
-                there = np.flatnonzero(home == c)
-                part = (key[there] % np.uint64(k)).astype(np.int64)
-                for other in range(k):
-                    row.append(there)
-                    cell.append(np.full(len(there), c))
-                    low.append(np.minimum(part, other))
-                    high.append(np.maximum(part, other))
-                    own.append(part)
-                # Copies of vectors of other cells, in blocks of their own beyond the cell's.
-                copied = np.flatnonzero((home != c) & compares(c, home) & (d[:, c] <= near + 2 * r + _SLACK) & (d[:, c] <= radius[c] + r + _SLACK))
-                for other in range(k):
-                    row.append(copied)
-                    cell.append(np.full(len(copied), c))
-                    part = k + (key[copied] % np.uint64(k)).astype(np.int64)
-                    low.append(np.full(len(copied), other))
-                    high.append(part)
-                    own.append(part)
-                for other in range(k, 2 * k):
-                    row.append(there)
-                    cell.append(np.full(len(there), c))
-                    low.append((key[there] % np.uint64(k)).astype(np.int64))
-                    high.append(np.full(len(there), other))
-                    own.append(low[-1])
-            row, cell, low, high, own = (np.concatenate(v) for v in (row, cell, low, high, own))
-            tile = (cell.astype(np.int64) << 40) | (low << 20) | high
-            for k in range(0, len(row), 20_000):
-                part = slice(k, k + 20_000)
-                yield pa.record_batch([
-                    pa.array(tile[part]), pa.array((own[part] == high[part]) & (low[part] != high[part])),
-                    batch.column(1).take(pa.array(row[part])), batch.column(2).take(pa.array(row[part])),
-                    pa.array([v.tobytes() for v in x[row[part]]], pa.binary()),
-                ], names=["tile", "second", "rep", "copies", "x"])
+            held, size = [], 0
+            for piece in pieces(home, near, d, key):
+                held.append(piece)
+                size += len(piece[0])
+                if size >= 20_000:
+                    yield rows(batch, x, held)
+                    held, size = [], 0
+            if held:
+                yield rows(batch, x, held)
 
     return run
 
@@ -193,8 +211,11 @@ def range_join(df: DataFrame, least: float = COSINE, pivots: int = PIVOTS, block
     for c in cells:
         radius[c["cell"]], blocks[c["cell"]] = c["radius"], max(1, -(-c["n"] // block))
     r = math.sqrt(2 - 2 * least)
+    copy_blocks = [0] * len(centre)
+    for c in found.select("vector").mapInArrow(_copies(centre, radius, r), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        copy_blocks[c["cell"]] = -(-c["n"] // block)
     tiles = found.select("vector", "rep", "copies").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(
-        _tiles(centre, radius, blocks.tolist(), r), "tile long, second boolean, rep long, copies long, x binary")
+        _tiles(centre, radius, blocks.tolist(), copy_blocks, r), "tile long, second boolean, rep long, copies long, x binary")
     tiles = tiles.repartition("tile").sortWithinPartitions("tile", "second", "rep")
     out = stage(tiles.mapInArrow(_join(least), "rep long, links long, to long"), "links")
     number = out.where("to IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))

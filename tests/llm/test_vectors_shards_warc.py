@@ -46,6 +46,35 @@ def test_range_join_equals_brute_force(spark, block):
         assert (out[k]["n_links"], out[k]["component_id"]) == want and out[k]["kept"] == (want[1] == k)
 
 
+def test_copies_do_not_make_large_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 64))
+    x[600:700] = x[:100] + rng.normal(size=(100, 64)) * 0.05
+    block, join = 64, metric_join._join
+
+    def limited(least):
+        inner = join(least)
+
+        def run(batches):
+            def counted():
+                sides = {}
+                for batch in batches:
+                    for side in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                        sides[side] = sides.get(side, 0) + 1
+                        if sides[side] > 2 * block:
+                            raise ValueError("large tile")
+                    yield batch
+
+            yield from inner(counted())
+
+        return run
+
+    monkeypatch.setattr(metric_join, "_join", limited)
+    out = {r["vec_id"]: r["n_links"] for r in metric_join.range_join(frame(spark, x.tolist()), block=block).collect()}
+    want = (links(x.astype(np.float32)) >= 0.95).sum(1)
+    assert out == {k: int(n) for k, n in enumerate(want)} and sum(out.values()) >= 200
+
+
 def test_range_join_edge_cases(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert metric_join.range_join(empty).count() == 0
