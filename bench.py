@@ -55,11 +55,10 @@ def main() -> None:
     hours = timed("clean", clean)
     joined = timed("weather_join", lambda: staged(weather.join_weather(hours, A.weather(spark, SF_DIR)), "joined"))
     table = timed("features", lambda: staged(features.build_features(joined), "features"))
-    settings = training.TrainSettings(partitions=1)
 
     def train():
         train_side, _, _ = evaluate.time_split(table)
-        return training.train_all(train_side, ("GradientBoosting",), settings=settings)
+        return training.train_all(train_side, ("GradientBoosting",))
 
     # Training reads the stored feature table, so its time is that of a retrain from stored features.
     timed("cached_retrain", train)

@@ -20,8 +20,8 @@ from hourgrid.plans.staging import staged
 from hourgrid.session import scratch_dir
 from hourgrid.streaming import jobs
 
-# The library's learners in full; a small table trains fastest in one partition.
-FULL = training.TrainSettings(partitions=1)
+# The library's learners in full, over the partitions of the feature table.
+FULL = training.TrainSettings()
 BOOSTED, FOREST = ("GradientBoosting",), ("RandomForest",)
 _TRAINED: dict = {}
 

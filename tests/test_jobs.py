@@ -44,6 +44,21 @@ def test_training_is_reproducible(table, trained):
     assert {(r.pollutant, r.mae) for r in again.collect()} == {(r.pollutant, r.mae) for r in trained[1].filter("model = 'GradientBoosting'").collect()}
 
 
+def test_registered_fits_run_over_the_partitions_of_the_table(table, monkeypatch):
+    from catalog import job_queries
+
+    counts = []
+
+    class Seen(training.Pipeline):
+        def fit(self, rows):
+            counts.append(rows.rdd.getNumPartitions())
+
+    monkeypatch.setattr(training, "Pipeline", Seen)
+    for train in training.TRAINERS.values():
+        train(table.repartition(5), job_queries.FULL)
+    assert counts == [5, 5]
+
+
 def test_store_round_trip_and_batch_scoring(spark, tmp_path, trained):
     from hourgrid import schemas
 
