@@ -18,11 +18,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component, once if its row is repeated; rows without an id stay."""
+    """The document with the least id of each component; rows without an id stay.
+
+    Rows of one id are one document to the join: they stay or go together. Of rows equal in id and text one
+    stays, the least by its other columns.
+    """
     small_batches(spark)
     extra = stage(ngram_join.jaccard_components(docs), "components").where("component_id != doc_id")
     known = docs.where("doc_id IS NOT NULL").join(extra.select("doc_id").distinct(), "doc_id", "left_anti")
-    return known.select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = known.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", "text", "_row.*") if others else known.distinct()
+    return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from llm import ngram_join as N
-from tests.llm.helpers import least_reachable, texts
+from tests.llm.helpers import DOCS, SF_DIR, least_reachable, texts
 
 
 def shingle_set(text):
@@ -76,3 +76,12 @@ def test_bitmap_bound_never_drops_a_link():
         if 100 * both >= 80 * (len(one) + len(two) - both):
             found = list(N._partners(np.zeros(2, np.int64), np.array([len(s) for s in sets]), np.arange(2), np.zeros(2), np.ones(2, bool), [N.parity_bitmap(s) for s in sets]))
             assert len(found) == 1
+
+
+def test_near_copies_keep_all_texts_of_a_reused_id(spark):
+    import corpus_pipeline
+
+    one, two = ("first text of five words", "x", "s", 24), ("second unlike story told in other terms", "x", "s", 39)
+    rows = [(1, *one), (1, *two), (1, *one), (2, None, "x", "b", 0), (2, None, "x", "a", 0), (2, "some third thing to read here", "x", "s", 29), (3, *one)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), SF_DIR).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, *one), (1, *two), (2, None, "x", "a", 0), rows[5]], key=str)
