@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, classifier, html_extract, metric_join, ngram_join, packing, posting_lists, secrets, sharding, warc
+from llm import bpe, classifier, conversations, html_extract, metric_join, ngram_join, packing, posting_lists, secrets, sharding, warc
 from llm.common import scratch, small_batches
 
 QUERIES, SQL = {}, {}
@@ -114,3 +114,88 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _step(way: str, cost: str, letter: str, line: str) -> str:
+    return f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 't': list_concat({way}.t, {line})}}"
+
+
+def _repair_sql() -> str:
+    """Forward steps over the rows of all conversations at once; a way is cost, audit and lines so far."""
+    def drop(p):
+        return _step(p, "2", "D", "[]")
+
+    def keep(p, initial):
+        return (f"CASE WHEN must OR initial != '{initial}' THEN {{'c': 1000000, 'a': '', 't': []::VARCHAR[]}} ELSE "
+                + _step(p, "late", "K", "[role || ':' || text]") + " END")
+
+    def rerole(p, role):
+        return (f"CASE WHEN must THEN {{'c': 1000000, 'a': '', 't': []::VARCHAR[]}} ELSE "
+                + _step(p, "late + 1", "R", f"['{role}:' || text]") + " END")
+
+    def insert(p, role):
+        return _step(p, "5", "I", f"['{role}:']")
+
+    before_user = ("p0", "p1", "p3")
+    return f"""
+    WITH RECURSIVE said AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(
+                string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+                    lambda v, i: xor(v >> 1, (v & 1) * 3988292384)))) % 20 AS fault
+        FROM conversations),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+            CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM said WHERE fault != 0),
+    placed AS (
+        SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+            rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ends
+        FROM damaged),
+    judged AS (
+        SELECT *, ends = '' AS blank, ends != '' AND nth > 1 AS duplicate, ends = '' OR nth > 1 AS must,
+            ends != '' AND nth = 1 AND right(ends, 1) NOT IN ('.', '!', '?') AS truncated,
+            lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial NOT IN ('su', 'ua', 'au') AS illegal
+        FROM placed),
+    counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+            count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+        FROM judged GROUP BY conv_id),
+    rows AS (SELECT conv_id, k, role, text, initial, must, CASE WHEN truncated THEN 5 ELSE 0 END AS late FROM judged),
+    walk AS (
+        SELECT conv_id, 0::BIGINT AS k, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS p0, {{'c': 1000000, 'a': '', 't': []::VARCHAR[]}} AS p1,
+            {{'c': 5, 'a': 'I', 't': ['user:']}} AS p2, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}} AS p3
+        FROM (SELECT DISTINCT conv_id FROM damaged)
+        UNION ALL
+        SELECT conv_id, k, p0, p1, p2, {_least("p3", insert("p2", "assistant"))} AS p3
+        FROM (SELECT conv_id, k, p0, p1, {_least("p2", *(insert(p, "user") for p in before_user))} AS p2, p3
+            FROM (SELECT w.conv_id, r.k, {drop("p0")} AS p0, {_least(drop("p1"), keep("p0", "s"))} AS p1,
+                    {_least(drop("p2"), *(keep(p, "u") for p in before_user), *(rerole(p, "user") for p in before_user))} AS p2,
+                    {_least(drop("p3"), keep("p2", "a"), rerole("p2", "assistant"))} AS p3
+                FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k + 1))),
+    done AS (
+        SELECT w.conv_id, {_least("p0", "p3")} AS best FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.k)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+        coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@register("op12_conversation_repair", _repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report = conversations.repair(conversations.damage(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
