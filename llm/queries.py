@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, classifier, conversations, html_extract, metric_join, ngram_join, packing, posting_lists, secrets, sharding, warc
+from llm import bpe, classifier, conversations, html_extract, metric_join, ngram_join, packing, pieces, posting_lists, secrets, sharding, warc
 from llm.common import scratch, small_batches
 
 QUERIES, SQL = {}, {}
@@ -26,10 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @register("op1_tag_path_ratios")
@@ -116,6 +116,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
 
 
+@register("op11_distinct_chunks")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, end=True).drop("text")
+    text = pieces.decode(ids, path)
+    return text.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def _least(*ways: str) -> str:
     return f"list_sort([{', '.join(ways)}])[1]"
 
