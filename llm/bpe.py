@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Code points whose classes do not depend on the version of the Unicode tables; others go by the library's own split.
 _STABLE = regex.compile("[\u0000-Ֆ֐-׿ऄ-ह‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-龥가-힣]*")
-_CACHED = 400_000
+_CACHED, _CACHED_CHARS, _LONG = 400_000, 1 << 23, 256
 _NONE = np.int64(1) << 40
 _FAR = 1 << 40
 
@@ -62,7 +62,7 @@ class Vocabulary:
             self.bytes[n] = token
         for text, n in self.special.items():
             self.bytes[n] = text.encode()
-        self._objects = np.array(self.bytes, object)
+        self.objects = np.array(self.bytes, object)
         self.left, self.right = np.full(top, -1), np.full(top, -1)
         pairs = []
         for one, two in merges:
@@ -195,7 +195,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of token ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(self._objects[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
+        return b"".join(self.objects[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
@@ -204,22 +204,32 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a bounded cache of words, which goes when it is full."""
+    """Encodes texts with a cache of words bounded in entries and characters, which goes when it is full.
 
-    def __init__(self, vocab: Vocabulary, cached: int = _CACHED):
-        self.vocab, self.cached, self.known = vocab, cached, {}
+    ``special=False`` takes the strings of special tokens as plain text.
+    """
+
+    def __init__(self, vocab: Vocabulary, cached: int = _CACHED, chars: int = _CACHED_CHARS, special: bool = True):
+        self.vocab, self.cached, self.chars, self.special = vocab, cached, chars, special
+        self.known, self.held = {}, 0
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text. Words are kept as the bytes of their ids, which join without a look at each."""
-        if len(self.known) > self.cached:
-            self.known = {}
-        if not self.known:
+        if len(self.known) > self.cached or self.held > self.chars:
+            self.known, self.held = {}, 0
+        if not self.known and self.special:
             self.known = {text: np.int32(n).tobytes() for text, n in self.vocab.special.items()}
-        split = [self.vocab.pieces(t) for t in texts]
+        split = [(self.vocab.pieces if self.special else self.vocab.words)(t) for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known)) if split else []
         known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.vocab.encode_words(new), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32) for pieces in split]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        for word in new:
+            if len(word) > _LONG:
+                del known[word]
+            else:
+                self.held += len(word)
+        return out
 
 
 @functools.lru_cache(maxsize=4)

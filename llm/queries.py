@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, classifier, conversations, html_extract, metric_join, ngram_join, packing, pieces, posting_lists, secrets, sharding, warc
+from llm import (
+    align, bpe, classifier, conversations, html_extract, metric_join, ngram_join, packing, pieces, posting_lists, secrets, sharding, warc,
+)
 from llm.common import scratch, small_batches
 
 QUERIES, SQL = {}, {}
@@ -210,3 +212,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@register("op13_diagonal_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return align.link_statistics(rows, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
