@@ -21,10 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm import bpe, pieces
+from llm import bpe, packing, pieces
 from llm.common import stage
 
-_CACHED = 100_000
 #: A block of documents ends after so many rows or characters.
 BLOCK_ROWS, BLOCK_CHARS = 500, 1 << 21
 
@@ -93,20 +92,22 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         vocab, model = bpe.vocabulary(path_a), pieces.piece_model(path_b)
-        self.first, self.second = bpe.Encoder(vocab, _CACHED, special=False), pieces.ChunkTable(model, _CACHED)
-        self.bytes_a, self.bytes_b = vocab.objects, model.objects
+        self.path, self.table = path_a, pieces.ChunkTable(model)
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (vocab.bytes, model.bytes))
         self.say_a = np.array([f"{k}{mark}".encode() for k in range(len(vocab.bytes)) for mark in ",|"], object)
         self.say_b = np.array([f"{k}{mark}".encode() for k in range(len(model.bytes)) for mark in ",;"], object)
 
     def align(self, texts: list[str]) -> list[Alignment | None]:
-        """The alignment of each text; None where it is empty or a tokenizer does not keep its bytes."""
-        texts = [" " + t for t in texts]
+        """The alignment of each text; None where it is empty or a tokenizer does not keep its bytes.
+
+        Byte-level tokens keep every byte. Pieces lose only markers in the text, which turn into spaces and are
+        longer than those, and what they call unknown; both show without a look at the bytes themselves.
+        """
         out = []
-        for text, a, b in zip(texts, self.first.encode_batch(texts), self.second.encode_batch([t[1:] for t in texts]), strict=True):
-            raw = text.encode()
-            same = len(text) > 1 and all(b"".join(words[ids].tolist()) == raw for words, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-            out.append(Alignment(a, b, self.size_a[a].cumsum(), self.size_b[b].cumsum()) if same else None)
+        for text, b in zip(texts, self.table.encode_batch(texts), strict=True):
+            kept = text and pieces.MARK not in text and not (b == self.table.model.unknown).any()
+            a = packing.token_ids(self.path, " " + text, special=False).astype(np.int64) if kept else b
+            out.append(Alignment(a, b, self.size_a[a].cumsum(), self.size_b[b].cumsum()) if kept else None)
         return out
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
-import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.bpe import PATTERN, batches_of_texts, byte_letters, is_stable
+from llm.bpe import PATTERN, Encoder, batches_of_texts, byte_letters, is_stable, vocabulary
 from llm.common import stage
 
 LENGTH = 1024
 END = 2
 OPEN_BINS = 512
 PACK = 20_000
+LONG_BLANK = 50_000
+_BLANK = re.compile(r"\s+")
 
 
 class BestFit:
@@ -72,15 +74,6 @@ class BestFit:
 
 # -- pieces -----------------------------------------------------------------------------------------------
 
-@functools.lru_cache(maxsize=4)
-def _exact(path: str):
-    """The tokenizers library's encoder."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 @functools.lru_cache(maxsize=4)
 def _fast(path: str):
     """A faster encoder over the same vocabulary, and the special tokens that it does not know."""
@@ -94,15 +87,22 @@ def _fast(path: str):
     return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
-def token_ids(path: str, text: str) -> np.ndarray:
+@functools.lru_cache(maxsize=4)
+def _exact(path: str, special: bool) -> Encoder:
+    return Encoder(vocabulary(path), 20_000, special=special)
+
+
+def token_ids(path: str, text: str, special: bool = True) -> np.ndarray:
     """Ids as the tokenizers library gives them, without added special tokens.
 
-    Texts with special tokens, or with characters that Unicode tables class differently, go to the library.
+    Texts with special tokens (unless those are plain text), with characters that Unicode tables class
+    differently, or with white space so long that the fast encoder's search runs out of room, take another encoder.
     """
-    fast, special = _fast(path)
-    if is_stable(text) and not any(s in text for s in special):
+    fast, tokens = _fast(path)
+    long = len(text) > LONG_BLANK and any(m.end() - m.start() > LONG_BLANK for m in _BLANK.finditer(text))
+    if not long and is_stable(text) and not (special and any(s in text for s in tokens)):
         return fast.encode_to_numpy(text)
-    return np.array(_exact(path).encode(text, add_special_tokens=False).ids, np.uint32)
+    return _exact(path, special).encode_batch([text])[0].astype(np.uint32)
 
 
 def piece_lengths(n: int, length: int = LENGTH) -> list[int]:

@@ -2,15 +2,14 @@
 
 No piece of such a model has a whitespace marker behind another character, so merging never crosses from a
 character to a marker: a text falls into marked words, each markers and what follows them. A worker keeps a
-table of the chunks it has met; each new one is segmented once, and a text's ids are its chunks' ids in
-order of position. Line feeds, where no longer piece holds one, part chunks as well.
+table of the chunks it has met; each new one is segmented once, by the library, and a text's ids are its
+chunks' ids in order of position. Line feeds, where no longer piece holds one, part chunks as well.
 """
 
 from __future__ import annotations
 
 import codecs
 import functools
-import heapq
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -25,7 +24,6 @@ from llm.bpe import batches_of_texts
 
 MARK = "▁"
 _CACHED, _CACHED_CHARS, _LONG = 200_000, 1 << 23, 256
-_NEVER = 1 << 40
 
 
 def _one_by_one(error):
@@ -36,93 +34,47 @@ codecs.register_error("llm.one_by_one", _one_by_one)
 
 
 class PieceModel:
-    """Pieces and scores of a model file; models whose pieces cross markers or that rewrite texts are refused."""
+    """Pieces of a model file; models whose pieces cross markers or that rewrite texts are refused."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
-        count = model.get_piece_size()
-        pieces = [model.id_to_piece(k) for k in range(count)]
+        self.library = model = SentencePieceProcessor(model_file=path)
+        every = range(model.get_piece_size())
+        pieces = [model.id_to_piece(k) for k in every]
         self.end, self.unknown = model.eos_id(), model.unk_id()
-        plain = [k for k in range(count) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
-        if any(MARK in p.lstrip(MARK) for p in map(pieces.__getitem__, plain)):
+        other = np.array([model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k) for k in every])
+        plain = np.flatnonzero(~other).tolist()
+        if any(MARK in pieces[k].lstrip(MARK) for k in plain):
             raise ValueError("pieces cross whitespace markers")
         if model.normalize(" a  ÅＡ\n ") != f"{MARK}{MARK}a{MARK}{MARK}ÅＡ\n{MARK}":
             raise ValueError("the model rewrites texts")
-        self.ids = {pieces[k]: k for k in plain}
-        longer = [k for k in plain if len(pieces[k]) > 1]
-        order = {score: r for r, score in enumerate(sorted({model.get_score(k) for k in longer}, reverse=True))}
-        self.rank = {pieces[k]: order[model.get_score(k)] for k in longer}
-        self.byte = {int(pieces[k][1:-1], 16): k for k in range(count) if model.is_byte(k)}
-        self.bytes: list[bytes] = [b""] * count
-        for k in plain:
-            self.bytes[k] = pieces[k].replace(MARK, " ").encode()
-        for value, k in self.byte.items():
-            self.bytes[k] = bytes([value])
+        self.bytes: list[bytes] = [b""] * len(every)
+        for k in every:
+            if model.is_byte(k):
+                self.bytes[k] = bytes([int(pieces[k][1:-1], 16)])
+            elif not other[k]:
+                self.bytes[k] = pieces[k].replace(MARK, " ").encode()
         self.bytes[self.unknown] = " ⁇ ".encode()
         self.objects = np.array(self.bytes, object)
-        self.control = np.array([model.is_control(k) for k in range(count)])
-        self.marked = np.zeros(count, bool)
+        self.control = np.array([model.is_control(k) for k in every])
+        self.marked = np.zeros(len(every), bool)
         self.marked[[k for k in plain if pieces[k].startswith(MARK)]] = True
-        # A text with these characters in other places than its chunks' edges does not exist.
-        alone = "" if any("\n" in p for p in self.rank) else "\n"
+        alone = "" if any("\n" in pieces[k] for k in plain if len(pieces[k]) > 1) else "\n"
         self._chunk = re.compile(("\n|" if alone else "") + f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+")
+        self._feed = len(model.encode("\n"))
 
     def chunks(self, text: str) -> list[str]:
         """Marked words of a text in order; the text gets a marker in front."""
         return self._chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def _symbols(self, chunk: str) -> list[str]:
-        """Merged symbols of a chunk: best score first, leftmost among equals."""
-        symbols = list(chunk)
-        if len(symbols) > 48:
-            return self._long(symbols)
-        get = self.rank.get
-        rank = [get(a + b, _NEVER) for a, b in pairwise(symbols)]
-        while rank and (best := min(rank)) < _NEVER:
-            k = rank.index(best)
-            symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
-            del rank[k]
-            if k:
-                rank[k - 1] = get(symbols[k - 1] + symbols[k], _NEVER)
-            if k < len(rank):
-                rank[k] = get(symbols[k] + symbols[k + 1], _NEVER)
-        return symbols
-
-    def _long(self, symbols: list[str]) -> list[str]:
-        """The same in n log n."""
-        n, get = len(symbols), self.rank.get
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, k) for k in range(n - 1) if (r := get(symbols[k] + symbols[k + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, k = heapq.heappop(heap)
-            j = after[k]
-            if not symbols[k] or j >= n or get(symbols[k] + symbols[j]) != r:
-                continue
-            symbols[k], symbols[j] = symbols[k] + symbols[j], ""
-            after[k] = after[j]
-            if after[j] < n:
-                before[after[j]] = k
-                if (r := get(symbols[k] + symbols[after[j]])) is not None:
-                    heapq.heappush(heap, (r, k))
-            if before[k] >= 0 and (r := get(symbols[before[k]] + symbols[k])) is not None:
-                heapq.heappush(heap, (r, before[k]))
-        return [s for s in symbols if s]
-
-    def segment(self, chunk: str) -> list[int]:
-        """Ids of a chunk; characters that the model lacks become their bytes."""
-        if (whole := self.ids.get(chunk)) is not None and len(chunk) == 1:
-            return [whole]
-        out = []
-        for symbol in self._symbols(chunk):
-            found = self.ids.get(symbol)
-            if found is not None:
-                out.append(found)
-            else:
-                out += [self.byte.get(b, self.unknown) for b in symbol.encode()] if self.byte else [self.unknown]
-        return out
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk. The library puts a marker in front; where a chunk has none, a line feed parts them."""
+        marked = [c[:1] == MARK for c in chunks]
+        found = self.library.encode([c[1:] if m else "\n" + c for c, m in zip(chunks, marked, strict=True)], num_threads=1)
+        # A marker alone is an empty text to the library, which gives it no pieces.
+        lone = self.library.piece_to_id(MARK)
+        return [(ids or [lone]) if m else ids[self._feed:] for ids, m in zip(found, marked, strict=True)]
 
     def decode(self, ids) -> str:
         """The text of ids: controls are silent, one marker goes from the front, bytes that are no UTF-8 are replaced."""
@@ -157,7 +109,7 @@ class ChunkTable:
         split = [self.model.chunks(t) for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known)) if split else []
-        known.update((c, array("i", self.model.segment(c)).tobytes()) for c in new)
+        known.update((c, array("i", ids).tobytes()) for c, ids in zip(new, self.model.segment(new), strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32) for chunks in split]
         for c in new:
             if len(c) > _LONG:

@@ -132,3 +132,11 @@ def test_query(spark, libraries):
     out = QUERIES["op13_diagonal_alignment"](spark, SF_DIR).collect()
     assert len(out) == len(docs)
     assert {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in out} == want
+
+
+def test_long_texts(libraries):
+    both = align.aligner(A, B)
+    for text in ("a" + " " * 300_000 + "b", "\n " * 100_000, "word " * 100_000, "x" * 200_000):
+        found = both.align([text])[0]
+        assert found.ends_a[-1] == len(text) + 1 and len(found.link_a) == len(found.a) + len(found.b) - len(found.at_a)
+        assert list(zip(found.a.tolist(), found.b.tolist(), strict=False))[:3] == list(zip(*([k for k, _ in s][:3] for s in tokens(libraries, text)), strict=False))
