@@ -28,6 +28,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and its rows no longer vary."""
     path = scratch(df.sparkSession, label)
@@ -35,6 +43,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows whose keys hash lowest. Of a large table only about 2 n rows reach the task that orders them."""
+    if total > 4 * n:
+        df = df.where(F.shiftrightunsigned(F.xxhash64(key), 32) < int(2 * n / total * 2**32))
+    return df.orderBy(F.shiftrightunsigned(F.xxhash64(key), 32), key).limit(n)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

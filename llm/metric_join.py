@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import components, forest, stage
+from llm.common import components, forest, hashed_sample, stage
 from llm.vectors import classes, matrix, one_length, unit
 
 COSINE = 0.95
@@ -203,7 +203,7 @@ def range_join(df: DataFrame, least: float = COSINE, pivots: int = PIVOTS, block
     ids = F.col(f"`{id_col}`").cast("long")
     if one_length(found) is None:
         return df.select(ids, F.lit(0).cast("long"), ids, F.coalesce(ids.isNotNull(), F.lit(False))).toDF(*names)
-    sample = found.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow()
+    sample = hashed_sample(found, "rep", SAMPLE, found.count()).select("vector").toArrow()
     centre = pick_pivots(unit(matrix(sample.column(0).combine_chunks())), pivots)
     cells = found.select("vector").mapInArrow(_homes(centre), "cell int, d double").groupBy("cell").agg(
         F.count("*").alias("n"), F.max("d").alias("radius")).collect()

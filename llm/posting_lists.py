@@ -3,20 +3,20 @@
 Centroids are fitted by balanced clustering on a bounded sample; their number follows the number of vectors
 up to a limit. Each vector goes to the lists of its nearest centroids, several if it lies near a boundary.
 Tasks find centroids with a neighbour graph in memory. A query visits the lists whose centroids are at most
-a given ratio farther than its nearest one. Lists are cut into chunks, so a crowded list is several tasks.
+a ratio farther than its nearest one; the ratio is fitted to the recall of searches within the sample. Lists are cut into chunks, so a crowded list is several tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import stage
+from llm.common import hashed_sample, stage
 from llm.vectors import matrix, one_length, unit, valid
 
 #: Vectors the centroids are fitted on, whatever the input's size.
@@ -25,7 +25,10 @@ LIST = 256
 CENTROIDS = 4096
 REPLICAS = 4
 BOUNDARY = 1.12
-RATIO = 1.18
+#: Share of true neighbours, within the sample, that the fitted ratio finds; at least WIDTH centroids are looked at.
+RECALL = 0.97
+HELD = 512
+WIDTH = 64
 DEGREE = 24
 CHUNK = 4096
 NEAREST = 5
@@ -33,10 +36,11 @@ NEAREST = 5
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids of unit length and for each the ids of its neighbours in the graph."""
+    """Centroids of unit length, for each the ids of its neighbours in the graph, and the pruning ratio fitted to them."""
 
     centroids: np.ndarray
     graph: np.ndarray
+    ratio: float = 1.0
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -127,24 +131,55 @@ def replicas(index: Index, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def fitted_ratio(index: Index, x: np.ndarray, k: int = NEAREST, recall: float = RECALL, held: int = HELD) -> float:
+    """The ratio at which searches for ``held`` rows of the sample find ``recall`` of their true neighbours in it.
+
+    A neighbour is found by the nearest of its lists. Neighbours in the whole table are nearer than those in
+    the sample, so the share found there is rather larger.
+    """
+    if len(x) < 2:
+        return 1.0
+    q = x[:held]
+    cos = q @ x.T
+    cos[np.arange(len(q)), np.arange(len(q))] = -2
+    near = np.argsort(-cos, axis=1, kind="stable")[:, :min(k, len(x) - 1)]
+    far = _distance(q @ index.centroids.T)
+    lists = dict(zip((at := np.unique(near)).tolist(), replicas(index, x[at]), strict=True))
+    least = np.maximum(far.min(1), 1e-9)
+    needed = [far[i, lists[j]].min() / least[i] for i, row in enumerate(near.tolist()) for j in row]
+    return float(max(1.0, np.quantile(needed, recall)))
+
+
 def fit(rows: DataFrame, total: int, per_list: int = LIST, sample: int = SAMPLE) -> Index:
     """Centroids from the ``sample`` vectors whose ids hash lowest; about one for ``per_list`` vectors."""
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+    taken = hashed_sample(rows, "id", sample, total).select("vector").toArrow()
     x = unit(matrix(taken.column(0).combine_chunks()))
     centre = balanced_centroids(x, int(min(max(1, -(-total // per_list)), CENTROIDS, len(x))))
-    return Index(centre, neighbour_graph(centre))
+    index = Index(centre, neighbour_graph(centre))
+    return replace(index, ratio=fitted_ratio(index, x))
 
 
-def visited(ids: np.ndarray, cos: np.ndarray, ratio: float, sizes: np.ndarray, need: int) -> list[np.ndarray]:
-    """Lists of each query: those within the ratio, and on to the next ones until they hold enough entries."""
-    far = _distance(cos)
-    held = np.cumsum(np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0), axis=1)
-    before = np.concatenate((np.zeros((len(ids), 1), held.dtype), held[:, :-1]), axis=1)
-    keep = (ids >= 0) & ((far <= ratio * far[:, :1] + 1e-12) | (before < need))
-    return [r[k].astype(np.int32) for r, k in zip(ids, keep, strict=True)]
+def visited(index: Index, x: np.ndarray, ratio: float, sizes: np.ndarray, need: int) -> list[np.ndarray]:
+    """Lists of each query: those within the ratio, and on to the next ones until they hold enough entries.
+
+    The graph is searched for ``WIDTH`` centroids; only queries that want the last of these search again, wider.
+    """
+    out: list[np.ndarray] = [None] * len(x)
+    todo, width = np.arange(len(x)), WIDTH
+    while len(todo):
+        ids, cos = search_graph(index, x[todo], width)
+        far = _distance(cos)
+        held = np.cumsum(np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0), axis=1)
+        before = np.concatenate((np.zeros((len(ids), 1), held.dtype), held[:, :-1]), axis=1)
+        keep = (ids >= 0) & ((far <= ratio * far[:, :1] + 1e-12) | (before < need))
+        done = ~keep[:, -1] | (width >= len(index.centroids))
+        for row in np.flatnonzero(done).tolist():
+            out[todo[row]] = ids[row][keep[row]].astype(np.int32)
+        todo, width = todo[~done], 4 * width
+    return out
 
 
-def _lists(shared, ratio=0.0, sizes=None, need=0):
+def _lists(shared, sizes=None, need=0, ratio=None):
     """(list, id, vector) rows: of the index, or of queries if the lists' sizes are given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -152,10 +187,7 @@ def _lists(shared, ratio=0.0, sizes=None, need=0):
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
                 x = unit(matrix(part.column(1)))
-                if sizes is not None:
-                    found = visited(*search_graph(index, x, len(index.centroids)), ratio, sizes, need)
-                else:
-                    found = replicas(index, x)
+                found = replicas(index, x) if sizes is None else visited(index, x, ratio or index.ratio, sizes, need)
                 row = np.repeat(np.arange(len(x)), [len(f) for f in found])
                 yield pa.record_batch([pa.array(np.concatenate(found).astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns)],
                                       names=["list", *part.schema.names])
@@ -250,14 +282,14 @@ def _few(least):
     return run
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, ratio: float = RATIO, per_list: int = LIST,
+def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, ratio: float | None = None, per_list: int = LIST,
             chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): up to k rows of ``df`` for each row of ``queries`` but itself.
 
     The score is the cosine of the original vectors in double precision; ties go to the smaller id. Rows
     without an id and vectors that are null, zero or hold null or non-finite components take no part. Every
     other row is indexed, equal vectors in one entry with the k + 1 least ids, beyond which no row can be among
-    k nearest. Repeated queries count once. Without queries or vectors there are no rows.
+    k nearest. ``ratio`` is fitted unless given. Repeated queries count once. Without queries or vectors there are no rows.
     """
     spark = df.sparkSession
 
@@ -277,7 +309,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, ratio: float =
     for row in lists.groupBy("list").count().collect():  # CENTROIDS rows at most
         held[row["list"]] = row["count"]
     # An entry may be in REPLICAS lists, so these hold k entries besides the query's own.
-    wanted = stage(asked.mapInArrow(_lists(index, ratio, held, REPLICAS * (k + 1)), "list int, id long, vector array<double>"), "queries")
+    wanted = stage(asked.mapInArrow(_lists(index, held, REPLICAS * (k + 1), ratio), "list int, id long, vector array<double>"), "queries")
 
     # Tiles of list chunk and query part, from the sizes of lists: a row each for at most CENTROIDS lists.
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_c")).join(

@@ -51,6 +51,8 @@ RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
+#: The rows of one blob meet its findings in so many tasks.
+SPREAD = 16
 _LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
 
@@ -99,7 +101,7 @@ def scan_unseen(versions: DataFrame, ledger: str, rules=RULES, id_col: str = "do
     pairs = blobs.withColumn("rule", F.explode(F.array(*map(F.lit, by_key))))
     todo = pairs.join(read_ledger(spark, ledger).select("blob", "rule"), ["blob", "rule"], "left_anti")
     todo = todo.groupBy("blob", "least").agg(F.collect_set("rule").alias("todo")).withColumnRenamed("blob", "_blob")
-    chosen = rows.join(todo, (rows["blob"] == todo["_blob"]) & rows["id"].eqNullSafe(todo["least"]))
+    chosen = rows.join(todo, (F.col("blob") == F.col("_blob")) & F.col("id").eqNullSafe(F.col("least")))
     found = chosen.select("blob", "todo", "text").mapInArrow(_scan(by_key), _LEDGER)
     found.write.mode("append").parquet(ledger)
 
@@ -121,17 +123,23 @@ def scan(versions: DataFrame, ledger: str | None = None, rules=RULES, id_col: st
          spans_col: str = "spans") -> DataFrame:
     """All columns of ``versions`` and ``spans``: array of (start, place, kind, end), empty where nothing is found.
 
-    Null texts count as empty; rows with null or equal ids are paths like any other. A column named
-    ``spans_col`` is replaced. Without a ledger a new one in the scratch folder is used.
+    Null and empty texts hold nothing; rows with null or equal ids are paths like any other; texts are read
+    whole, and an empty table gives no rows. Other columns pass whatever their names; one named ``spans_col``
+    is replaced. Without a ledger a new one in the scratch folder is used.
     """
     spark = versions.sparkSession
     path = ledger or scratch(spark, "ledger")
     scan_unseen(versions, path, rules, id_col, text_col)
-    found = findings(spark, path, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    empty = F.array().cast(found.schema["_spans"].dataType)
-    kept = [F.col(f"`{c}`") for c in versions.columns if c != spans_col]
-    joined = versions.withColumn("_at", blob_of(text_col)).join(found, F.col("_at") == F.col("_blob"), "left")
-    return joined.select(*kept, F.coalesce("_spans", empty).alias(spans_col))
+    kept = [c for c in versions.columns if c != spans_col]
+    names = [f"_{k}" for k in range(len(kept))]
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
+    inner = versions.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], blob_of(text_col).alias("blob"), salt.alias("salt"))
+    found = findings(spark, path, rules)
+    empty = F.array().cast(found.schema["spans"].dataType)
+    # Blobs with findings are few; each meets the rows of its blob in several tasks, however many rows hold it.
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    joined = inner.join(spread, ["blob", "salt"], "left")
+    return joined.select(*[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)], F.coalesce("spans", empty).alias(spans_col))
 
 
 def redacted(text: str, spans, mark: str = "[SECRET]") -> str:

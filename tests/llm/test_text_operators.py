@@ -58,6 +58,13 @@ def test_stable_characters_split_as_in_the_library(tokenizer):
 
 # -- packing ----------------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\t" * 2_000_000, "\n" * 2_000_000, "\n " * 600_000 + "a", "ab1" * 100_000, "word" * 300_000])
+def test_ids_of_very_long_texts(text):
+    exact = bpe.Encoder(bpe.vocabulary(tokenizer_path())).encode_batch([text])[0]
+    assert packing.token_ids(tokenizer_path(), text).tolist() == exact.tolist()
+    assert bpe.vocabulary(tokenizer_path()).decode(exact) == text
+
+
 def test_packing_is_whole_gapless_and_tight(spark, tokenizer):
     path = f"{SF_DIR}/documents.parquet"
     docs = spark.read.parquet(path).select("doc_id", "text").union(spark.createDataFrame([(None, None), (1, "again"), (1, "again")], "doc_id long, text string"))
@@ -286,3 +293,32 @@ def test_pipeline_keeps_its_promises(spark):
     assert [name for name, _ in P.STAGES] == ["quality classifier", "n-gram Jaccard join", "secret scans", "best-fit packing"]
     out = P.run(spark, SF_DIR)
     assert out.select("doc_id").distinct().count() <= kept.count()
+
+
+def test_stages_take_clashing_names_odd_types_and_no_rows(spark):
+    import corpus_pipeline as P
+
+    names = ("_score", "_spans", "_at", "_blob", "blob", "salt", "spans", "rule", "_row", "row", "_0", "ids", "size", "label", "component_id", "n_shingles")
+    rows = [(1, "one two three four five six password=hunter22", "en", "s", 45), (2, "one two three four five six password=hunter22", "en", "s", 45),
+            (2, "other words of the same id", None, None, 3), (3, None, None, None, None), (3, "", None, None, None), (None, "a b", "", "", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"own {k}"))
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    model_free = [P.drop_near_copies, P.redact_secrets, P.keep_good]
+    for step in model_free:
+        out = step(spark, docs, SF_DIR)
+        assert out.columns == docs.columns and all(r[name] == f"own {k}" for r in out.collect() for k, name in enumerate(names))
+        assert step(spark, docs.limit(0), SF_DIR).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in P.drop_near_copies(spark, docs, SF_DIR).collect()) == [0, 1, 3, 3]
+    assert {r["text"] for r in P.redact_secrets(spark, docs.where("doc_id = 1"), SF_DIR).collect()} == {"one two three four five six [SECRET]"}
+    assert {r["doc_id"] for r in P.pack_sequences(spark, docs, SF_DIR).collect()} == {1, 2, 3, None}
+    assert P.pack_sequences(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_stages_take_a_long_blank_text(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, " " * 1_200_000, "en", "s", 1), (2, "few words", "en", "s", 9)], DOCS)
+    kept = P.redact_secrets(spark, P.drop_near_copies(spark, docs, SF_DIR), SF_DIR)
+    assert {r["doc_id"] for r in P.pack_sequences(spark, kept, SF_DIR).collect()} == {1, 2}

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import math
 
 import numpy as np
@@ -126,6 +127,31 @@ def test_graph_reaches_all_centroids():
     assert all(set(r) == set(range(300)) for r in ids.tolist()) and (np.diff(cos, axis=1) <= 1e-12).all()
 
 
+def test_bounded_search_visits_what_a_full_one_does():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096 + 1024, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = posting_lists.Index(x[:4096], posting_lists.neighbour_graph(x[:4096]))
+    queries, sizes, start = x[4096:], np.full(4096, 10), time.time()
+    near = queries + 0.5 * x[:1024]
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    found = posting_lists.visited(index, near, 1.1, sizes, 24)
+    assert time.time() - start < 30
+    far = np.sqrt(np.maximum(0, 2 - 2 * near @ index.centroids.T))
+    want = [np.flatnonzero(row <= 1.1 * row.min() + 1e-12) for row in far]
+    assert np.mean([len(set(w) & set(f)) / len(w) for w, f in zip(want, found, strict=True)]) > 0.9
+    assert all(10 * len(f) >= 24 for f in found)
+
+
+def test_ratio_is_fitted_to_recall():
+    x = np.array(near_vectors(3000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centre = posting_lists.balanced_centroids(x, 60)
+    index = posting_lists.Index(centre, posting_lists.neighbour_graph(centre))
+    some, all_ = (posting_lists.fitted_ratio(index, x, recall=r) for r in (0.8, 1.0))
+    assert 1 <= some <= all_ and posting_lists.fitted_ratio(index, x[:1]) == 1
+
+
 # -- shards -----------------------------------------------------------------------------------------------
 
 def test_shards_have_exact_sizes_and_gapless_slots(spark):
