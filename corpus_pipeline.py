@@ -6,41 +6,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import classifier, ngram_join, packing, secrets
-from llm.common import scratch, small_batches, stage
+from llm.common import free_name, scratch, small_batches, stage
 from llm.queries import table, tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier gives at least even chances of label 1."""
+    """Documents that the compression classifier gives at least even chances of label 1.
+
+    Texts are scored whole, null ones as empty; every row is judged for itself, repeated rows alike, and all
+    columns pass whatever their names. An empty table stays empty.
+    """
     small_batches(spark)
+    score = free_name(docs, "_score")
     model = classifier.fit_on_labels(docs, table(spark, sf_dir, "labels"))
-    return classifier.score(docs, model, score_col="_score").where("_score >= 0.5").drop("_score")
+    return classifier.score(docs, model, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component; rows without an id stay.
 
     Rows of one id are one document to the join: they stay or go together. Of rows equal in id and text one
-    stays, the least by its other columns.
+    stays, the least by the JSON of its other columns, which may have any type and name. Null and empty texts
+    are near copies of nothing; long texts are compared whole; an empty table stays empty.
     """
     small_batches(spark)
-    extra = stage(ngram_join.jaccard_components(docs), "components").where("component_id != doc_id")
+    extra = stage(ngram_join.jaccard_components(docs.select("doc_id", "text")), "components").where("component_id != doc_id")
     known = docs.where("doc_id IS NOT NULL").join(extra.select("doc_id").distinct(), "doc_id", "left_anti")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = known.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", "text", "_row.*") if others else known.distinct()
-    return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    others = F.struct(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+    if len(docs.columns) > 2:
+        once = known.groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others)).alias("row"))
+        back = [F.col(f"row._{k}").alias(c) if c not in ("doc_id", "text") else F.col(c) for k, c in enumerate(docs.columns)]
+        once = once.select(*back)
+    else:
+        once = known.distinct()
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by a mark and n_chars counted anew."""
+    """All documents, with each secret replaced by a mark and n_chars counted anew.
+
+    Rows without a secret pass unchanged, null and empty texts among them; repeated rows are treated alike,
+    long texts as a whole. All columns pass whatever their names; an empty table stays empty.
+    """
     small_batches(spark)
-    found = secrets.scan(docs, spans_col="_spans").withColumn(
-        "text", F.when(F.size("_spans") > 0, secrets.redact("text", "_spans")).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+    spans = free_name(docs, "_spans")
+    found = secrets.scan(docs, spans_col=spans)
+    hit = F.size(spans) > 0
+    found = found.withColumn("text", F.when(hit, secrets.redact("text", spans)).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences of at most 1024."""
+    """Token pieces of all documents in sequences of at most 1024.
+
+    Null and empty texts are an end id alone; equal rows are documents of their own; a text of any length is
+    cut, not cropped. Other columns are not looked at. An empty table gives no rows.
+    """
     small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
