@@ -205,7 +205,9 @@ CTES: dict[str, str] = {
     "cover": """SELECT r.request_id, r.pollutant, count(n.request_id) AS n_raw_obs,
           coalesce(max(a.c), 0) AS coverage_hours,
           CASE WHEN count(*) FILTER (WHERE n.mine) > 0 THEN 171 - coalesce(max(a.c), 0) ELSE 0 END AS missing_hours,
-          coalesce(array_to_string(list_sort(list(DISTINCT n.site_name) FILTER (WHERE n.mine AND n.site_name IS NOT NULL)), ', '), '') AS sources
+          count(*) FILTER (WHERE n.mine) AS n_mine,
+          coalesce(array_to_string(list_sort(list(DISTINCT n.site_name) FILTER (WHERE n.mine AND n.site_name IS NOT NULL)), ', '), '') AS sources,
+          coalesce(array_to_string(list_sort(list(DISTINCT n.parameter) FILTER (WHERE n.parameter IS NOT NULL)), ', '), '') AS parameters_seen
         FROM live_req r LEFT JOIN near n ON n.request_id = r.request_id
         LEFT JOIN (SELECT request_id, count(value) AS c FROM area GROUP BY request_id) a ON a.request_id = r.request_id
         GROUP BY ALL""",
@@ -214,6 +216,7 @@ CTES: dict[str, str] = {
           max(value) FILTER (WHERE timestamp_utc = t0 - INTERVAL 1 HOUR) AS lag_1h,
           max(value) FILTER (WHERE timestamp_utc = t0 - INTERVAL 24 HOUR) AS lag_24h,
           max(value) FILTER (WHERE timestamp_utc = t0 - INTERVAL 168 HOUR) AS lag_168h,
+          count(value) FILTER (WHERE timestamp_utc >= t0 - INTERVAL 168 HOUR AND timestamp_utc < t0) AS week_count,
           """ + ", ".join(
         f"""CASE WHEN count(value) FILTER (WHERE timestamp_utc >= t0 - INTERVAL {w} HOUR AND timestamp_utc < t0) >= 2
             THEN {f}(value) FILTER (WHERE timestamp_utc >= t0 - INTERVAL {w} HOUR AND timestamp_utc < t0) END AS roll_{w}h_{n}"""

@@ -311,10 +311,32 @@ def hours(spark, sf):
 @register("bbox_range_join", f"SELECT request_id, parameter, count(*) AS records, count(value) AS readable, {snap('sum(value)', 4)} AS total FROM near GROUP BY request_id, parameter")
 def _(spark, sf):
     from catalog.snap import snap as cut
-    return near(spark, sf).groupBy("request_id", "parameter").agg(
+    entries = near(spark, sf).select("request_id", F.inline("entries"))
+    return entries.groupBy("request_id", "parameter").agg(
         F.sum("n_raw").alias("records"), F.sum("value_count").alias("readable"), cut(F.sum("value_sum"), 4).alias("total"))
 
 
+@register("place_index", f"""SELECT latitude AS place_latitude, longitude AS place_longitude, {text_time('timestamp_utc')}, parameter, count(*) AS records,
+    count(value) AS readable, {snap('sum(value)', 4)} AS total FROM (
+    SELECT DISTINCT r.latitude, r.longitude, o.event_id, o.timestamp_utc, o.parameter, o.value
+    FROM live_req r JOIN obs o ON o.latitude BETWEEN round(r.latitude - 0.15, 4) AND round(r.latitude + 0.15, 4)
+      AND o.longitude BETWEEN round(r.longitude - 0.18, 4) AND round(r.longitude + 0.18, 4)
+      AND o.timestamp_utc BETWEEN r.end_hour - INTERVAL 170 HOUR AND r.end_hour) GROUP BY ALL""")
+def _(spark, sf):
+    from catalog.snap import snap as cut
+    requests, sites = A.live_requests(spark, sf), live.site_hours(live.readings(A.observations(spark, sf)))
+    index = live.place_hours(live.place_days(requests), sites)
+    end = F.floor(F.unix_seconds("end_hour") / 3600)
+    windows = requests.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), end.alias("_to")).distinct()
+    # Requests of a place may leave hours between their windows, which only whole days of the index hold.
+    asked = index.alias("i").join(windows.alias("w"), (F.col("i._lat") == F.col("w._lat")) & (F.col("i._lon") == F.col("w._lon"))
+                                  & F.col("_hour").between(F.col("_to") - 170, F.col("_to")), "left_semi")
+    entries = asked.select(F.col("_lat").alias("place_latitude"), F.col("_lon").alias("place_longitude"),
+                           F.timestamp_seconds(F.col("_hour") * 3600).alias("timestamp_utc"), F.inline("entries"))
+    return entries.select("place_latitude", "place_longitude", "timestamp_utc", "parameter", F.col("n_raw").alias("records"),
+                          F.col("value_count").alias("readable"), cut(F.col("value_sum"), 4).alias("total"))
+
+
 @register("hourly_area_mean", f"SELECT request_id, {text_time('timestamp_utc')}, {snap('value')} AS value FROM area WHERE value IS NOT NULL")
 def _(spark, sf):
     rows = hours(spark, sf).filter(F.col("value").isNotNull())
@@ -328,10 +350,21 @@ def _(spark, sf):
     return live.request_grid(A.live_requests(spark, sf), hours(spark, sf))
 
 
-@register("live_coverage", "SELECT request_id, pollutant, n_raw_obs, coverage_hours, missing_hours, sources FROM cover")
+def said(warnings="warnings"):
+    """Warnings as text: code, feature and count, in order."""
+    return F.array_join(F.transform(warnings, lambda w: F.concat_ws(":", w["code"], w["feature"], w["count"])), "; ")
+
+
+COVER_SAID = """CASE WHEN n_raw_obs = 0 THEN 'no_records:0' END,
+    CASE WHEN n_raw_obs > 0 AND n_mine = 0 THEN 'other_parameters_only:' || n_raw_obs END,
+    CASE WHEN n_mine > 0 AND coverage_hours < 171 THEN 'hours_missing:' || (171 - coverage_hours) END"""
+
+
+@register("live_coverage", f"""SELECT request_id, pollutant, n_raw_obs, coverage_hours, missing_hours, sources, parameters_seen,
+    concat_ws('; ', {COVER_SAID}) AS warnings FROM cover""")
 def _(spark, sf):
-    return live.live_coverage(A.live_requests(spark, sf), hours(spark, sf)).withColumn(
-        "sources", F.array_join("sources", ", ")).drop("warnings")
+    return live.live_coverage(A.live_requests(spark, sf), hours(spark, sf)).withColumns({
+        "sources": F.array_join("sources", ", "), "parameters_seen": F.array_join("parameters_seen", ", "), "warnings": said()})
 
 
 @register("latest_observation", f"SELECT request_id, {text_time('t0', 'latest_hour')} FROM latest")
@@ -358,22 +391,42 @@ def live_weather(spark, sf):
 
 
 A_FINE, B_FINE = "(request_id % 3 <> 0 AND request_id % 5 <> 0)", "(request_id % 2 <> 0 AND request_id % 7 <> 0)"
-LIVE_WX = f"""CASE WHEN {A_FINE} THEN request_id % 30 WHEN {B_FINE} THEN request_id % 20 END"""
+LIVE_WX = {"temperature_2m": ("request_id % 30", "request_id % 20"), "wind_speed_10m": ("2.5", "1.5"), "relative_humidity_2m": ("request_id % 90", "request_id % 80")}
 STATUS = "CASE WHEN t0 IS NULL THEN 'no observations' WHEN lag_1h IS NULL OR lag_24h IS NULL THEN 'missing essential lags' ELSE 'ok' END"
+SOURCE = f"CASE WHEN {A_FINE} THEN 'provider A' WHEN {B_FINE} THEN 'provider B' ELSE 'all weather sources failed' END"
+FAILED = f"""CASE WHEN NOT {A_FINE} AND NOT {B_FINE} THEN 'all weather sources failed: '
+    || CASE WHEN request_id % 2 = 0 THEN 'no answer' ELSE 'unreachable' END END"""
+FEATURE_SAID = ", ".join([f"CASE WHEN t0 IS NOT NULL AND lag_{k}h IS NULL THEN 'lag_missing:lag_{k}h' END" for k in (1, 24, 168)] + [
+    "CASE WHEN t0 IS NOT NULL AND roll_168h_mean IS NULL THEN 'few_values:roll_168h_mean:' || week_count END",
+    "CASE WHEN t0 IS NOT NULL THEN 'drift_assumed:drift_flag' END",
+    f"CASE WHEN t0 IS NOT NULL AND NOT {A_FINE} AND NOT {B_FINE} THEN 'no_weather' END"])
+
+
+def _label(name):
+    """SQL of a feature's source label."""
+    if name.startswith(("lag_", "roll_")):
+        return f"CASE WHEN {name} IS NULL THEN 'unavailable/backfilled' ELSE '{'live' if name.startswith('lag_') else 'derived'}' END"
+    if name in LIVE_WX:
+        return f"CASE WHEN {A_FINE} OR {B_FINE} THEN 'live' ELSE 'unavailable/backfilled' END"
+    return {"latitude": "'input'", "longitude": "'input'", "drift_flag": "'derived/assumed'"}.get(name, "'derived'")
 
 
 def live_rows(spark, sf):
     return live.live_features(A.live_requests(spark, sf), A.observations(spark, sf), live_weather(spark, sf), digits=None)
 
 
-@register("live_features", f"""SELECT l.request_id, l.pollutant, {STATUS} AS status, {text_time('t0', 'latest_hour')},
-    {text_time('t0 + INTERVAL 24 HOUR', 'target_time')}, {fields(READINGS)}, {fields(CALENDAR)},
-    {snap(f'CAST({LIVE_WX} AS DOUBLE)')} AS temperature_2m, c.n_raw_obs, c.coverage_hours, c.missing_hours, c.sources
-    FROM (SELECT *, {calendar('t0')} FROM live) l JOIN (SELECT request_id AS r, * FROM cover) c ON c.r = l.request_id""".replace("FROM (SELECT *,", "FROM (SELECT live.*,").replace("request_id % ", "l.request_id % "))
+@register("live_features", f"""SELECT request_id, pollutant, {STATUS} AS status, {text_time('t0', 'latest_hour')},
+    {text_time('t0 + INTERVAL 24 HOUR', 'target_time')}, {fields(READINGS)}, {fields(CALENDAR)}, CAST(season AS DOUBLE) AS season, latitude, longitude, CAST(0 AS DOUBLE) AS drift_flag,
+    {', '.join(f"{snap(f'CAST(CASE WHEN {A_FINE} THEN {a} WHEN {B_FINE} THEN {b} END AS DOUBLE)')} AS {c}" for c, (a, b) in LIVE_WX.items())},
+    concat_ws('; ', {', '.join(f"'{c}=' || {_label(c)}" for c in sorted(C.FEATURES))}) AS feature_provenance,
+    concat_ws('; ', {COVER_SAID}, {FEATURE_SAID}) AS warnings, {SOURCE} AS weather_source, {FAILED} AS weather_error,
+    n_raw_obs, coverage_hours, missing_hours, sources, parameters_seen
+    FROM (SELECT live.*, {calendar('t0')}, cover.* EXCLUDE (request_id, pollutant) FROM live JOIN cover ON cover.request_id = live.request_id)""")
 def _(spark, sf):
-    return live_rows(spark, sf).select(
-        "request_id", "pollutant", "status", "latest_hour", "target_time", *READINGS, *CALENDAR, "temperature_2m",
-        "n_raw_obs", "coverage_hours", "missing_hours", F.array_join("sources", ", ").alias("sources"))
+    labels = F.transform(F.array_sort(F.map_entries("feature_provenance")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return live_rows(spark, sf).drop("features_used").withColumns({
+        "sources": F.array_join("sources", ", "), "parameters_seen": F.array_join("parameters_seen", ", "),
+        "feature_provenance": F.array_join(labels, "; "), "warnings": said()})
 
 
 _MISSING = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in READINGS)

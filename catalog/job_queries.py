@@ -135,13 +135,22 @@ def _(spark, sf):
     return spark.read.parquet(landed(spark, jobs.hourly_means(measurement_stream(spark, sf)), "hourly"))
 
 
-@register("stream_rolling", f"""SELECT * FROM (SELECT station_id, pollutant, {text_time('t', 'timestamp_utc')}, {snap('avg(value)')} AS mean,
+def rolling_sql(width):
+    return f"""SELECT * FROM (SELECT station_id, pollutant, {text_time('t', 'timestamp_utc')}, {snap('avg(value)')} AS mean,
     {snap('stddev_pop(value)')} AS std, count(value) AS hours FROM (SELECT *, unnest(generate_series(timestamp_utc + INTERVAL 1 HOUR,
-      timestamp_utc + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS t FROM ({HOURLY})) WHERE t <= {CLOSED} GROUP BY station_id, pollutant, t) WHERE hours >= 2""")
+      timestamp_utc + INTERVAL {width} HOUR, INTERVAL 1 HOUR)) AS t FROM ({HOURLY})) WHERE t <= {CLOSED} GROUP BY station_id, pollutant, t) WHERE hours >= 2"""
+
+
+@register("stream_rolling", rolling_sql(24))
 def _(spark, sf):
     return spark.read.parquet(landed(spark, jobs.rolling_means(measurement_stream(spark, sf)), "rolling"))
 
 
+@register("stream_rolling_168h", rolling_sql(168))
+def _(spark, sf):
+    return spark.read.parquet(landed(spark, jobs.rolling_means(measurement_stream(spark, sf), 168), "rolling-week"))
+
+
 @register("late_data", f"""SELECT station_id, pollutant, count(*) AS hours, CAST(sum(readings) AS BIGINT) AS readings FROM ({HOURLY})
     WHERE timestamp_utc >= (SELECT to_timestamp(CAST(floor((epoch(min(timestamp_utc)) + epoch(max(timestamp_utc))) / 2 / 3600) * 3600 AS BIGINT)) FROM meas)::TIMESTAMP
     GROUP BY station_id, pollutant""")

@@ -60,38 +60,64 @@ def _cell(column: Column, size: float) -> Column:
     return F.floor(column / size)
 
 
-def nearby(requests: DataFrame, sites: DataFrame, history_hours: int = C.HISTORY_HOURS) -> DataFrame:
-    """Site hours inside each request's box and time window.
-
-    A range join in three dimensions as an equi-join on grid cells and day buckets with the exact
-    limits checked afterwards. The day in the key spreads a crowded cell over many tasks.
-    """
+def place_days(requests: DataFrame, history_hours: int = C.HISTORY_HOURS) -> DataFrame:
+    """One row per different place and day that some request asks for, with the hours asked for on that day."""
     end = B.hour_index(F.col("end_hour"))
-    asked = requests.select(
-        "request_id", "pollutant", (end - history_hours).alias("_from"), end.alias("_to"),
-        *(column.alias(f"_{name}") for name, column in R.bounding_box(F.col("latitude"), F.col("longitude")).items()),
+    asked = requests.select("latitude", "longitude", (end - history_hours).alias("_from"), end.alias("_to")).distinct()
+    day = F.explode(F.sequence(_cell(F.col("_from"), BUCKET_HOURS), _cell(F.col("_to"), BUCKET_HOURS)))
+    return asked.withColumn("_day", day).groupBy("latitude", "longitude", "_day").agg(
+        F.greatest(F.min("_from"), F.first("_day") * BUCKET_HOURS).alias("_low"),
+        F.least(F.max("_to"), F.first("_day") * BUCKET_HOURS + BUCKET_HOURS - 1).alias("_high"),
     )
 
+
+def place_hours(days: DataFrame, sites: DataFrame) -> DataFrame:
+    """Per place and hour an entry for each parameter: sums over the sites inside the place's box.
+
+    A range join in three dimensions as an equi-join on grid cells and day buckets with the exact limits
+    checked afterwards. Its rows follow the places, however many requests ask for one; the day in the key
+    spreads a crowded cell over many tasks.
+    """
     def buckets(low: Column, high: Column, size: float) -> Column:
         return F.explode(F.sequence(_cell(low, size), _cell(high, size)))
 
-    asked = (
-        asked.withColumn("_cy", buckets(F.col("_min_lat"), F.col("_max_lat"), CELL_LATITUDE))
-        .withColumn("_cx", buckets(F.col("_min_lon"), F.col("_max_lon"), CELL_LONGITUDE))
-        .withColumn("_day", buckets(F.col("_from"), F.col("_to"), BUCKET_HOURS))
+    boxes = days.select(
+        F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), "_day", "_low", "_high",
+        *(column.alias(f"_{name}") for name, column in R.bounding_box(F.col("latitude"), F.col("longitude")).items()),
     )
+    boxes = boxes.withColumn("_cy", buckets(F.col("_min_lat"), F.col("_max_lat"), CELL_LATITUDE)).withColumn(
+        "_cx", buckets(F.col("_min_lon"), F.col("_max_lon"), CELL_LONGITUDE))
     placed = sites.withColumns({
         "_hour": B.hour_index(F.col("timestamp_utc")),
         "_cy": _cell(F.col("latitude"), CELL_LATITUDE), "_cx": _cell(F.col("longitude"), CELL_LONGITUDE),
     }).withColumn("_day", _cell(F.col("_hour"), BUCKET_HOURS))
-    return asked.join(placed, ["_cy", "_cx", "_day"]).filter(
-        F.col("_hour").between(F.col("_from"), F.col("_to"))
+    matched = boxes.join(placed, ["_cy", "_cx", "_day"]).filter(
+        F.col("_hour").between(F.col("_low"), F.col("_high"))
         & F.col("latitude").between(F.col("_min_lat"), F.col("_max_lat"))
         & F.col("longitude").between(F.col("_min_lon"), F.col("_max_lon"))
-    ).select(
-        "request_id", "pollutant", "_hour", "timestamp_utc", "latitude", "longitude", "site_name",
-        "parameter", "n_raw", "value_sum", "value_count", "labelled",
     )
+    labelled = F.when(F.col("labelled").isNotNull(), F.struct(
+        F.col("_hour").alias("hour"), F.col("labelled.site_code").alias("code"), F.col("labelled.unit").alias("unit"),
+    ))
+    sums = matched.groupBy("_lat", "_lon", "_day", "_hour", "parameter").agg(
+        F.sum("n_raw").alias("n_raw"), F.sum("value_sum").alias("value_sum"), F.sum("value_count").alias("value_count"),
+        F.min(labelled).alias("labelled"), F.collect_set("site_name").alias("sites"),
+    )
+    # Parameters are a handful, so an hour's entries are a short list.
+    entry = F.struct("parameter", "n_raw", "value_sum", "value_count", "labelled", "sites")
+    return sums.groupBy("_lat", "_lon", "_day", "_hour").agg(F.collect_list(entry).alias("entries"))
+
+
+def nearby(requests: DataFrame, sites: DataFrame, history_hours: int = C.HISTORY_HOURS) -> DataFrame:
+    """Per request and hour of its window the entries of its place: ``request_id, pollutant, _hour, entries``."""
+    end = B.hour_index(F.col("end_hour"))
+    index = place_hours(place_days(requests, history_hours), sites)
+    asked = requests.select(
+        "request_id", "pollutant", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
+        (end - history_hours).alias("_from"), end.alias("_to"),
+    ).withColumn("_day", F.explode(F.sequence(_cell(F.col("_from"), BUCKET_HOURS), _cell(F.col("_to"), BUCKET_HOURS))))
+    return asked.join(index, ["_lat", "_lon", "_day"]).filter(F.col("_hour").between(F.col("_from"), F.col("_to"))).select(
+        "request_id", "pollutant", "_hour", "entries")
 
 
 def _parameter_of(pollutant: Column) -> Column:
@@ -100,17 +126,15 @@ def _parameter_of(pollutant: Column) -> Column:
 
 def request_hours(matched: DataFrame) -> DataFrame:
     """Per request and hour: the area sum of the asked pollutant and what the report needs."""
-    mine = F.col("parameter") == _parameter_of(F.col("pollutant"))
-    labelled = F.when(mine & F.col("labelled").isNotNull(), F.struct(
-        F.col("_hour").alias("hour"), F.col("labelled.site_code").alias("code"), F.col("labelled.unit").alias("unit"),
-    ))
-    return matched.groupBy("request_id", "pollutant", "_hour").agg(
-        F.sum("n_raw").alias("n_raw"), F.count_if(mine).alias("n_mine"),
-        F.sum(F.when(mine, F.col("value_sum"))).alias("_sum"),
-        F.coalesce(F.sum(F.when(mine, F.col("value_count"))), F.lit(0)).alias("_count"),
-        F.min(labelled).alias("_labelled"),
-        F.collect_set(F.when(mine, F.col("site_name"))).alias("_sites"),
-        F.collect_set("parameter").alias("_parameters"),
+    mine = F.filter("entries", lambda e: e["parameter"] == _parameter_of(F.col("pollutant")))
+    rows = matched.withColumn("_mine", F.get(mine, F.lit(0)))
+    return rows.select(
+        "request_id", "pollutant", "_hour",
+        F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["n_raw"]).alias("n_raw"),
+        F.coalesce("_mine.n_raw", F.lit(0).cast("long")).alias("n_mine"), F.col("_mine.value_sum").alias("_sum"),
+        F.coalesce("_mine.value_count", F.lit(0).cast("long")).alias("_count"), F.col("_mine.labelled").alias("_labelled"),
+        F.coalesce("_mine.sites", F.array().cast("array<string>")).alias("_sites"),
+        F.transform("entries", lambda e: e["parameter"]).alias("_parameters"),
     )
 
 
@@ -141,7 +165,7 @@ def request_grid(requests: DataFrame, hours: DataFrame, history_hours: int = C.H
 
 
 def live_coverage(requests: DataFrame, hours: DataFrame, history_hours: int = C.HISTORY_HOURS) -> DataFrame:
-    """Per request: raw records, hours with and without a value, site names and warnings."""
+    """Per request: raw records, hours with and without a value, site names, parameters seen and warnings."""
     found = hours.groupBy("request_id").agg(*_coverage_aggregates())
     joined = requests.join(found, "request_id", "left")
     return joined.select(
@@ -161,29 +185,45 @@ def _coverage_aggregates() -> list[Column]:
 def _coverage_columns(history_hours: int) -> list[Column]:
     covered = F.coalesce("_covered", F.lit(0))
     any_mine = F.coalesce("_mine", F.lit(0)) > 0
+    none = F.array().cast("array<string>")
     return [
         F.coalesce("_raw", F.lit(0)).alias("n_raw_obs"), covered.alias("coverage_hours"),
         # Without any record of the pollutant no grid is laid out at all.
         F.when(any_mine, F.lit(history_hours + 1) - covered).otherwise(F.lit(0)).alias("missing_hours"),
-        F.coalesce("_sources", F.array().cast("array<string>")).alias("sources"),
+        F.coalesce("_sources", none).alias("sources"), F.coalesce("_seen", none).alias("parameters_seen"),
     ]
 
 
+# -- Warnings: array<struct<code, feature, count>>, worded by whoever shows them -------------------
+
+NO_RECORDS, OTHER_PARAMETERS, HOURS_MISSING = "no_records", "other_parameters_only", "hours_missing"
+LAG_MISSING, ODD_UNIT, FEW_VALUES, DRIFT_ASSUMED, NO_WEATHER = "lag_missing", "odd_unit", "few_values", "drift_assumed", "no_weather"
+
+
+def _warning(when: Column, code: str, feature: str | None = None, count: Column | None = None) -> Column:
+    return F.when(when, F.struct(
+        F.lit(code).alias("code"), F.lit(feature).cast("string").alias("feature"),
+        (F.lit(None) if count is None else count).cast("long").alias("count"),
+    ))
+
+
 def _coverage_warnings(history_hours: int) -> list[Column]:
     raw, mine = F.coalesce("_raw", F.lit(0)), F.coalesce("_mine", F.lit(0))
     missing = F.lit(history_hours + 1) - F.coalesce("_covered", F.lit(0))
     return [
-        F.when(raw == 0, F.format_string(
-            f"No observations for %s near (%.4f, %.4f) in the past {history_hours} h.",
-            F.col("pollutant"), F.col("latitude"), F.col("longitude"),
-        )),
-        F.when((raw > 0) & (mine == 0), F.concat(
-            F.lit("No '"), _parameter_of(F.col("pollutant")), F.lit("' observations in response (only: "),
-            F.array_join("_seen", ", "), F.lit(")."),
-        )),
-        F.when((mine > 0) & (missing > 0), F.format_string(
-            f"%d of {history_hours + 1} hours have no observation (station gaps or reporting delays).", missing,
-        )),
+        _warning(raw == 0, NO_RECORDS, count=raw), _warning((raw > 0) & (mine == 0), OTHER_PARAMETERS, count=raw),
+        _warning((mine > 0) & (missing > 0), HOURS_MISSING, count=missing),
+    ]
+
+
+def _feature_warnings() -> list[Column]:
+    found = F.col("latest_hour").isNotNull()
+    return [
+        *(_warning(found & F.col(f"lag_{k}h").isNull(), LAG_MISSING, f"lag_{k}h") for k in (1, 24, 168)),
+        _warning(F.coalesce("_unit_warning", F.lit(False)), ODD_UNIT),
+        _warning(found & F.col("roll_168h_mean").isNull(), FEW_VALUES, "roll_168h_mean", F.col("_week_count")),
+        _warning(found, DRIFT_ASSUMED, "drift_flag"),
+        _warning(found & F.col("weather_error").isNotNull(), NO_WEATHER),
     ]
 
 
@@ -307,28 +347,6 @@ def provenance() -> Column:
     return F.create_map(*(part for k, v in labels.items() for part in (F.lit(k), v)))
 
 
-def _feature_warnings() -> list[Column]:
-    latest = F.col("latest_hour")
-    warnings = [
-        F.when(latest.isNotNull() & F.col(f"lag_{k}h").isNull(), F.concat(
-            F.lit(f"lag_{k}h: no observation at "), S.iso_utc(latest - F.expr(f"interval {k} hours")), F.lit("."),
-        ))
-        for k in (1, 24, 168)
-    ]
-    warnings += [
-        F.when(F.col("_unit_warning"), F.lit("ozone: unexpected unit, value taken as it is.")),
-        F.when(latest.isNotNull() & F.col("roll_168h_mean").isNull(), F.format_string(
-            "roll_168h features unavailable: only %d non-null observations in the 168h window (need 2).",
-            F.col("_week_count"),
-        )),
-        F.when(latest.isNotNull(), F.lit("drift_flag set to 0 (assumed).")),
-        F.when(latest.isNotNull() & F.col("weather_error").isNotNull(), F.concat(
-            F.lit("weather unavailable ("), F.col("weather_error"), F.lit("); passed as missing."),
-        )),
-    ]
-    return warnings
-
-
 PROVENANCE_LABELS = ("live", "derived", UNAVAILABLE, ASSUMED)
 
 

@@ -174,6 +174,82 @@ def test_an_hour_behind_the_watermark_is_emitted_late(spark, tmp_path):
     assert sorted(hours) == [*range(5), *range(10, 22)]
 
 
+class Rows:
+    """Map state of one series in a dictionary."""
+
+    def __init__(self):
+        self.rows = {}
+
+    def getMapState(self, *_):
+        return self
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+def test_days_of_a_series_are_held_a_few_at_a_time():
+    rng, rows = np.random.default_rng(8), Rows()
+    days, want = jobs.DayState(rows), {}
+    for hour in rng.integers(0, 24 * 400, 5000).tolist():
+        assert days.put(hour, hour / 2 if hour % 9 else None) == (hour not in want)
+        want[hour] = hour / 2 if hour % 9 else np.nan
+        assert len(days._held) <= jobs.HELD_DAYS
+    for start in rng.integers(200, 24 * 390, 50).tolist():
+        expected = [want[h] for h in range(start, start + 168) if h in want and want[h] == want[h]]
+        assert days.span(start, start + 168).tolist() == expected and len(days._held) <= jobs.HELD_DAYS
+    first = min(want)
+    assert days.waiting(first // 24)[0] == first
+    days.emitted(first)
+    days.forget_held()
+    assert first not in days.waiting(first // 24) and not days.put(first, 7.0) and days.get(first) == 7.0
+    days.drop(first // 24)
+    assert days.waiting(first // 24) == [] and days.put(first, 1.0)
+
+
+def test_a_long_backfill_gives_the_same_rows_in_one_and_in_many_triggers(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    hours = [h for h in range(24 * 365 * 2) if rng.random() < 0.9 and not 3000 < h < 5000]
+    rows = [("S", "pm25", (START + pd.Timedelta(hours=h)).to_pydatetime(), float(rng.uniform(1, 9))) for h in hours]
+    results = []
+    for parts in (1, 4):
+        source, out, state = (str(tmp_path / f"{x}{parts}") for x in ("in", "out", "state"))
+        for k in range(parts):
+            part = rows[k * len(rows) // parts:(k + 1) * len(rows) // parts]
+            spark.createDataFrame(part, MEASURED).repartition(2).write.mode("append").parquet(source)
+            jobs.run(jobs.to_table(jobs.live_features(jobs.read_stream(spark, source, MEASURED)), out, state))
+        results.append(pulled(spark.read.parquet(out)).sort_values("timestamp_utc", ignore_index=True))
+    one, many = results
+    assert len(one) == len(hours)
+    pd.testing.assert_frame_equal(one, many)
+
+
+def test_rolling_of_any_width_equals_a_direct_one(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    hours = sorted(rng.choice(500, 350, replace=False).tolist())
+    value = dict(zip(hours, rng.uniform(1, 9, 350).tolist(), strict=True))
+    for width in (24, 200):
+        source, out, state = (str(tmp_path / f"{x}{width}") for x in ("in", "out", "state"))
+        for part in (hours[:120], hours[120:121], hours[121:]):
+            spark.createDataFrame([("S", "pm25", (START + pd.Timedelta(hours=h)).to_pydatetime(), value[h]) for h in part], MEASURED).write.mode("append").parquet(source)
+            jobs.run(jobs.to_table(jobs.rolling_means(jobs.read_stream(spark, source, MEASURED), width), out, state))
+        got = {int((r.timestamp_utc - START.to_pydatetime()).total_seconds() // 3600): (r["mean"], r["std"], r.hours) for r in spark.read.parquet(out).collect()}
+        want = {}
+        for t in range(hours[0] + 1, hours[-1] - 2 + 1):
+            inside = [value[h] for h in range(t - width, t) if h in value]
+            if len(inside) >= 2:
+                want[t] = (pytest.approx(np.mean(inside)), pytest.approx(np.std(inside)), len(inside))
+        assert got == want
+
+
 def test_streamed_scores(spark, tmp_path, trained):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     rows = [("S", "pm25", (START + pd.Timedelta(hours=h)).to_pydatetime(), 20.0) for h in range(40)]

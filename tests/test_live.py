@@ -46,7 +46,7 @@ def test_range_join_equals_brute_force(spark):
     back = rng.integers(-5, 200, n)
     obs = [observation(float(a), float(o), END - dt.timedelta(hours=int(h)), code=str(i)) for i, (a, o, h) in enumerate(zip(lat, lon, back))]
     asked = [("pm25", float(a), float(o), END - dt.timedelta(hours=int(h))) for a, o, h in zip(34 + rng.uniform(-0.5, 0.5, 30), -118 + rng.uniform(-0.5, 0.5, 30), rng.integers(0, 60, 30))]
-    got = live.nearby(ask(spark, *asked), live.site_hours(live.readings(table(spark, obs)))).groupBy("request_id").agg(F.sum("n_raw").alias("n")).collect()
+    got = live.nearby(ask(spark, *asked), live.site_hours(live.readings(table(spark, obs)))).select("request_id", F.inline("entries")).groupBy("request_id").agg(F.sum("n_raw").alias("n")).collect()
     want = {}
     for i, (_, a, o, end) in enumerate(asked):
         hours = np.array([(end - (END - dt.timedelta(hours=int(h)))).total_seconds() / 3600 for h in back])
@@ -56,6 +56,18 @@ def test_range_join_equals_brute_force(spark):
     assert {r.request_id: r.n for r in got} == want and len(want) > 10
 
 
+def test_joined_rows_follow_places_not_requests(spark):
+    obs = [observation(34.0 + 0.01 * k, hour=END - dt.timedelta(hours=h), code=str(k)) for k in range(5) for h in range(200)]
+    asked = [("pm25", 34.0, -118.0, END - dt.timedelta(hours=h % 30)) for h in range(300)] + [("no2", 10.0, 10.0, END)]
+    sites = live.site_hours(live.readings(table(spark, obs)))
+    requests = ask(spark, *asked)
+    index = live.place_hours(live.place_days(requests), sites)
+    assert index.count() == 200 and {len(r.entries) for r in index.collect()} == {1}
+    assert index.agg(F.sum(F.col("entries")[0]["n_raw"])).first()[0] == 1000
+    hours = live.nearby(requests, sites).groupBy("request_id").count().collect()
+    assert len(hours) == 300 and {r["count"] for r in hours} == {171}
+
+
 @pytest.mark.parametrize("unit, expected", [("PPB", 0.06), (None, 0.06), (" ppm ", 60.0), ("mg", 60.0)])
 def test_ozone_units(spark, unit, expected):
     rows = [observation(parameter="OZONE", unit=None, value="60", hour=END - dt.timedelta(hours=1)), observation(parameter="OZONE", unit=unit, value="60")]
@@ -91,9 +103,11 @@ def test_rejected_requests_say_why(spark):
     rows = [observation(parameter="NO2"), observation(hour=END), observation(hour=END - dt.timedelta(hours=1))]
     out = live.live_features(ask(spark, ONE, ("ozone", *ONE[1:]), ("pm25", 10.0, 10.0, END)), table(spark, rows)).orderBy("request_id").collect()
     assert [r.status for r in out] == ["missing essential lags", "no observations", "no observations"]
-    assert any(w.startswith("lag_24h: no observation at 2024-01-09T12:00:00") for w in out[0].warnings)
-    assert out[1].warnings[0] == "No 'OZONE' observations in response (only: NO2, PM2.5)."
-    assert out[2].warnings[0].startswith("No observations for pm25 near (10.0000, 10.0000)")
+    warnings = [[tuple(w) for w in r.warnings] for r in out]
+    assert ("lag_missing", "lag_24h", None) in warnings[0] and ("hours_missing", None, 169) in warnings[0]
+    assert ("few_values", "roll_168h_mean", 1) in warnings[0]
+    assert warnings[1] == [("other_parameters_only", None, 3)] and out[1].parameters_seen == ["NO2", "PM2.5"]
+    assert warnings[2] == [("no_records", None, 0)]
     assert (out[1].missing_hours, out[2].n_raw_obs) == (0, 0)
 
 
