@@ -170,7 +170,7 @@ def _unpivot(section: str, body: str, columns: list[str]) -> str:
 _MISS = ["total_expected", "missing_count", "missing_pct"]
 
 
-@register("cleaning_report", " UNION ALL ".join((
+REPORT = " UNION ALL ".join((
     _unpivot("schema", """SELECT '' AS pollutant, (SELECT count(*) FROM raw) AS raw_rows,
         (SELECT count(*) FROM raw WHERE date_gmt <> 'bad') AS rows_after_ts_parse,
         (SELECT count(*) FROM meas) AS rows_after_param_filter, count(*) AS pivoted_rows, 9 AS pivoted_cols,
@@ -179,7 +179,10 @@ _MISS = ["total_expected", "missing_count", "missing_pct"]
     _unpivot("schema", "SELECT pollutant, count(*) FILTER (WHERE readings > 0) AS stations FROM pcounts GROUP BY pollutant", ["stations"]),
     _unpivot("missingness", GAPS, ["interpolated", "long_gaps_remaining", *("before_" + m for m in _MISS), *("after_" + m for m in _MISS)]),
     _unpivot("outliers", OUTLIERS, ["negative", "beyond_bounds", "drift_flagged"]),
-)))
+))
+
+
+@register("cleaning_report", REPORT)
 def _(spark, sf):
     raw = A.raw_long(spark, sf)
     return quality.cleaning_report_rows(raw, cleaning.clean_hourly(raw))

@@ -76,6 +76,7 @@ def _(spark, sf):
 
 @register("weather_fallback", f"""SELECT e.event_id AS request_id,
     {snap("CASE WHEN a.error IS NULL THEN (floor(a.temp * 10 + 0.5) - CASE WHEN floor(a.temp * 10 + 0.5) = a.temp * 10 + 0.5 AND floor(a.temp * 10 + 0.5) % 2 = 1 THEN 1 ELSE 0 END) / 10 WHEN b.request_id IS NOT NULL AND b.error IS NULL THEN b.temp END")} AS temperature_2m,
+    {snap("CASE WHEN a.error IS NULL THEN (floor(a.wind * 10 + 0.5) - CASE WHEN floor(a.wind * 10 + 0.5) = a.wind * 10 + 0.5 AND floor(a.wind * 10 + 0.5) % 2 = 1 THEN 1 ELSE 0 END) / 10 WHEN b.request_id IS NOT NULL AND b.error IS NULL THEN b.wind END")} AS wind_speed_10m,
     {snap("CASE WHEN a.error IS NULL THEN CAST(a.humidity AS DOUBLE) WHEN b.request_id IS NOT NULL AND b.error IS NULL THEN b.humidity END")} AS relative_humidity_2m,
     CASE WHEN a.error IS NULL THEN 'provider A' WHEN b.request_id IS NOT NULL AND b.error IS NULL THEN 'provider B'
       ELSE 'all weather sources failed' END AS weather_source,
@@ -87,7 +88,7 @@ def _(spark, sf):
     return weather.weather_fallback(
         asked, weather.flatten_current(A.current_payloads(spark, sf)),
         weather.flatten_current_forecast(A.forecast_payloads(spark, sf)),
-    ).drop("wind_speed_10m")
+    )
 
 
 @register("join_coverage", f"""SELECT CAST(sum(h) AS BIGINT) AS total_rows, CAST(sum(w) AS BIGINT) AS rows_with_weather,
@@ -147,13 +148,16 @@ def _(spark, sf):
 
 
 # Every state name, and two that are in no region, dealt over the customers.
-_REGION_OF = {state: region for region, states in C.CENSUS_REGIONS.items() for state in states}
-_STATES = [*sorted(_REGION_OF), "District", "Elsewhere"]
+_STATES = [*sorted(state for states in C.CENSUS_REGIONS.values() for state in states), "District", "Elsewhere"]
 
 
-@register("census_region", f"SELECT c_custkey, CASE c_custkey % {len(_STATES)} " + " ".join(
-    f"WHEN {i} THEN '{_REGION_OF.get(s, 'Unknown')}'" for i, s in enumerate(_STATES)
-) + " END AS region FROM customer")
+@register("census_region", f"""SELECT c_custkey, CASE
+    WHEN state IN ('Connecticut', 'Maine', 'Massachusetts', 'New Hampshire', 'Rhode Island', 'Vermont', 'New Jersey', 'New York', 'Pennsylvania') THEN 'Northeast'
+    WHEN state IN ('Indiana', 'Illinois', 'Michigan', 'Ohio', 'Wisconsin', 'Iowa', 'Kansas', 'Minnesota', 'Missouri', 'Nebraska', 'North Dakota', 'South Dakota') THEN 'Midwest'
+    WHEN state IN ('Delaware', 'Florida', 'Georgia', 'Maryland', 'North Carolina', 'South Carolina', 'Virginia', 'District Of Columbia', 'West Virginia', 'Alabama',
+      'Kentucky', 'Mississippi', 'Tennessee', 'Arkansas', 'Louisiana', 'Oklahoma', 'Texas') THEN 'South'
+    WHEN state IN ('Arizona', 'Colorado', 'Idaho', 'Montana', 'Nevada', 'New Mexico', 'Utah', 'Wyoming', 'Alaska', 'California', 'Hawaii', 'Oregon', 'Washington') THEN 'West'
+    ELSE 'Unknown' END AS region FROM (SELECT c_custkey, list_extract([{', '.join(f"'{s}'" for s in _STATES)}], c_custkey % {len(_STATES)} + 1) AS state FROM customer)""")
 def _(spark, sf):
     state = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("c_custkey") % len(_STATES) + 1).cast("int"))
     return A.table(spark, sf, "customer").select("c_custkey", S.census_region(state).alias("region"))
@@ -177,17 +181,21 @@ PAIRS = """(SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) > 1 THEN avg(CA
     avg(CAST(l_tax AS DOUBLE)) + 0.01 AS aug FROM lineitem GROUP BY l_orderkey)"""
 
 
+def delta_sql(base, augmented):
+    """SQL of the signed difference with its arrow."""
+    d = f"({augmented} - {base})"
+    return f"""CASE WHEN {d} IS NULL THEN 'n/a' ELSE printf('%+.4f', CAST({d} AS DOUBLE)) || ' ' ||
+      CASE WHEN {d} < 0 THEN '↓' WHEN {d} > 0 THEN '↑' ELSE '→' END END"""
+
+
 @register("verdict_delta", f"""SELECT l_orderkey, {snap('aug - base')} AS delta,
     CASE WHEN base IS NULL THEN 'unknown' WHEN base = 0 THEN 'no change' WHEN (aug - base) / base < -0.005 THEN 'improved'
       WHEN (aug - base) / base > 0.005 THEN 'degraded' ELSE 'no change' END AS verdict,
-    CASE WHEN base IS NULL THEN 'n/a' WHEN aug - base < 0 THEN '↓' WHEN aug - base > 0 THEN '↑' ELSE '→' END AS direction FROM {PAIRS}""")
+    {delta_sql('base', 'aug')} AS delta_text FROM {PAIRS}""")
 def _(spark, sf):
     base, aug = F.col("base").cast("double"), F.col("aug").cast("double")
-    text = S.delta_text(base, aug)
     return _pairs(spark, sf).select(
-        "l_orderkey", (aug - base).alias("delta"), S.verdict(base, aug).alias("verdict"),
-        F.when(text == "n/a", text).otherwise(F.right(text, F.lit(1))).alias("direction"),
-    )
+        "l_orderkey", (aug - base).alias("delta"), S.verdict(base, aug).alias("verdict"), S.delta_text(base, aug).alias("delta_text"))
 
 
 @register("correlation_label", """SELECT l_orderkey, CASE WHEN rho IS NULL THEN 'insufficient data' ELSE
@@ -208,15 +216,25 @@ def _(spark, sf):
 ORDERED = "WINDOW o AS (PARTITION BY station_id ORDER BY timestamp_utc)"
 
 
-@register("lags", f"""SELECT {KEYS}, {', '.join(f"{snap(f'lag(pm25, {k}) OVER o')} AS lag_{k}h" for k in (1, 24, 168))}
-    FROM clean {ORDERED}""")
+def each_pollutant(build, table):
+    """``build(table, pollutant)`` for all pollutants, one below the other; the table is written once."""
+    rows = staged(table, "series")
+    return exports.union_parts([build(rows, p).withColumn("pollutant", F.lit(p)) for p in P])
+
+
+def each_sql(body):
+    return " UNION ALL ".join(f"SELECT '{p}' AS pollutant, * FROM ({body(p)})" for p in P)
+
+
+@register("lags", each_sql(lambda p: f"""SELECT {KEYS}, {', '.join(f"{snap(f'lag({p}, {k}) OVER o')} AS lag_{k}h" for k in (1, 24, 168))}
+    FROM clean {ORDERED}"""))
 def _(spark, sf):
-    return features.lags(clean(spark, sf), "pm25").select("station_id", "timestamp_utc", "lag_1h", "lag_24h", "lag_168h")
+    return each_pollutant(lambda rows, p: features.lags(rows, p).select("station_id", "timestamp_utc", "lag_1h", "lag_24h", "lag_168h"), clean(spark, sf))
 
 
-@register("target_lead", f"SELECT {KEYS}, {snap('lead(pm25, 24) OVER o')} AS target FROM clean {ORDERED}")
+@register("target_lead", each_sql(lambda p: f"SELECT {KEYS}, {snap(f'lead({p}, 24) OVER o')} AS target FROM clean {ORDERED}"))
 def _(spark, sf):
-    return features.target_lead(clean(spark, sf), "pm25").select("station_id", "timestamp_utc", "target")
+    return each_pollutant(lambda rows, p: features.target_lead(rows, p).select("station_id", "timestamp_utc", "target"), clean(spark, sf))
 
 
 def _roll(p: str) -> str:
@@ -231,31 +249,35 @@ ROLLING = """WINDOW o AS (PARTITION BY station_id ORDER BY timestamp_utc),
     w AS (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)"""
 
 
-@register("rolling_stats", f"SELECT {KEYS}, {fields(READINGS[3:])} FROM (SELECT station_id, timestamp_utc, {_roll('no2')} FROM clean {ROLLING})")
+@register("rolling_stats", each_sql(lambda p: f"SELECT {KEYS}, {fields(READINGS[3:])} FROM (SELECT station_id, timestamp_utc, {_roll(p)} FROM clean {ROLLING})"))
 def _(spark, sf):
-    return features.rolling_stats(clean(spark, sf), "no2").select("station_id", "timestamp_utc", *READINGS[3:])
+    return each_pollutant(lambda rows, p: features.rolling_stats(rows, p).select("station_id", "timestamp_utc", *READINGS[3:]), clean(spark, sf))
 
 
-@register("impute_lag168", f"""SELECT {KEYS}, {snap('coalesce(l, roll_168h_mean)')} AS lag_168h
-    FROM (SELECT station_id, timestamp_utc, lag(no2, 168) OVER o AS l, {_roll('no2')} FROM clean {ROLLING})""")
+@register("impute_lag168", each_sql(lambda p: f"""SELECT {KEYS}, {snap('coalesce(l, roll_168h_mean)')} AS lag_168h
+    FROM (SELECT station_id, timestamp_utc, lag({p}, 168) OVER o AS l, {_roll(p)} FROM clean {ROLLING})"""))
 def _(spark, sf):
-    rows = features.rolling_stats(features.lags(clean(spark, sf), "no2"), "no2")
-    return features.impute_lag168(rows).select("station_id", "timestamp_utc", "lag_168h")
+    def imputed(rows, p):
+        return features.impute_lag168(features.rolling_stats(features.lags(rows, p), p)).select("station_id", "timestamp_utc", "lag_168h")
+    return each_pollutant(imputed, clean(spark, sf))
 
 
-@register("ffill_bfill", f"""SELECT {KEYS}, {snap('''coalesce(
-    last_value(pm25 IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-    first_value(pm25 IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))''')} AS pm25 FROM norm""")
+@register("ffill_bfill", each_sql(lambda p: f"""SELECT {KEYS}, {snap(f'''coalesce(
+    last_value({p} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value({p} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY timestamp_utc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))''')} AS value FROM norm"""))
 def _(spark, sf):
-    return features.fill_both_ways(normal(spark, sf).select("station_id", "timestamp_utc", "pm25"), "pm25")
+    def filled(rows, p):
+        return features.fill_both_ways(rows.select("station_id", "timestamp_utc", p), p).withColumnRenamed(p, "value")
+    return each_pollutant(filled, normal(spark, sf))
 
 
-@register("range_stats", f"""SELECT {KEYS}, {snap('CASE WHEN count(pm25) OVER d >= 2 THEN avg(pm25) OVER d END')} AS mean_24h,
-    {snap('CASE WHEN count(pm25) OVER d >= 2 THEN stddev_pop(pm25) OVER d END')} AS std_24h FROM wide
-    WINDOW d AS (PARTITION BY station_id ORDER BY timestamp_utc RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING)""")
+@register("range_stats", each_sql(lambda p: f"""SELECT {KEYS}, {snap(f'CASE WHEN count({p}) OVER d >= 2 THEN avg({p}) OVER d END')} AS mean_24h,
+    {snap(f'CASE WHEN count({p}) OVER d >= 2 THEN stddev_pop({p}) OVER d END')} AS std_24h FROM wide
+    WINDOW d AS (PARTITION BY station_id ORDER BY timestamp_utc RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING)"""))
 def _(spark, sf):
     from hourgrid.operators import live
-    return live.rolling_range_stats(wide(spark, sf), "pm25", 24, digits=None).select("station_id", "timestamp_utc", "mean_24h", "std_24h")
+    return each_pollutant(lambda rows, p: live.rolling_range_stats(rows, p, 24, digits=None).select(
+        "station_id", "timestamp_utc", "mean_24h", "std_24h"), wide(spark, sf))
 
 
 @register("min_readings", "SELECT station_id, pollutant, readings FROM pcounts WHERE readings >= 200")
@@ -272,9 +294,9 @@ def _(spark, sf):
     return feats(spark, sf)
 
 
-@register("station_features", FEATURE_SQL.format("feat_all") + " WHERE pollutant = 'ozone'")
+@register("station_features", FEATURE_SQL.format("feat_all"))
 def _(spark, sf):
-    return features.feature_rows(joined(spark, sf), ["ozone"])
+    return features.feature_rows(joined(spark, sf))
 
 
 _FULL = " AND ".join(f"{c} IS NOT NULL" for c in ("target", *BASE, *WX))
@@ -355,24 +377,40 @@ def _(spark, sf):
     return evaluate.best_worst(groups(spark, sf))
 
 
+def _terms(count, even):
+    """SQL of the finite sum of Student's distribution for an even or odd number of degrees of freedom."""
+    ratio = "lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())" if even else "lgamma(k + 1) + 0.5 * ln(pi()) - ln(2) - lgamma(k + 1.5)"
+    return f"coalesce(list_sum(list_transform(range({count}), lambda k: exp({ratio}) * pow(1 - rho * rho, k + {0 if even else 0.5}))), 0)"
+
+
+#: Rank correlation of a state's error with its size, and its two-sided p value from the finite sums.
+SPEARMAN = f"""(SELECT pollutant, n, rho, CASE WHEN n < 3 OR rho IS NULL THEN NULL WHEN abs(rho) >= 1 THEN 0.0
+      WHEN n % 2 = 0 THEN 1 - abs(rho) * {_terms('CAST((n - 2) // 2 AS BIGINT)', True)}
+      ELSE 1 - 2 / pi() * (asin(abs(rho)) + abs(rho) * {_terms('CAST((n - 3) // 2 AS BIGINT)', False)}) END AS p_value FROM (
+    SELECT pollutant, count(*) AS n, CASE WHEN count(*) >= 4 THEN corr(x, y) END AS rho FROM (
+      SELECT pollutant, rank() OVER (PARTITION BY pollutant ORDER BY n_test) + (count(*) OVER (PARTITION BY pollutant, n_test) - 1) / 2.0 AS x,
+        rank() OVER (PARTITION BY pollutant ORDER BY mae) + (count(*) OVER (PARTITION BY pollutant, mae) - 1) / 2.0 AS y
+      FROM grp WHERE level = 'state' AND mae IS NOT NULL) GROUP BY pollutant))"""
+
+
 @register("disparity", " ".join(["SELECT b.pollutant,"] + [
     ", ".join(f"max(b.{f}) FILTER (WHERE b.level = '{lv}') AS {lv}_{f}" for lv in ("state", "region") for f in ("best", "best_mae", "worst", "worst_mae", "mae_ratio"))
-] + [f""", coalesce(max(m.names), '') AS flagged_states FROM ({BEST}) b LEFT JOIN (
+] + [f""", coalesce(max(m.names), '') AS flagged_states, {snap('max(round(r.rho, 3))')} AS rho, {snap('max(round(r.p_value, 4))')} AS p_value,
+    max(CASE WHEN r.rho IS NULL THEN 'insufficient data' ELSE CASE WHEN abs(r.rho) >= 0.6 THEN 'strong' WHEN abs(r.rho) >= 0.3 THEN 'moderate' ELSE 'weak' END
+      || CASE WHEN r.rho < 0 THEN ' negative' ELSE ' positive' END || ' correlation (' || CASE WHEN r.p_value < 0.05 THEN '' ELSE 'not ' END || 'significant at p<0.05)' END) AS interpretation,
+    CAST(1.5 AS DOUBLE) AS flag_threshold_ratio FROM ({BEST}) b LEFT JOIN (
     SELECT g.pollutant, string_agg(g.name, ', ' ORDER BY g.name) AS names FROM grp g
     JOIN (SELECT pollutant, mae FROM grp WHERE level = 'overall') o ON o.pollutant = g.pollutant
-    WHERE g.level = 'state' AND g.mae > o.mae * 1.5 GROUP BY g.pollutant) m ON m.pollutant = b.pollutant GROUP BY b.pollutant"""]))
+    WHERE g.level = 'state' AND g.mae > o.mae * 1.5 GROUP BY g.pollutant) m ON m.pollutant = b.pollutant
+    LEFT JOIN {SPEARMAN} r ON r.pollutant = b.pollutant GROUP BY b.pollutant"""]))
 def _(spark, sf):
-    out = evaluate.disparity(groups(spark, sf)).withColumn("flagged_states", F.array_join("flagged_states", ", "))
-    return out.drop("rho", "p_value", "interpretation", "flag_threshold_ratio")
+    return evaluate.disparity(groups(spark, sf)).withColumn("flagged_states", F.array_join("flagged_states", ", "))
 
 
-@register("spearman", f"""SELECT pollutant, count(*) AS n, {snap('CASE WHEN count(*) >= 4 THEN corr(x, y) END')} AS rho FROM (
-    SELECT pollutant, rank() OVER (PARTITION BY pollutant ORDER BY n_test) + (count(*) OVER (PARTITION BY pollutant, n_test) - 1) / 2.0 AS x,
-      rank() OVER (PARTITION BY pollutant ORDER BY mae) + (count(*) OVER (PARTITION BY pollutant, mae) - 1) / 2.0 AS y
-    FROM grp WHERE level = 'state' AND mae IS NOT NULL) GROUP BY pollutant""")
+@register("spearman", f"SELECT pollutant, n, {snap('rho')} AS rho, {snap('p_value')} AS p_value FROM {SPEARMAN}")
 def _(spark, sf):
     states = groups(spark, sf).filter(F.col("level") == "state")
-    return evaluate.spearman(states, "n_test", "mae").drop("p_value")
+    return evaluate.spearman(states, "n_test", "mae")
 
 
 @register("bias_audit", f"""SELECT g.pollutant, level, name, region, states, {snap('g.mae')} AS mae, {snap('rmse')} AS rmse, {snap('r2')} AS r2,
@@ -515,11 +553,12 @@ def _(spark, sf):
 
 @register("ablation_join", f"""SELECT a.pollutant, {', '.join(f"{snap(f'{t}.{k}')} AS {m}_{k}" for t, m in (('a', 'base'), ('b', 'aug')) for k in ('mae', 'rmse', 'r2'))},
     {', '.join(f"{snap(f'round(b.{k} - a.{k}, 4)')} AS delta_{k}" for k in ('mae', 'rmse', 'r2'))},
+    {delta_sql('a.mae', 'b.mae')} AS delta_text,
     CASE WHEN (b.mae - a.mae) / a.mae < -0.005 THEN 'improved' WHEN (b.mae - a.mae) / a.mae > 0.005 THEN 'degraded' ELSE 'no change' END AS verdict
     FROM {OVERALL} a LEFT JOIN {MEAN_METRICS} b ON a.pollutant = b.pollutant""")
 def _(spark, sf):
     a, b = _two_models(spark, sf)
-    return exports.ablation(a, b).drop("delta_text")
+    return exports.ablation(a, b)
 
 
 @register("model_metrics_join", f"""SELECT p.pollutant, {text_time('p.timestamp_utc', 'timestamp_utc')}, p.station_id, {snap('p.y_pred')} AS y_pred,

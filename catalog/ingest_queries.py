@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import adapter as A
-from catalog.cleaning_queries import clean
+from catalog.cleaning_queries import REPORT, clean
 from catalog.ctes import CALENDAR, READINGS, calendar, fields, text_time
 from catalog.feature_queries import DAILY
 from catalog.registry import register
@@ -66,10 +66,12 @@ def _(spark, sf):
     return readers.scan_csv(spark, path, schemas.DAILY_STATION)
 
 
-@register("write_csv", "SELECT state, count(*) AS rows FROM (" + DAILY + ") GROUP BY state")
+@register("write_csv", DAILY)
 def _(spark, sf):
-    path = sinks.write_csv(exports.daily_station(clean(spark, sf)), scratch_dir(spark, "csv"))
-    return readers.scan_csv(spark, path, schemas.DAILY_STATION).groupBy("state").agg(F.count(F.lit(1)).alias("rows"))
+    """All rows and columns, as text files hold them."""
+    path = sinks.write_csv(exports.daily_station(clean(spark, sf), digits=None), scratch_dir(spark, "csv"))
+    lines = spark.read.option("header", True).csv(path)
+    return lines.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.DAILY_STATION))
 
 
 @register("write_parquet", DAILY)
@@ -79,17 +81,26 @@ def _(spark, sf):
     return spark.read.parquet(path).drop("year")
 
 
-@register("write_json", """SELECT (SELECT count(*) FROM raw) AS raw_rows, (SELECT count(*) FROM clean) AS rows,
-    (SELECT CAST(sum(interp) AS BIGINT) FROM pcounts WHERE pollutant = 'pm25') AS pm25_interpolated,
-    (SELECT CAST(sum(drift) AS BIGINT) FROM pcounts WHERE pollutant = 'ozone') AS ozone_drift""")
+@register("write_json", REPORT)
 def _(spark, sf):
+    """Every value of the report, as the file holds it."""
     raw = A.raw_long(spark, sf)
-    report = quality.cleaning_report(raw, staged(cleaning.clean_hourly(raw), "clean"))
-    path = sinks.write_json(report, scratch_dir(spark, "report"))
-    return spark.read.schema(report.schema).json(path).select(
-        "schema.raw_rows", "output.rows", F.col("missingness")["pm25"]["interpolated"].alias("pm25_interpolated"),
-        F.col("outliers")["ozone"]["drift_flagged"].alias("ozone_drift"),
-    )
+    path = sinks.write_json(quality.cleaning_report(raw, staged(cleaning.clean_hourly(raw), "clean")), scratch_dir(spark, "report"))
+    counts = ", ".join(f"{p}: MAP<STRING, DOUBLE>" for p in C.POLLUTANTS)
+    kind = f"schema STRUCT<{', '.join(f'{m}: DOUBLE' for m in quality.SCHEMA)}, stations_by_pollutant: STRUCT<{counts}>>, missingness STRUCT<{counts}>, outliers STRUCT<{counts}>"
+    stored = spark.read.schema(kind).json(path)
+
+    def entries(section, field, p):
+        return F.transform(F.map_entries(F.col(f"{field}.{p}")), lambda e: F.struct(
+            F.lit(section).alias("section"), F.lit(p).alias("pollutant"), e["key"].alias("metric"), e["value"].alias("value")))
+
+    def of(section, field):
+        return F.explode(F.flatten(F.array(*(entries(section, field, p) for p in C.POLLUTANTS)))).alias("e")
+
+    whole = stored.select(F.explode(F.array(*(F.struct(F.lit("schema").alias("section"), F.lit("").alias("pollutant"), F.lit(m).alias("metric"),
+                                                       F.col(f"schema.{m}").alias("value")) for m in quality.SCHEMA))).alias("e"))
+    parts = [whole, *(stored.select(of(*names)) for names in (("schema", "schema.stations_by_pollutant"), ("missingness", "missingness"), ("outliers", "outliers")))]
+    return exports.union_parts([part.select("e.*") for part in parts])
 
 
 @register("unwrap_envelope", f"""SELECT event_id AS payload_id, state_code, parameter_code, {snap('sample_measurement')} AS sample_measurement

@@ -118,11 +118,11 @@ def verdict(base: Column, augmented: Column, threshold: float = C.CHANGE_THRESHO
 
 
 def delta_text(base: Column, augmented: Column) -> Column:
-    """Signed difference with an arrow for its direction."""
+    """Signed difference, rounded half to even, with an arrow for its direction."""
     change = augmented - base
     arrow = F.when(change < 0, F.lit("↓")).when(change > 0, F.lit("↑")).otherwise(F.lit("→"))
     return F.when(change.isNull(), F.lit("n/a")).otherwise(
-        F.concat(F.format_string("%+.4f", change), F.lit(" "), arrow)
+        F.concat(F.format_string("%+.4f", round_even(change, 4)), F.lit(" "), arrow)
     )
 
 

@@ -1,58 +1,62 @@
-"""Two-sided p value of a correlation coefficient, as one vectorised pandas UDF.
+"""Two-sided p value of a correlation coefficient as a column expression.
 
-Spark has no t distribution. The function is meant for one row per pollutant, not for row-level data.
+Spark has no t distribution. The regularised incomplete beta function is a continued fraction over a sequence
+of steps, which runs inside the executors like any other expression.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _beta_fraction(a: float, b: float, x: float, steps: int = 300) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, steps):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1.0 + term * d
-            c = 1.0 + term / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            value *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return value
-
-
-def regularised_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def correlation_p(rho: float, n: float) -> float | None:
-    if rho is None or n is None or math.isnan(rho) or n < 3:
-        return None
-    if abs(rho) >= 1.0:
-        return 0.0
-    freedom = n - 2
-    t_squared = rho * rho * freedom / (1.0 - rho * rho)
-    return regularised_beta(freedom / 2.0, 0.5, freedom / (freedom + t_squared))
-
-
-@F.pandas_udf(T.DoubleType())
-def correlation_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([correlation_p(r, k) for r, k in zip(rho, n)], dtype="float64")
+
+STEPS, TINY = 200, 1e-300
+#: The ratio of gamma functions is raised by so many steps to where its series holds to the last digits.
+RAISED = 24
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz evaluation) in a fixed number of steps."""
+    def away(v: Column) -> Column:
+        return F.when(F.abs(v) > TINY, v).otherwise(F.lit(TINY))
+
+    def state(c: Column, d: Column, value: Column) -> Column:
+        return F.struct(c.alias("c"), d.alias("d"), value.alias("value"))
+
+    def turn(now: Column, term: Column) -> Column:
+        d = 1.0 / away(1.0 + term * now["d"])
+        c = away(1.0 + term / now["c"])
+        return state(c, d, now["value"] * c * d)
+
+    # Steps 2 to 2 * STEPS - 1 are the odd and even terms in turn.
+    def step(now: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
+        return turn(now, F.when(k % 2 == 0, even).otherwise(odd))
+
+    first = 1.0 / away(1.0 - (a + b) * x / (a + 1.0))
+    start = state(F.lit(1.0), first, first)
+    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * STEPS - 1)), start, step, lambda now: now["value"])
+
+
+def _gamma_half_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a) for a > 0: a series in 1 / a far out, brought down by the recurrence."""
+    far = a + float(RAISED)
+    series = 1.0 - 1.0 / (8.0 * far) + 1.0 / (128.0 * far**2) + 5.0 / (1024.0 * far**3) - 21.0 / (32768.0 * far**4) - 399.0 / (262144.0 * far**5)
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(RAISED - 1)), F.lit(1.0), lambda v, j: v * (a + j) / (a + j + 0.5))
+    return F.sqrt(far) * series * down
+
+
+def correlation_p_value(rho: Column, n: Column) -> Column:
+    """Two-sided p value of a correlation of n pairs; null without a coefficient or below three pairs."""
+    a = (n.cast("double") - 2.0) / 2.0
+    y = rho * rho  # I_x(a, 1/2) with x = 1 - rho^2
+    x = 1.0 - y
+    front = _gamma_half_ratio(a) / math.sqrt(math.pi) * F.pow(x, a) * F.sqrt(y)
+    low = x < (a + 1.0) / (a + 2.5)
+    value = F.when(low, front * _beta_fraction(a, F.lit(0.5), x) / a).otherwise(
+        1.0 - front * _beta_fraction(F.lit(0.5), a, y) / 0.5)
+    inside = F.when(y >= 1.0, F.lit(0.0)).when(y == 0.0, F.lit(1.0)).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+    return F.when(rho.isNotNull() & ~F.isnan(rho) & (n >= 3), inside)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,88 +74,97 @@ def _percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.coalesce(F.round(F.try_divide(part, whole) * 100, digits), F.lit(0.0))
 
 
-def _missing(counts: DataFrame, readings: Column, prefix: str = "") -> list[Column]:
-    """Expected, missing and percentage over stations that measure the pollutant at all."""
-    active = F.col("active")
+def missingness(df: DataFrame) -> DataFrame:
+    """Expected and missing hours of the stations that measure a pollutant at all."""
+    active = F.col("readings") > 0
     total = F.coalesce(F.sum(F.when(active, F.col("hours"))), F.lit(0))
-    missing = F.coalesce(F.sum(F.when(active, F.col("hours") - readings)), F.lit(0))
+    gone = F.coalesce(F.sum(F.when(active, F.col("hours") - F.col("readings"))), F.lit(0))
+    return station_counts(df).groupBy("pollutant").agg(
+        total.alias("total_expected"), gone.alias("missing_count"), _percent(gone, total).alias("missing_pct"))
+
+
+def _gaps() -> list[Column]:
+    """Aggregates over ``station_counts`` rows of the clean table.
+
+    Values removed by bounds were present after the filling.
+    """
+    filled, observed = F.col("readings") + F.col("bounds"), F.col("readings") + F.col("bounds") - F.col("interp")
+
+    def missing(readings: Column, prefix: str) -> list[Column]:
+        total = F.coalesce(F.sum(F.when(observed > 0, F.col("hours"))), F.lit(0))
+        gone = F.coalesce(F.sum(F.when(observed > 0, F.col("hours") - readings)), F.lit(0))
+        return [total.alias(f"{prefix}total_expected"), gone.alias(f"{prefix}missing_count"), _percent(gone, total).alias(f"{prefix}missing_pct")]
+
     return [
-        total.alias(f"{prefix}total_expected"), missing.alias(f"{prefix}missing_count"),
-        _percent(missing, total).alias(f"{prefix}missing_pct"),
+        F.sum("interp").alias("interpolated"),
+        F.coalesce(F.sum(F.when(observed > 0, F.col("hours") - filled)), F.lit(0)).alias("long_gaps_remaining"),
+        *missing(observed, "before_"), *missing(filled, "after_"),
     ]
 
 
-def missingness(df: DataFrame) -> DataFrame:
-    counts = station_counts(df).withColumn("active", F.col("readings") > 0)
-    return counts.groupBy("pollutant").agg(*_missing(counts, F.col("readings")))
+def _outliers() -> list[Column]:
+    return [F.sum("neg").alias("negative"), F.sum("bounds").alias("beyond_bounds"), F.sum("drift").alias("drift_flagged")]
 
 
 def gap_counts(clean: DataFrame) -> DataFrame:
-    """Interpolated and still missing hours, with missingness before and after the filling.
-
-    Read from the finished clean table: values removed by bounds were present after the filling.
-    """
-    counts = (
-        station_counts(clean)
-        .withColumn("filled", F.col("readings") + F.col("bounds"))
-        .withColumn("observed", F.col("readings") + F.col("bounds") - F.col("interp"))
-        .withColumn("active", F.col("observed") > 0)
-    )
-    return counts.groupBy("pollutant").agg(
-        F.sum("interp").alias("interpolated"),
-        F.coalesce(F.sum(F.when(F.col("active"), F.col("hours") - F.col("filled"))), F.lit(0))
-        .alias("long_gaps_remaining"),
-        *_missing(counts, F.col("observed"), "before_"), *_missing(counts, F.col("filled"), "after_"),
-    )
+    """Interpolated and still missing hours, with missingness before and after the filling."""
+    return station_counts(clean).groupBy("pollutant").agg(*_gaps())
 
 
 def outlier_counts(clean: DataFrame) -> DataFrame:
-    return station_counts(clean).groupBy("pollutant").agg(
-        F.sum("neg").alias("negative"), F.sum("bounds").alias("beyond_bounds"),
-        F.sum("drift").alias("drift_flagged"),
+    return station_counts(clean).groupBy("pollutant").agg(*_outliers())
+
+
+GAPS = ("interpolated", "long_gaps_remaining", *(
+    f"{side}_{m}" for side in ("before", "after") for m in ("total_expected", "missing_count", "missing_pct")))
+OUTLIERS = ("negative", "beyond_bounds", "drift_flagged")
+SCHEMA = ("raw_rows", "rows_after_ts_parse", "rows_after_param_filter", "pivoted_rows", "pivoted_cols", "station_count")
+
+
+def _accumulated(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    """One row with every count of the report, from one pass over each table.
+
+    A station's counts unfold to a row for each pollutant, those are summed, and the sums, a row a pollutant,
+    are gathered next to the accounting of the raw rows.
+    """
+    width = len([c for c in ("station_id", "timestamp_utc", *C.POLLUTANTS, *cleaning.METADATA) if c in clean.columns])
+    sums = station_counts(clean).groupBy("pollutant").agg(
+        F.sum("hours").alias("hours"), F.count(F.lit(1)).alias("station_count"),
+        F.count_if(F.col("readings") > 0).alias("stations"), *_gaps(), *_outliers(),
     )
+    gathered = sums.agg(F.sort_array(F.collect_list(F.struct(
+        "pollutant", "stations", F.struct(*GAPS).alias("missingness"), F.struct(*OUTLIERS).alias("outliers"), "hours", "station_count",
+    ))).alias("counts"))
+    size = F.get("counts", F.lit(0))
+    return _side_by_side(raw_accounting(raw), gathered).withColumns({
+        "pivoted_rows": F.coalesce(size["hours"], F.lit(0)), "pivoted_cols": F.lit(width).cast("long"),
+        "station_count": F.coalesce(size["station_count"], F.lit(0)),
+    })
 
 
 def cleaning_report_rows(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """The whole report as ``(section, pollutant, metric, value)``; '' where no pollutant applies."""
-    def long(table: DataFrame, section: str, columns: Sequence[str]) -> DataFrame:
-        owner = F.col("pollutant") if "pollutant" in table.columns else F.lit("")
-        return table.select(F.lit(section).alias("section"), owner.alias("pollutant"), F.inline(F.array(*(
-            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns
-        ))))
-
-    parts = [
-        (schema_metrics(raw, clean), "schema"), (stations_by_pollutant(clean).drop("station_count"), "schema"),
-        (gap_counts(clean), "missingness"), (outlier_counts(clean), "outliers"),
-    ]
-    out = None
-    for table, section in parts:
-        rows = long(table, section, [c for c in table.columns if c != "pollutant"])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    def entry(section: str, pollutant: Column, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), pollutant.alias("pollutant"),
+                        F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    whole = F.array(*(entry("schema", F.lit(""), m, F.col(m)) for m in SCHEMA))
+    each = F.flatten(F.transform("counts", lambda c: F.array(
+        entry("schema", c["pollutant"], "stations", c["stations"]),
+        *(entry(section, c["pollutant"], m, c[section][m]) for section, names in (("missingness", GAPS), ("outliers", OUTLIERS)) for m in names),
+    )))
+    return _accumulated(raw, clean).select(F.inline(F.concat(whole, each)))
 
 
 def cleaning_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """The report as one nested row, ready for ``to_json`` or a JSON sink."""
-    def by_pollutant(table: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
-        entry = F.struct("pollutant", F.struct(*fields).alias("counts"))
-        return table.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(name))
-
-    gaps, flags = gap_counts(clean), outlier_counts(clean)
-    return _side_by_side(
-        schema_metrics(raw, clean),
-        by_pollutant(stations_by_pollutant(clean), "stations_by_pollutant", ["stations"]),
-        by_pollutant(gaps, "missingness", [c for c in gaps.columns if c != "pollutant"]),
-        by_pollutant(flags, "outliers", [c for c in flags.columns if c != "pollutant"]),
-    ).select(
-        F.struct(
-            "raw_rows", "rows_after_ts_parse", "rows_after_param_filter", "pivoted_rows", "pivoted_cols",
-            "station_count", "stations_by_pollutant",
-        ).alias("schema"),
-        "missingness", "outliers",
-        F.struct(
-            F.col("pivoted_rows").alias("rows"), F.array(*map(F.lit, clean.columns)).alias("columns")
-        ).alias("output"),
+    def by_pollutant(value) -> Column:
+        return F.map_from_entries(F.transform("counts", lambda c: F.struct(c["pollutant"], value(c))))
+
+    return _accumulated(raw, clean).select(
+        F.struct(*SCHEMA, by_pollutant(lambda c: F.struct(c["stations"].alias("stations"))).alias("stations_by_pollutant")).alias("schema"),
+        by_pollutant(lambda c: c["missingness"]).alias("missingness"), by_pollutant(lambda c: c["outliers"]).alias("outliers"),
+        F.struct(F.col("pivoted_rows").alias("rows"), F.array(*map(F.lit, clean.columns)).alias("columns")).alias("output"),
     )
 
 

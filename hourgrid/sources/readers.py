@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,31 +14,48 @@ from pyspark.sql import types as T
 from hourgrid import schemas
 
 
-# A parquet file without columns holds nothing but a footer; no such footer is larger than this.
-BLANK_FILE_BYTES = 16_384
-
+def _rows_of(wanted: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of whole parquet files in the wanted columns; a file without columns holds none, a damaged one fails."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    file = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                except pa.ArrowException as error:
+                    raise ValueError(f"no readable parquet file: {name}") from error
+                present = set(file.schema_arrow.names)
+                if not present:
+                    continue
+                for rows in file.iter_batches(columns=[n for n in wanted.names if n in present]):
+                    columns = [rows.column(f.name).cast(f.type) if f.name in present else pa.nulls(rows.num_rows, f.type) for f in wanted]
+                    yield pa.record_batch(columns, schema=wanted)
 
-@F.pandas_udf(T.BooleanType())
-def _is_blank(content: pd.Series) -> pd.Series:
-    return content.map(lambda body: pq.ParquetFile(pa.BufferReader(body)).metadata.num_columns == 0)
+    return run
 
 
 def scan_chunks(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_LONG) -> DataFrame:
-    """Many chunk files as one table; columns a chunk lacks are null.
+    """Many chunk files below a folder as one table; columns a chunk lacks are null.
 
-    Chunks of requests without data are parquet files without any column, which the parquet reader does
-    not accept. They are found among the smallest files by their footers and left out; a file that is
-    damaged in any other way still fails the scan.
+    Chunks of requests without data are parquet files without any column, which Spark's parquet reader does
+    not accept. Files are planned by Spark and opened by the task that reads them, which looks at the footer
+    before any row, so no list of paths is kept anywhere and no size tells one kind of file from another. A
+    file that is damaged fails the scan. Chunks hold a request's answer and are read whole: for merged tables
+    with filters to push down there is ``scan_table``.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-    blank = files.filter(F.col("length") < BLANK_FILE_BYTES).filter(_is_blank("content")).select("path")
-    blank_paths = {row["path"] for row in blank.collect()}
-    reader = spark.read.schema(schema)
-    if not blank_paths:
-        return reader.option("recursiveFileLookup", "true").parquet(path)
-    # File names only; the session lists them anyway to plan the scan.
-    kept = [row["path"] for row in files.select("path").collect() if row["path"] not in blank_paths]
-    return reader.parquet(*kept) if kept else spark.createDataFrame([], schema)
+    return files.select("path", "content").mapInArrow(_rows_of(to_arrow_schema(schema)), schema)
+
+
+def scan_hours(spark: SparkSession, merged: str, chunks: str, schema: T.StructType = schemas.RAW_LONG) -> DataFrame:
+    """The merged table where it has been written, else its chunks."""
+    try:
+        return spark.read.schema(schema).parquet(merged)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return scan_chunks(spark, chunks, schema)
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:

@@ -210,6 +210,18 @@ def test_missingness_counts_measuring_stations_only(spark):
     assert (got["no2"].total_expected, got["no2"].missing_count, got["no2"].missing_pct) == (10, 4, 40.0)
 
 
+def test_report_reads_each_table_once(spark, tmp_path):
+    raw = raw_table(spark, [])
+    raw.write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.schema(raw.schema).parquet(str(tmp_path / "raw"))
+    cleaning.clean_hourly(raw).write.parquet(str(tmp_path / "clean"))
+    clean = spark.read.schema(cleaning.clean_hourly(raw).schema).parquet(str(tmp_path / "clean"))
+    for report in (quality.cleaning_report(raw, clean), quality.cleaning_report_rows(raw, clean)):
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 2
+    assert report.filter("pollutant = ''").count() == 6
+
+
 def test_report_is_one_nested_row(spark):
     raw = raw_table(spark, raw_rows(30)[:10] + raw_rows(30)[12:])
     report = quality.cleaning_report(raw, cleaning.clean_hourly(raw)).collect()

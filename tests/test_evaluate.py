@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from hourgrid.functions.significance import correlation_p
+from hourgrid.functions.significance import correlation_p_value
 from hourgrid.operators import evaluate, exports
 from hourgrid.plans import audit
 from tests.helpers import START, clean_frame, to_spark
@@ -96,13 +98,34 @@ def test_rank_correlation(spark):
     assert evaluate.spearman(df.limit(3), "n_test", "mae").first().rho is None
 
 
-def test_p_value_against_known_quantiles():
-    # Two-sided 5 % point of the t distribution with 10 degrees of freedom: 2.228139.
-    t = 2.228139
-    rho = t / np.sqrt(10 + t * t)
-    assert correlation_p(rho, 12) == pytest.approx(0.05, abs=1e-6)
-    assert correlation_p(0.0, 12) == pytest.approx(1.0) and correlation_p(1.0, 12) == 0.0
-    assert correlation_p(-rho, 12) == pytest.approx(0.05, abs=1e-6)
+def exact_p(rho, n):
+    """Student's distribution with n - 2 degrees of freedom as a finite sum."""
+    size, cos, nu = abs(rho), math.sqrt(1 - rho * rho), n - 2
+    if nu % 2 == 0:
+        term, total = 1.0, 0.0
+        for k in range(nu // 2):
+            total += term
+            term *= cos * cos * (2 * k + 1) / (2 * k + 2)
+        return 1 - size * total
+    term, total = cos, 0.0
+    for k in range((nu - 1) // 2):
+        total += term
+        term *= cos * cos * (2 * k + 2) / (2 * k + 3)
+    return 1 - 2 / math.pi * (math.asin(size) + size * total)
+
+
+def test_p_values_equal_finite_sums(spark):
+    rows = [(rho, n) for rho in (0.0, 1e-9, 0.01, -0.2, 0.5, 0.576, -0.83, 0.999, 1.0, -1.0) for n in (3, 4, 5, 7, 12, 51, 400)]
+    rows += [(None, 9), (0.5, 2), (float("nan"), 9), (0.5, None)]
+    out = spark.createDataFrame(rows, "rho double, n bigint").repartition(3).select("rho", "n", correlation_p_value(F.col("rho"), F.col("n")).alias("p")).collect()
+    for r in out:
+        if r.rho is None or r.n is None or r.rho != r.rho or r.n < 3:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(exact_p(r.rho, r.n), abs=1e-11), (r.rho, r.n)
+    assert exact_p(0.5760, 12) == pytest.approx(0.05, abs=1e-4)
+    large = spark.createDataFrame([(0.002, 1_000_000)], "rho double, n bigint").select(correlation_p_value(F.col("rho"), F.col("n")).alias("p")).first().p
+    assert large == pytest.approx(math.erfc(0.002 * math.sqrt(1e6 - 2) / math.sqrt(2)), abs=1e-6)
 
 
 def test_daily_and_annual(spark):

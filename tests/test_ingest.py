@@ -4,6 +4,7 @@ import datetime as dt
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hourgrid import schemas
 from hourgrid.operators import ingest
@@ -75,6 +76,27 @@ def test_chunks_without_columns_read_as_nothing(spark, tmp_path):
     assert out.schema == schemas.RAW_LONG and out.count() == 1 and out.first().county_code is None
 
 
+def test_only_footers_tell_blank_chunks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    note = {b"note": b"x" * 100_000}
+    for k in range(3):
+        pq.write_table(pa.table({}).replace_schema_metadata(note), tmp_path / f"blank{k}.parquet")
+    (tmp_path / "year=2024").mkdir()
+    rows = pa.table({"sample_measurement": pa.array([1.0, 2.0, None]), "other": ["a", "b", "c"], "state_code": pa.array(["01", "02", "03"])})
+    pq.write_table(rows.replace_schema_metadata(note), tmp_path / "year=2024" / "full.parquet")
+    pq.write_table(pa.table({"other": ["a", "b"]}), tmp_path / "foreign.parquet")
+    out = readers.scan_chunks(spark, str(tmp_path))
+    assert out.schema == schemas.RAW_LONG and sorted(str(r.state_code) for r in out.collect()) == ["01", "02", "03", "None", "None"]
+    assert out.agg(F.sum("sample_measurement")).first()[0] == 3.0
+    assert readers.scan_hours(spark, str(tmp_path / "absent"), str(tmp_path)).count() == 5
+    assert readers.scan_hours(spark, str(tmp_path / "year=2024"), str(tmp_path)).count() == 3
+    (tmp_path / "torn.parquet").write_bytes((tmp_path / "year=2024" / "full.parquet").read_bytes()[:-7])
+    with pytest.raises(Exception, match="torn.parquet"):
+        readers.scan_chunks(spark, str(tmp_path)).collect()
+
+
 def test_chunks_are_landed_once(spark, tmp_path):
     path = str(tmp_path / "store")
     batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "chunk_key string, v int")
