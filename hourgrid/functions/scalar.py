@@ -118,11 +118,13 @@ def verdict(base: Column, augmented: Column, threshold: float = C.CHANGE_THRESHO
 
 
 def delta_text(base: Column, augmented: Column) -> Column:
-    """Signed difference, rounded half to even, with an arrow for its direction."""
+    """Signed difference with an arrow for its direction; digits come from the double's exact value, ties to even."""
     change = augmented - base
+    digits = F.replace(F.format_number(change, 4), F.lit(","), F.lit(""))
+    signed = F.when(digits.startswith("-"), digits).otherwise(F.concat(F.lit("+"), digits))
     arrow = F.when(change < 0, F.lit("↓")).when(change > 0, F.lit("↑")).otherwise(F.lit("→"))
     return F.when(change.isNull(), F.lit("n/a")).otherwise(
-        F.concat(F.format_string("%+.4f", round_even(change, 4)), F.lit(" "), arrow)
+        F.concat(signed, F.lit(" "), arrow)
     )
 
 
