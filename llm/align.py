@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from llm import bpe, packing, pieces
 from llm.common import stage
 
+#: Short runs are walked, longer ones probed.
+NEAR = 16
 #: A block of documents ends after so many rows or characters.
 BLOCK_ROWS, BLOCK_CHARS = 500, 1 << 21
 
@@ -33,16 +35,18 @@ def irregular_steps(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     steps_a, steps_b = [], []
     i, shift, n = 0, 0, len(a)
     while True:
-        probe = 1
-        while a[i:i + probe] == b[i + shift:i + shift + probe]:
-            i += probe
-            if i >= n:
-                return steps_a, steps_b
-            probe *= 2
-        while probe > 1:
-            probe //= 2
-            if a[i:i + probe] == b[i + shift:i + shift + probe]:
+        near = min(i + NEAR, n)
+        while i < near and a[i] == b[i + shift]:
+            i += 1
+        if i == near and i < n:
+            probe = NEAR
+            while i < n and a[i:i + probe] == b[i + shift:i + shift + probe]:
                 i += probe
+                probe *= 2
+            while probe > 1:
+                probe //= 2
+                if a[i:i + probe] == b[i + shift:i + shift + probe]:
+                    i += probe
         if i >= n:
             return steps_a, steps_b
         j = i + shift

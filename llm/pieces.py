@@ -13,7 +13,7 @@ import functools
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +109,10 @@ class ChunkTable:
         split = [self.model.chunks(t) for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known)) if split else []
-        known.update((c, array("i", ids).tobytes()) for c, ids in zip(new, self.model.segment(new), strict=True))
+        found = self.model.segment(new)
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        flat = array("i", chain.from_iterable(found)).tobytes()
+        known.update((c, flat[a:b]) for c, (a, b) in zip(new, pairwise(ends.tolist()), strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32) for chunks in split]
         for c in new:
             if len(c) > _LONG:
