@@ -15,7 +15,7 @@ from catalog.ingest_queries import live_rows
 from catalog.registry import register
 from catalog.snap import sql as snap
 from hourgrid.operators import cleaning, evaluate, features
-from hourgrid.plans import arima, scoring, training
+from hourgrid.plans import arima, scoring, store, training
 from hourgrid.plans.staging import staged
 from hourgrid.session import scratch_dir
 from hourgrid.streaming import jobs
@@ -23,19 +23,29 @@ from hourgrid.streaming import jobs
 # The library's learners in full, over the partitions of the feature table.
 FULL = training.TrainSettings()
 BOOSTED, FOREST = ("GradientBoosting",), ("RandomForest",)
-_TRAINED: dict = {}
+_LOADED: dict = {}
+
+
+def store_root(spark):
+    """Models live beside the other shared files of the cluster."""
+    return scratch_dir(spark, "x").rpartition("/")[0] + "/models"
 
 
 def trained(spark, sf, learners=BOOSTED):
-    """Models and their metrics, fitted once for each learner, session and set of tables."""
+    """Published models and their metrics; what no version holds for these tables yet is fitted and published."""
     models, metrics = {}, []
+    source = store.fingerprint(A.raw_long(spark, sf))
     for name in learners:
         key = (spark.sparkContext.applicationId, sf, name)
-        if key not in _TRAINED:
-            fitted, measured = training.train_and_evaluate(stored_features(spark, sf), (name,), FULL)
-            _TRAINED[key] = fitted, staged(measured, "metrics")
-        models |= _TRAINED[key][0]
-        metrics.append(_TRAINED[key][1])
+        if key not in _LOADED:
+            found = store.published(spark, store_root(spark), (name,), source)
+            if found is None:
+                fitted, measured = training.train_and_evaluate(stored_features(spark, sf), (name,), FULL)
+                store.publish(fitted, staged(measured, "metrics"), store_root(spark), source, FULL)
+                found = store.published(spark, store_root(spark), (name,), source)
+            _LOADED[key] = found
+        models |= _LOADED[key][0]
+        metrics.append(_LOADED[key][1])
     return models, reduce(DataFrame.unionByName, metrics)
 
 
@@ -68,16 +78,15 @@ def _(spark, sf):
 
 @register("model_store")
 def _(spark, sf):
-    """Predictions of reloaded models on the test rows."""
+    """Predictions of the published models on the test rows."""
     _, test, _ = evaluate.time_split(stored_features(spark, sf))
-    fitted, _ = trained(spark, sf)
-    path = training.save_models(fitted, scratch_dir(spark, "models"))
-    return training.predictions(test, training.load_models(path, list(fitted)))
+    return training.predictions(test, trained(spark, sf)[0])
 
 
 @register("batch_predict")
 def _(spark, sf):
-    fitted, metrics = trained(spark, sf, BOOSTED + FOREST)
+    # Requests carry no weather, which the forest cannot do without: only the boosted trees can score.
+    fitted, metrics = trained(spark, sf)
     responses, _ = scoring.batch_predict(A.scoring_requests(spark, sf), fitted, metrics)
     return responses.select("request_id", "pollutant", "unit", "prediction_24h_ahead", "model_used", "model_metrics.mae", "prediction_time", "target_time")
 

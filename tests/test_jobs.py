@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hourgrid import constants as C
 from hourgrid.operators import features
@@ -110,6 +111,33 @@ def test_series_forecasts_cover_the_test_span(spark):
     assert arima.stable_pair(1.2, 0.3) != (1.2, 0.3) and arima.stable_pair(0.5, 0.1) == (0.5, 0.1)
 
 
+def test_a_version_counts_once_its_manifest_is_written(spark, tmp_path, trained, monkeypatch):
+    from hourgrid.plans import store
+
+    root, (models, metrics) = str(tmp_path / "store"), trained
+    learner = next(iter(models))[1]
+    assert store.published(spark, root, (learner,)) is None
+    first = store.publish(models, metrics, root, "table 1")
+    found, measured = store.published(spark, root, (learner,), "table 1")
+    assert set(found) == {k for k in models if k[1] == learner} and measured.count() == len(found)
+    assert store.published(spark, root, (learner,), "table 2") is None and store.published(spark, root, ("Other",)) is None
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store.json, "dumps", killed)  # after the models have been written
+    with pytest.raises(KeyboardInterrupt):
+        store.publish(models, metrics, root, "table 1")
+    monkeypatch.undo()
+    assert [r.version for r in store.manifest(spark, root).collect()] == [first]
+    assert set(store.published(spark, root, (learner,))[0]) == set(found)
+    second = store.publish(models, metrics, root, "table 2")
+    assert {r.version for r in store.manifest(spark, root).collect()} == {first, second}
+    assert store.published(spark, root, (learner,), "table 1") is not None
+    table = spark.range(5).selectExpr("id", "id * 2 as b")
+    assert store.fingerprint(table) == store.fingerprint(table.orderBy(F.desc("id")).repartition(3)) != store.fingerprint(table.limit(4))
+
+
 MEASURED = "station_id string, pollutant string, timestamp_utc timestamp, value double"
 
 
