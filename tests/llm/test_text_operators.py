@@ -265,6 +265,46 @@ def test_names_do_not_ban_the_container_of_an_article():
     assert html_extract.main_text(f"<div hidden>{body}</div><div role=dialog>{body}</div>") == ""
 
 
+def test_ratios_decide(spark):
+    """Names stripped or foreign, the given pages still give their articles; without ratios other parts come along."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()]
+    flat = lambda parsed: ([1.0] * len(parsed.text), [1.0] * len(parsed.text))
+    changed = 0
+    for page in pages:
+        whole = html_extract.main_text(page)
+        for other in (re.sub(r'\s(class|id)="[^"]*"', "", page), page.replace('class="ad"', 'class="randspalte"')):
+            assert html_extract.main_text(other) == whole
+        parsed = html_extract.parse(re.sub(r'\s(class|id)="[^"]*"', "", page).replace("article>", "div>"))
+        changed += html_extract.content_blocks(parsed) != html_extract.content_blocks(parsed, flat)
+    assert changed > 0.8 * len(pages)
+    long, lines = LONG.strip(), "\n".join
+    body = f"<h1>T</h1><p>{long}</p><div class=box-300>Buy this now, cheap.</div><p>{long}</p><p>{long}</p>"
+    side = "<div class=randspalte><h3>Mehr</h3><p>Kurz, und knapp.</p></div>"
+    said = "<div class=c-list><h2>What people say</h2><p>Nice, I like it.</p><p>So do I, really, and much.</p></div>"
+    foot = "<div class=fuss><p>&copy; 2020, Firma.</p></div>"
+    for page in (f"<div class=inhalt>{body}</div>{side}{said}{foot}", f"<div class=inhalt>{body}{said}</div>{side}{foot}",
+                 f"<body>{side}<div><article>{body}{said}</article></div>{foot}</body>", f"{side}{body}{said}{foot}"):
+        assert html_extract.main_text(page) == lines(["T", long, long, long]), page
+
+
+@pytest.mark.parametrize("part", ['<a x="', "<div>", "<div>a, b", "<b>", """<a x="<b y='""", '<a "', "<li><section>", "<div class=ad>x, y.", "<a ", "<section>x</p>", "<!-", "a < b &", "<span class=ad>"])
+def test_two_megabytes_of_broken_markup(part):
+    import time
+
+    def spent(size):
+        at = time.process_time()
+        html_extract.main_text(part * (size // len(part)))
+        return time.process_time() - at
+
+    spent(20_000)
+    assert spent(2_000_000) < 30
+
+
+def test_hidden_inline_text_stays_out():
+    assert html_extract.main_text(f"<article><p>{LONG}<span hidden>secret</span><em>said</em></p></article>") == f"{LONG}said"
+    assert html_extract.main_text(f"<p>{LONG}<a title='>'>x</a> <b c=\"'>y</b></p>").startswith(LONG.strip())
+
+
 # -- queries ----------------------------------------------------------------------------------------------
 
 def test_digests_of_queries(spark, tokenizer):
