@@ -11,7 +11,7 @@ from catalog import adapter as A
 from catalog.cleaning_queries import clean
 from catalog.ctes import READINGS, fields, text_time
 from catalog.feature_queries import joined, stored_features
-from catalog.ingest_queries import live_rows
+from catalog.ingest_queries import OK, live_rows
 from catalog.registry import register
 from catalog.snap import sql as snap
 from hourgrid.operators import cleaning, evaluate, features
@@ -91,6 +91,50 @@ def _(spark, sf):
     return responses.select("request_id", "pollutant", "unit", "prediction_24h_ahead", "model_used", "model_metrics.mae", "prediction_time", "target_time")
 
 
+# What is determined of the fitted results: rows, ids, times, units, models, limits, and metrics that agree.
+TEST_ROWS = "feat f JOIN cut c ON f.pollutant = c.pollutant AND f.timestamp_utc >= c.cutoff"
+UNIT = "CASE pollutant WHEN 'pm25' THEN 'µg/m³' WHEN 'no2' THEN 'ppb' ELSE 'ppm' END AS unit"
+ISO = "'%Y-%m-%dT%H:%M:%S+00:00'"
+
+
+def within(value, pollutant):
+    """Whether a forecast keeps to its pollutant's physical bounds, which are fixed values."""
+    high = F.when(pollutant == "pm25", 2000.0).when(pollutant == "no2", 500.0).otherwise(0.6)
+    return F.coalesce(value.between(F.lit(0.0), high), F.lit(False))
+
+
+@register("model_store_rows", f"""SELECT f.pollutant, 'GradientBoosting' AS model, station_id, {text_time('f.timestamp_utc', 'timestamp_utc')},
+    {snap('f.target')} AS y_true, TRUE AS scored FROM {TEST_ROWS}""")
+def _(spark, sf):
+    _, test, _ = evaluate.time_split(stored_features(spark, sf))
+    rows = training.predictions(test, trained(spark, sf)[0])
+    return rows.select("pollutant", "model", "station_id", "timestamp_utc", "y_true", F.col("y_pred").isNotNull().alias("scored"))
+
+
+@register("published_metrics", f"""SELECT f.pollutant, 'GradientBoosting' AS model, count(*) AS n_test, TRUE AS mae_agrees, TRUE AS rmse_agrees,
+    TRUE AS r2_agrees FROM {TEST_ROWS} GROUP BY f.pollutant""")
+def _(spark, sf):
+    """Published metrics against sums over what the published models, loaded again, forecast for the test rows."""
+    models, metrics = trained(spark, sf)
+    _, test, _ = evaluate.time_split(stored_features(spark, sf))
+    off = F.col("y_true") - F.col("y_pred")
+    again = training.predictions(test, models).groupBy("pollutant", "model").agg(
+        F.avg(F.abs(off)).alias("a"), F.sqrt(F.avg(off * off)).alias("b"), (1 - F.avg(off * off) / F.var_pop("y_true")).alias("c"))
+    def agrees(name, value):
+        return (F.abs(F.col(name) - F.col(value)) < 1e-4).alias(f"{name}_agrees")
+    return metrics.join(again, ["pollutant", "model"]).select(
+        "pollutant", "model", "n_test", agrees("mae", "a"), agrees("rmse", "b"), agrees("r2", "c"))
+
+
+@register("batch_predict_rows", f"""SELECT request_id, pollutant, {UNIT}, 'GradientBoosting' AS model_used, strftime(prediction_time, {ISO}) AS prediction_time,
+    strftime(prediction_time + INTERVAL 24 HOUR, {ISO}) AS target_time, TRUE AS within FROM {OK} WHERE used = 'GradientBoosting'""")
+def _(spark, sf):
+    fitted, metrics = trained(spark, sf)
+    responses, _ = scoring.batch_predict(A.scoring_requests(spark, sf), fitted, metrics)
+    return responses.select("request_id", "pollutant", "unit", "model_used", "prediction_time", "target_time",
+                            within(F.col("prediction_24h_ahead"), F.col("pollutant")).alias("within"))
+
+
 @register("live_predict")
 def _(spark, sf):
     fitted, metrics = trained(spark, sf)
