@@ -14,6 +14,7 @@ from catalog.feature_queries import joined, stored_features
 from catalog.ingest_queries import OK, live_rows
 from catalog.registry import register
 from catalog.snap import sql as snap
+from hourgrid import constants as C
 from hourgrid.operators import cleaning, evaluate, features
 from hourgrid.plans import arima, scoring, store, training
 from hourgrid.plans.staging import staged
@@ -60,8 +61,7 @@ def _(spark, sf):
 
 
 def arima_forecasts(spark, sf):
-    cutoffs = evaluate.split_cutoffs(stored_features(spark, sf))
-    return staged(arima.station_forecasts(staged(clean(spark, sf), "clean"), staged(cutoffs, "cutoffs")), "forecasts")
+    return staged(arima.station_forecasts(*series_tables(spark, sf)), "forecasts")
 
 
 @register("station_arima")
@@ -69,6 +69,58 @@ def _(spark, sf):
     return arima.arima_metrics(arima_forecasts(spark, sf))
 
 
+def series_tables(spark, sf):
+    return staged(clean(spark, sf), "clean"), staged(evaluate.split_cutoffs(stored_features(spark, sf)), "cutoffs")
+
+
+# A long regression's products of differences, as means over a series' full rows; d0 is the response.
+LAGGED = range(arima.LONG_LAGS + 1)
+PAIRS = [(i, j) for i in LAGGED for j in LAGGED if i <= j]
+DEPTH = arima.LONG_LAGS + max(arima.ORDER[0], arima.ORDER[2])
+SPANS = " UNION ALL ".join(f"""SELECT station_id, '{p}' AS pollutant, c.timestamp_utc, c.{p} AS value, k.cutoff
+    FROM clean c JOIN cut k ON k.pollutant = '{p}'""" for p in C.POLLUTANTS)
+_WHOLE = "PARTITION BY station_id, pollutant ORDER BY timestamp_utc"
+DIFFERENCES = f"""SELECT *, value - lag(value) OVER ({_WHOLE}) AS d0 FROM (SELECT station_id, pollutant, timestamp_utc, coalesce(
+      last_value(value IGNORE NULLS) OVER ({_WHOLE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      first_value(value IGNORE NULLS) OVER ({_WHOLE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value
+    FROM ({SPANS}) WHERE timestamp_utc < cutoff)"""
+
+
+@register("arima_normal_equations", f"""SELECT station_id, pollutant, count(*) AS n, TRUE AS solved,
+    {', '.join(f"{snap(f'avg(d{i} * d{j})')} AS p{i}_{j}" for i, j in PAIRS)}
+    FROM (SELECT station_id, pollutant, d0, {', '.join(f'lag(d0, {k}) OVER ({_WHOLE}) AS d{k}' for k in (*LAGGED[1:], DEPTH))}
+      FROM ({DIFFERENCES})) WHERE d{DEPTH} IS NOT NULL GROUP BY station_id, pollutant""")
+def _(spark, sf):
+    """Summed products of every series, and whether its coefficients satisfy the normal equations made of them."""
+    found = arima.long_regression(arima.training_rows(*series_tables(spark, sf)))
+    at = {pair: F.col("sums")[k] / F.col("rows") for k, pair in enumerate(PAIRS)}
+    def product(i, j):
+        return at[min(i, j), max(i, j)]
+    left = [product(0, i) - reduce(lambda x, y: x + y, (F.col("a")[j - 1] * product(i, j) for j in LAGGED[1:])) for i in LAGGED[1:]]
+    scale = 1e-6 * (1 + at[0, 0])
+    return found.select("station_id", "pollutant", F.col("rows").alias("n"), (F.greatest(*map(F.abs, left)) < scale).alias("solved"),
+                        *(v.alias(f"p{i}_{j}") for (i, j), v in at.items()))
+
+
+@register("arima_forecast_rows", f"""SELECT station_id, pollutant, {text_time('timestamp_utc')}, {snap('value')} AS y_true, TRUE AS follows
+    FROM (SELECT *, count(*) FILTER (WHERE timestamp_utc < cutoff) OVER s AS before, count(value) FILTER (WHERE timestamp_utc < cutoff) OVER s AS readings,
+      count(*) FILTER (WHERE timestamp_utc >= cutoff) OVER s AS steps FROM ({SPANS}) WINDOW s AS (PARTITION BY station_id, pollutant))
+    WHERE timestamp_utc >= cutoff AND before >= {arima.MIN_TRAIN_ROWS} AND steps >= {arima.MIN_TEST_ROWS} AND readings > 0""")
+def _(spark, sf):
+    """Every hour of every test span, and whether its forecast follows from the two before by the model's equation.
+
+    Shocks are known for two steps only; from the fourth on, a step is made of the two steps before it.
+    """
+    hours, cutoffs = series_tables(spark, sf)
+    fitted = staged(arima.fitted_series(hours, cutoffs), "fitted")
+    rows = arima.station_forecasts(hours, cutoffs).join(fitted.select("station_id", "pollutant", "coefficients"), ["station_id", "pollutant"])
+    whole = "over (partition by station_id, pollutant order by timestamp_utc)"
+    steps = rows.selectExpr("*", *(f"lag(y_pred, {k}) {whole} as y{k}" for k in (1, 2, 3)), f"row_number() {whole} as i")
+    made = "coefficients[0] * (y1 - y2) + coefficients[1] * (y2 - y3)"
+    return steps.selectExpr("station_id", "pollutant", "timestamp_utc", "y_true",
+                            f"coalesce(i < 4 or abs(y_pred - y1 - ({made})) <= 1e-6 * (1 + abs(y_pred)), false) as follows")
+
+
 @register("train_pollutant")
 def _(spark, sf):
     _, metrics = trained(spark, sf, BOOSTED + FOREST)

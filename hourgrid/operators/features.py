@@ -109,6 +109,20 @@ def eligible_stations(
     ).filter(F.col("readings") >= min_readings)
 
 
+def _eligibility(clean: DataFrame, pollutants: Sequence[str], min_readings: int) -> DataFrame:
+    """A marker row per station and block that says which pollutants have enough readings.
+
+    Markers have no hour, so they come first in their block and hold nothing that a window could see.
+    """
+    hour = B.hour_index(F.col("timestamp_utc"))
+    blocks = clean.groupBy("station_id", B.block_of(hour).alias("_block")).agg(
+        *(F.count(p).alias(p) for p in pollutants))
+    stations = blocks.groupBy("station_id").agg(
+        F.collect_list("_block").alias("_blocks"), *(F.sum(p).alias(p) for p in pollutants))
+    enough = ", ".join(f"'{p}', {p} >= {min_readings}" for p in pollutants)
+    return stations.selectExpr("station_id", f"named_struct({enough}) as _eligible", "explode(_blocks) as _block")
+
+
 FEATURE_TABLE = ("pollutant", "station_id", "timestamp_utc", *C.FEATURES, "target")
 
 
@@ -123,7 +137,8 @@ def feature_rows(
     rows = B.spread(clean.select(
         "station_id", "timestamp_utc", "latitude", "longitude", *present, *pollutants,
         *(f"{p}_drift_flag" for p in pollutants),
-    ))
+    )).unionByName(_eligibility(clean, pollutants, min_readings), allowMissingColumns=True)
+    rows = rows.selectExpr("* except (_eligible)", "max(_eligible) over (partition by station_id, _block) as _eligible")
     rows = rows.selectExpr("*", *(
         f"{move}({p}, {k}) {B.OVER} as {name}_{p}"
         for p in pollutants
@@ -140,17 +155,14 @@ def feature_rows(
             "lag_168h": f"coalesce(_lag168_{p}, {rolled['roll_168h_mean']})", **rolled,
             "drift_flag": f"cast({p}_drift_flag as int)", "target": f"_target_{p}",
         }
-        structs.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+        row = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+        structs.append(f"if(_eligible.{p}, {row}, null)")
     long = own_rows.selectExpr(
-        "station_id", "timestamp_utc", "latitude", "longitude", *present, f"inline(array({', '.join(structs)}))"
+        "station_id", "timestamp_utc", "latitude", "longitude", *present,
+        f"inline(array_compact(array({', '.join(structs)})))",
     )
-    stations = eligible_stations(clean, pollutants, min_readings).select("station_id", "pollutant")
     absent = {c: F.lit(None).cast("double") for c in C.WEATHER_COLUMNS if c not in present}
-    return (
-        long.join(stations, ["station_id", "pollutant"], "left_semi")
-        .withColumns({**S.calendar_features(F.col("timestamp_utc")), **absent})
-        .select(*FEATURE_TABLE)
-    )
+    return long.withColumns({**S.calendar_features(F.col("timestamp_utc")), **absent}).select(*FEATURE_TABLE)
 
 
 def required_columns(weather: bool) -> list[str]:

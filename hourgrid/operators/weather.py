@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid import constants as C
@@ -76,15 +76,18 @@ def flatten_current_forecast(payloads: DataFrame, payload: str = "payload") -> D
 
 
 def deduplicate(weather: DataFrame) -> DataFrame:
-    """One row per station and hour, so that the join cannot multiply rows."""
-    row = F.struct(*C.WEATHER_COLUMNS)
-    return weather.groupBy("station_id", "timestamp_utc").agg(F.min(row).alias("_row")).select(
-        "station_id", "timestamp_utc", "_row.*"
-    )
+    """One row per station and hour, the smallest, so that the join cannot multiply rows.
+
+    Rows are dealt by station and hour first: the one sort that finds the smallest row is the sort the join needs.
+    """
+    keys = ("station_id", "timestamp_utc")
+    ordered = Window.partitionBy(*keys).orderBy(*C.WEATHER_COLUMNS)
+    return weather.select(*keys, *C.WEATHER_COLUMNS).repartition(*keys).withColumn(
+        "_row", F.row_number().over(ordered)).filter("_row = 1").drop("_row")
 
 
 def join_weather(clean: DataFrame, weather: DataFrame) -> DataFrame:
-    """Left join on station and hour; the aggregation shares the join's shuffle."""
+    """Left join on station and hour; the weather's shuffle and sort serve the join as well."""
     return clean.join(deduplicate(weather), ["station_id", "timestamp_utc"], "left")
 
 
