@@ -169,3 +169,31 @@ def test_current_weather_defaults_and_errors(spark):
     assert (b.temp_c, b.wind_speed_ms, b.conditions, b.station_name, b.error) == (None, 0.0, "unknown", "unknown", None)
     assert c.error == "Parse error: temp" and c.wind_speed_ms is None
     assert d.error is not None
+
+
+def test_rows_meet_their_stations_readings_before_they_become_one_per_pollutant(spark):
+    plan = features.feature_rows(to_spark(spark, clean_frame(300, "A")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" in plan
+
+
+def test_only_pollutants_with_enough_readings_give_rows_in_every_block(spark):
+    n = 2688 + 400
+    few = np.where(np.arange(n) < 30, 5.0, np.nan)
+    frame = pd.concat([clean_frame(n, "A", no2=few), clean_frame(40, "B")])
+    rows = features.feature_rows(to_spark(spark, frame), min_readings=200)
+    counts = {(r.station_id, r.pollutant): r["count"] for r in rows.groupBy("station_id", "pollutant").count().collect()}
+    assert counts == {("A", "pm25"): n, ("A", "ozone"): n}
+    assert features.feature_rows(to_spark(spark, frame).limit(0)).count() == 0
+
+
+def test_the_smallest_weather_row_stays_and_one_sort_finds_it(spark):
+    time = pd.Timestamp("2024-01-01").to_pydatetime()
+    rows = [("A", time, 2.0, 1.0, 1.0), ("A", time, None, 9.0, 9.0), ("A", time, None, 9.0, 3.0), ("B", time, 2.0, 1.0, 5.0),
+            ("B", time, 2.0, 1.0, 4.0), ("B", time, 2.0, 1.0, 4.0)]
+    table = spark.createDataFrame(rows, "station_id string, timestamp_utc timestamp, temperature_2m double, wind_speed_10m double, relative_humidity_2m double")
+    kept = weather.deduplicate(table)
+    assert {r.station_id: tuple(r)[2:] for r in kept.collect()} == {"A": (None, 9.0, 3.0), "B": (2.0, 1.0, 4.0)}
+    clean = to_spark(spark, clean_frame(5, "A")).select("station_id", "timestamp_utc", "pm25")
+    joined = weather.join_weather(clean.hint("merge"), table)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Sort [") == 2 and plan.count("Exchange") == 2

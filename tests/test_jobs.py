@@ -111,6 +111,42 @@ def test_series_forecasts_cover_the_test_span(spark):
     assert arima.stable_pair(1.2, 0.3) != (1.2, 0.3) and arima.stable_pair(0.5, 0.1) == (0.5, 0.1)
 
 
+def test_explosive_series_are_reported_and_kept_as_estimated(spark):
+    n, rng = 700, np.random.default_rng(4)
+    d = np.zeros(n)
+    for i in range(1, n):
+        d[i] = 1.02 * d[i - 1] + rng.normal(0, 0.01)
+    frame = clean_frame(n, "A", pm25=d.cumsum())
+    cutoffs = spark.createDataFrame([("pm25", (START + pd.Timedelta(hours=640)).to_pydatetime())], "pollutant string, cutoff timestamp")
+    found = {damp: arima.fitted_series(to_spark(spark, frame), cutoffs, ["pm25"], damp).first() for damp in (False, True)}
+    assert not found[False].stationary and not found[True].stationary and found[False].steps == 60
+    roots = {damp: max(abs(np.roots([1.0, -r.coefficients[0], -r.coefficients[1]]))) for damp, r in found.items()}
+    assert roots[False] == pytest.approx(1.02, abs=0.005) and roots[True] == pytest.approx(0.99, abs=1e-6)
+
+
+def test_series_sums_are_those_of_the_whole_series_and_a_station_without_readings_gives_none(spark):
+    n = 3 * 2688 + 50
+    value = np.random.default_rng(5).normal(50, 5, n).round(2)
+    frame = clean_frame(n, "A", pm25=value, no2=np.full(n, np.nan), ozone=np.full(n, np.nan))
+    cutoffs = spark.createDataFrame([(p, (START + pd.Timedelta(hours=n)).to_pydatetime()) for p in C.POLLUTANTS], "pollutant string, cutoff timestamp")
+    rows = arima.long_regression(arima.training_rows(to_spark(spark, frame), cutoffs)).collect()
+    assert [r.pollutant for r in rows] == ["pm25"]
+    d = np.diff(value)
+    width = arima.LONG_LAGS + 2
+    lagged = np.stack([d[width - k:len(d) - k] for k in range(arima.LONG_LAGS + 1)])
+    assert rows[0].rows == lagged.shape[1]
+    assert np.allclose(rows[0].sums, (lagged @ lagged.T)[np.triu_indices(len(lagged))])
+    assert np.allclose(rows[0].a, np.linalg.lstsq(lagged[1:].T, lagged[0], rcond=None)[0])
+
+
+def test_the_history_meets_its_coefficients_without_another_shuffle(spark):
+    rows = arima.long_series(to_spark(spark, clean_frame(800, "A")))
+    plan = arima.coefficients(rows)._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "SortMergeJoin [station_id" in line and "_block" in line]
+    # The left side, the history, comes straight from its windows.
+    assert joins and all("Exchange" not in line for i in joins for line in plan[i + 1:i + 5])
+
+
 def test_a_version_counts_once_its_manifest_is_written(spark, tmp_path, trained, monkeypatch):
     from hourgrid.plans import store
 
