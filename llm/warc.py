@@ -31,8 +31,12 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from llm.common import drop_staged, stage
+
 FORMAT = "warc_archive"
 LEAST_REVISIT = 1000
+#: Up to so many digests of copied payloads go to every executor, some 30 MB.
+SENT_DIGESTS = 1 << 18
 FILE_BYTES = 64 << 20
 _BATCH_BYTES = 8 << 20
 _PIECE = 1 << 20
@@ -351,10 +355,11 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"),
                         F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    # Copies are counted on narrow rows; few payloads have any, so the pages themselves seldom move.
-    copied = rows.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.count("*").alias("rows"), F.max("id").alias("first")).where(
-        "rows > 1 AND first IS NOT NULL").select("digest", "first")
-    full = rows.join(copied, "digest", "left")
+    # Copies are counted on narrow rows. Where few payloads have any, their digests go to the pages, which stay
+    # where they are; beyond that pages meet them by digest.
+    copied = stage(rows.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.count("*").alias("rows"), F.max("id").alias("first")).where(
+        "rows > 1 AND first IS NOT NULL").select("digest", "first"), "copied")
+    full = rows.join(F.broadcast(copied) if copied.count() <= SENT_DIGESTS else copied.hint("merge"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     full.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), _urn(F.col("id")).alias("record_id"),
@@ -362,6 +367,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"), F.col("n").alias("http_length"),
         F.when(~revisit, F.col("payload")).alias("payload"),
     ).write.format(FORMAT).mode("append").save(path)
+    drop_staged(copied)
 
 
 def pages_of(spark: SparkSession, path: str) -> DataFrame:

@@ -197,7 +197,9 @@ PAGES = [(1, "http://a/", LONG, 0), (2, "http://b/", LONG, 0), (9, None, LONG, 0
          (4, "http://d/", "short", 0), (5, "", None, 0), (6, "u", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n" * 80, 0), (7, "v", "x" * 3_000_000, 0)]
 
 
-def test_archive_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_archive_round_trip(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT_DIGESTS", sent)
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string, digest int").repartition(3)
     warc.archive(df, f"file://{tmp_path}/w")
     out = warc.pages_of(spark, f"file://{tmp_path}/w").collect()
