@@ -56,6 +56,7 @@ def test_one_block_and_many_give_the_same_trees(spark, monkeypatch):
     one = _fitted(rows, **settings)
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 400)
     monkeypatch.setattr(boosting, "PACKED_ROWS", 100)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 400)
     monkeypatch.setattr(boosting, "CHECKPOINT_ROUNDS", 2)
     training.ensure_checkpoint_dir(spark)
     many = _fitted(rows, **settings)
