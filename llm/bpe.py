@@ -77,7 +77,8 @@ class Vocabulary:
         pairs.sort()
         self._pair = np.array([p for p, _ in pairs], np.int64)
         self._whole = np.array([n for _, n in pairs], np.int64)
-        self.prefixes = {token[:k] for token in vocab for k in range(1, len(token) + 1)}
+        # Every beginning of a token, with the token's id or -1.
+        self.prefixes = dict.fromkeys((token[:k] for token in vocab for k in range(1, len(token))), -1) | vocab
         self._path = path
         self._split = regex.compile(PATTERN)
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -104,16 +105,19 @@ class Vocabulary:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, start, ids, prefixes = [], 0, self.ids, self.prefixes
-        if word in ids:
-            return [ids[word]]
-        while start < len(word):
-            end, best = start + 1, start + 1
-            while end < len(word) and word[start:end + 1] in prefixes:
+        whole = self.ids.get(word)
+        if whole is not None:
+            return [whole]
+        out, start, size, get = [], 0, len(word), self.prefixes.get
+        while start < size:
+            # A single byte is always a token.
+            end = best = start + 1
+            token = get(word[start:end])
+            while end < size and (longer := get(word[start:end + 1])) is not None:
                 end += 1
-                if word[start:end] in ids:
-                    best = end
-            out.append(ids[word[start:best]])
+                if longer >= 0:
+                    best, token = end, longer
+            out.append(token)
             start = best
         return out
 
@@ -221,9 +225,14 @@ class Encoder:
             self.known = {text: np.int32(n).tobytes() for text, n in self.vocab.special.items()}
         split = [(self.vocab.pieces if self.special else self.vocab.words)(t) for t in texts]
         known = self.known
-        new = list(set().union(*split).difference(known)) if split else []
+        # Most texts hold known words only: one look at each word, and sets just of what was not found.
+        found = [list(map(known.get, words)) for words in split]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        new = list({w for k in lacking for w, ids in zip(split[k], found[k], strict=True) if ids is None})
         known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.vocab.encode_words(new), strict=True))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        for k in lacking:
+            found[k] = map(known.__getitem__, split[k])
+        out = [np.frombuffer(b"".join(ids), np.int32) for ids in found]
         for word in new:
             if len(word) > _LONG:
                 del known[word]
