@@ -83,3 +83,25 @@ def test_rounds_over_one_block_need_no_jobs_of_their_own(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted rounds")) < 30
+
+
+def test_fits_share_the_tasks_by_their_rows(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setitem(training.TRAINERS, "GradientBoosting", lambda rows, settings: seen.setdefault(rows.first()["pollutant"], settings.tasks))
+    rows = spark.range(80).select(F.expr("if(id < 60, 'pm25', 'no2')").alias("pollutant"), F.lit(1.0).alias("target"))
+    training.train_all(rows, ("GradientBoosting",))
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == {"pm25": -(-cores * 60 // 80), "no2": -(-cores * 20 // 80)}
+
+
+def test_a_large_table_is_counted_in_the_tasks_given(spark, monkeypatch):
+    rows, _, _ = _rows(spark)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(boosting, "PACKED_ROWS", 100)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 400)
+    training.ensure_checkpoint_dir(spark)
+    parts, total = [], boosting._total
+    monkeypatch.setattr(boosting, "_total", lambda rdd: parts.append(rdd.getNumPartitions()) or total(rdd))
+    few = _fitted(rows, maxIter=3, maxDepth=2, tasks=2)
+    assert set(parts) == {2}
+    assert few.getOrDefault("feature") == _fitted(rows, maxIter=3, maxDepth=2).getOrDefault("feature")
