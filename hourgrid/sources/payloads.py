@@ -28,7 +28,7 @@ def classify_envelope(payloads: DataFrame, payload: str = "payload") -> DataFram
         F.when(F.col("_e").isNull(), F.lit("error"))
         .when(status == "Success", F.lit("success")).when(quiet, F.lit("no data")).otherwise(F.lit("error"))
     )
-    parsed = payloads.withColumn("_e", S.parse_json(payload, schemas.ENVELOPE))
+    parsed = S.with_json(payloads, "_e", payload, schemas.ENVELOPE)
     return parsed.withColumns({
         "outcome": outcome,
         "message": F.when(F.col("_e").isNull(), F.lit("unreadable payload")).when(outcome != "success", message),

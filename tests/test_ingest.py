@@ -134,3 +134,10 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "StringContains(parameter_code,88101)" in plan
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "county:string" not in scan.split("ReadSchema")[-1]
+
+
+def test_a_payload_is_parsed_once(spark):
+    rows, failed = payloads.unwrap_envelope(spark.createDataFrame([(1, "{}")], "payload_id long, payload string"))
+    for df in (ingest.normalize_pull(rows).select("payload_id", "sample_measurement"), failed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1
