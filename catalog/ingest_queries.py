@@ -358,7 +358,11 @@ def _(spark, sf):
     (SELECT request_id, pollutant, unnest(generate_series(end_hour - INTERVAL 170 HOUR, end_hour, INTERVAL 1 HOUR)) AS t FROM live_req) g
     LEFT JOIN area a ON a.request_id = g.request_id AND a.timestamp_utc = g.t""")
 def _(spark, sf):
-    return live.request_grid(A.live_requests(spark, sf), hours(spark, sf))
+    asked = A.live_requests(spark, sf)
+    different = live.questions(asked)
+    found = live.hourly_area_mean(live.nearby(different, live.site_hours(live.readings(A.observations(spark, sf)))), None)
+    grid = live.request_grid(different, found).drop("pollutant")
+    return live.answered(asked, grid, "inner").select("request_id", "pollutant", "timestamp_utc", "value")
 
 
 def said(warnings="warnings"):

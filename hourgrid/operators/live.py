@@ -120,6 +120,23 @@ def nearby(requests: DataFrame, sites: DataFrame, history_hours: int = C.HISTORY
         "request_id", "pollutant", "_hour", "entries")
 
 
+QUESTION = ("pollutant", "latitude", "longitude", "end_hour")
+
+
+def questions(requests: DataFrame) -> DataFrame:
+    """The different questions among requests, as requests whose id is the question itself.
+
+    What lies near a place does not depend on who asks, so it is worked out once for each question.
+    """
+    return requests.select(*QUESTION).distinct().withColumn("request_id", F.struct(*QUESTION))
+
+
+def answered(requests: DataFrame, answers: DataFrame, how: str = "left") -> DataFrame:
+    """Requests next to the answers to their questions."""
+    return requests.withColumn("_question", F.struct(*QUESTION)).join(
+        answers.withColumnRenamed("request_id", "_question"), "_question", how).drop("_question")
+
+
 def _parameter_of(pollutant: Column) -> Column:
     return S.choose(pollutant, C.LIVE_PARAMETERS)
 
@@ -280,7 +297,7 @@ def live_features(
     ``weather`` is the result of ``weather_fallback`` for the same requests. ``status`` is ``ok``,
     ``no observations`` or ``missing essential lags``.
     """
-    hours = hourly_area_mean(nearby(requests, site_hours(readings(observations)), history_hours), digits)
+    hours = hourly_area_mean(nearby(questions(requests), site_hours(readings(observations)), history_hours), digits)
     per_request = Window.partitionBy("request_id")
     t0 = F.max(F.when(F.col("value").isNotNull(), F.col("_hour"))).over(per_request)
     rows = hours.withColumn("_t0", t0)
@@ -295,7 +312,7 @@ def live_features(
         F.count(F.when(in_week, F.col("value"))).alias("_week_count"),
         F.max(F.col("unit_warning")).alias("_unit_warning"),
     )
-    joined = requests.join(gathered, "request_id", "left")
+    joined = answered(requests, gathered)
     if weather is not None:
         weather_columns = ("request_id", *C.WEATHER_COLUMNS, "weather_source", "weather_error")
         joined = joined.join(weather.select(*weather_columns), "request_id", "left")

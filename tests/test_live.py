@@ -153,3 +153,27 @@ def test_forest_needs_every_feature(spark):
 def test_clipping_keeps_missing_values_missing(spark):
     df = spark.createDataFrame([(5000.0,), (-1.0,), (3.14159,), (None,), (float("nan"),)], "v double")
     assert [r.c for r in df.select(S.clip(F.col("v"), F.lit("pm25")).alias("c")).collect()] == [2000.0, 0.0, 3.1416, None, None]
+
+
+def test_a_question_is_worked_out_once_whoever_asks_it(spark, monkeypatch):
+    rows = [observation(hour=END - dt.timedelta(hours=k), value=str(k)) for k in range(30)]
+    asked, nearby = [], live.nearby
+    monkeypatch.setattr(live, "nearby", lambda requests, *more: asked.append(requests.count()) or nearby(requests, *more))
+    requests = ask(spark, ONE, ONE, (None, *ONE[1:]), ("pm25", None, *ONE[2:]), ONE)
+    out = live.live_features(requests, table(spark, rows)).orderBy("request_id").collect()
+    assert asked == [3]
+    assert [(r.request_id, r.status, r.n_raw_obs, r.lag_24h) for r in out] == [
+        (0, "ok", 30, 24.0), (1, "ok", 30, 24.0), (2, "no observations", 30, None), (3, "no observations", 0, None), (4, "ok", 30, 24.0)]
+
+
+def test_grids_of_questions_meet_all_their_requests(spark, monkeypatch):
+    from catalog import QUERIES, ingest_queries as Q
+
+    rows = [observation(hour=END - dt.timedelta(hours=k), value=str(k)) for k in range(30)]
+    asked, nearby = [], live.nearby
+    monkeypatch.setattr(live, "nearby", lambda requests, *more: asked.append(requests.count()) or nearby(requests, *more))
+    monkeypatch.setattr(Q.A, "live_requests", lambda *_: ask(spark, ONE, ONE, ONE))
+    monkeypatch.setattr(Q.A, "observations", lambda *_: table(spark, rows))
+    grid = QUERIES["request_grid"](spark, "").groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")).collect()
+    assert asked == [1]
+    assert sorted(map(tuple, grid)) == [(i, C.HISTORY_HOURS + 1, sum(range(30))) for i in range(3)]
