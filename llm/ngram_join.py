@@ -141,21 +141,24 @@ def _profiles(frequent):
 # -- tiles ------------------------------------------------------------------------------------------------
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key occurs more than once; state is one row."""
+    """Of rows sorted by key and size, those that meet another of their key within the size band; state is one row.
+
+    In order of size, a row meets any other only if it meets one of its neighbours.
+    """
     last = None  # the row before, and whether it has been passed on
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, n, rep = (batch.column(c).to_numpy() for c in range(3))
         if last is not None:
-            key, rep = np.append(last[0], key), np.append(last[1], rep)
-        same = key[1:] == key[:-1]
+            key, n, rep = np.append(last[0], key), np.append(last[1], n), np.append(last[2], rep)
+        same = (key[1:] == key[:-1]) & (n[1:] <= n[:-1] * 100 // PERCENT)
         keep = np.append(False, same) | np.append(same, False)
-        if last is not None and last[2]:
+        if last is not None and last[3]:
             keep[0] = False
-        passed = bool(keep[-1]) or (len(key) == 1 and last is not None and last[2])
+        passed = bool(keep[-1]) or (len(key) == 1 and last is not None and last[3])
         yield pa.record_batch([key[keep], rep[keep]], names=["key", "rep"])
-        last = (key[-1], rep[-1], passed)
+        last = (key[-1], n[-1], rep[-1], passed)
     return
 
 
@@ -353,7 +356,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rich = profile.where("keys IS NOT NULL").join(
         classes.select("digest", F.col("rep").alias("uid")), ["digest", "uid"]).withColumnRenamed("uid", "rep")
     marks = stage(rich.select("rep", "id", "digest", "n", "bitmap"), "bitmaps")
-    keyed = rich.select(F.explode("keys").alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
+    keyed = rich.select(F.explode("keys").alias("key"), "n", "rep").repartition("key").sortWithinPartitions("key", "n", "rep")
     shared = stage(keyed.mapInArrow(_runs, "key long, rep long"), "runs")
     drop_staged(profile)
 

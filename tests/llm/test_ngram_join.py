@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm import ngram_join as N
@@ -85,3 +86,15 @@ def test_near_copies_keep_all_texts_of_a_reused_id(spark):
     rows = [(1, *one), (1, *two), (1, *one), (2, None, "x", "b", 0), (2, None, "x", "a", 0), (2, "some third thing to read here", "x", "s", 29), (3, *one)]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), SF_DIR).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, *one), (1, *two), (2, None, "x", "a", 0), rows[5]], key=str)
+
+
+def test_rows_without_a_neighbour_in_size_leave_their_key():
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(k), int(n), i) for i, (k, n) in enumerate(zip(rng.integers(0, 40, 300), rng.integers(1, 60, 300)))})
+    want = [(k, r) for k, n, r in rows if any(
+        q == k and s != r and min(n, m) >= -(-N.PERCENT * max(n, m) // 100) for q, m, s in rows)]
+    assert 0 < len(want) < len(rows)
+    for size in (1, 2, 7, 300):
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i:i + size])], names=["key", "n", "rep"]) for i in range(0, len(rows), size)]
+        out = [row for b in N._runs(iter(batches)) for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert sorted(out) == sorted(want) and len(out) == len(want)
