@@ -130,22 +130,32 @@ def stable_pair(a: float, b: float, radius: float = 0.99) -> tuple[float, float]
 FORECAST = "station_id string, pollutant string, timestamp_utc timestamp, y_pred double, stationary boolean"
 
 
+#: Series whose recursions run side by side.
+SIDE_BY_SIDE = 256
+
+
 def _recursions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per series in, one row per forecast hour out."""
     for frame in frames:
-        for row in frame.itertuples(index=False):
-            phi1, phi2, theta1, theta2 = row.coefficients
-            level, d1, d2, e1, e2 = row.state
-            out = np.empty(int(row.steps))
-            for i in range(len(out)):
-                step = phi1 * d1 + phi2 * d2 + theta1 * e1 + theta2 * e2
-                d1, d2, e1, e2 = step, d1, 0.0, e1
-                level += step
-                out[i] = level
-            hours = pd.to_datetime(row.last_hour) + pd.to_timedelta(np.arange(1, len(out) + 1), unit="h")
+        for start in range(0, len(frame), SIDE_BY_SIDE):
+            part = frame.iloc[start:start + SIDE_BY_SIDE]
+            phi1, phi2, theta1, theta2 = np.stack(part["coefficients"].to_numpy()).astype(float).T
+            level, d1, d2, e1, e2 = np.stack(part["state"].to_numpy()).astype(float).T
+            steps = part["steps"].to_numpy(np.int64)
+            out = np.empty((len(part), steps.max()))
+            # What explodes is let explode, up to infinity.
+            with np.errstate(over="ignore", invalid="ignore"):
+                for i in range(out.shape[1]):
+                    step = phi1 * d1 + phi2 * d2 + theta1 * e1 + theta2 * e2
+                    d1, d2, e1, e2 = step, d1, np.zeros(len(part)), e1
+                    level = level + step
+                    out[:, i] = level
+            row, hour = np.nonzero(np.arange(out.shape[1]) < steps[:, None])
+            known = part.iloc[row].reset_index(drop=True)
             yield pd.DataFrame({
-                "station_id": row.station_id, "pollutant": row.pollutant, "timestamp_utc": hours, "y_pred": out,
-                "stationary": row.stationary,
+                "station_id": known["station_id"], "pollutant": known["pollutant"],
+                "timestamp_utc": known["last_hour"] + pd.to_timedelta(hour + 1, unit="h"), "y_pred": out[row, hour],
+                "stationary": known["stationary"],
             })
 
 
@@ -182,11 +192,17 @@ def fitted_series(
 
 def station_forecasts(
     clean: DataFrame, cutoffs: DataFrame, pollutants: Sequence[str] = C.POLLUTANTS, damp: bool = False,
+    fitted: DataFrame | None = None,
 ) -> DataFrame:
-    """Forecast of the whole test span of every series with enough history, next to the readings."""
-    fitted = fitted_series(clean, cutoffs, pollutants, damp)
-    # A row per series; spread over the cluster, since each becomes a whole test span.
-    forecast = fitted.repartition(*SERIES).mapInPandas(_recursions, FORECAST)
+    """Forecast of the whole test span of every series with enough history, next to the readings.
+
+    ``fitted`` is the result of ``fitted_series`` for the same tables, where the caller has it already.
+    """
+    if fitted is None:
+        fitted = fitted_series(clean, cutoffs, pollutants, damp)
+    # A row per series, each of which becomes a whole test span: few bytes, which must not be merged into one task.
+    parts = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forecast = fitted.repartition(parts, *SERIES).mapInPandas(_recursions, FORECAST)
     actual = long_series(clean, pollutants).join(F.broadcast(cutoffs), "pollutant").filter(
         "timestamp_utc >= cutoff").select(*SERIES, "timestamp_utc", F.col("value").alias("y_true"))
     return forecast.join(actual, [*SERIES, "timestamp_utc"], "left")
