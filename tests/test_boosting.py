@@ -105,3 +105,21 @@ def test_a_large_table_is_counted_in_the_tasks_given(spark, monkeypatch):
     few = _fitted(rows, maxIter=3, maxDepth=2, tasks=2)
     assert set(parts) == {2}
     assert few.getOrDefault("feature") == _fitted(rows, maxIter=3, maxDepth=2).getOrDefault("feature")
+
+
+def test_joint_bins_of_two_features_give_the_counts_of_each(monkeypatch):
+    rng = np.random.default_rng(2)
+    bins, rest = rng.integers(0, 9, (3, 500)).astype(np.uint8), rng.normal(size=500)
+    seen = []
+    for joint in (1 << 12, 1):
+        monkeypatch.setattr(boosting, "JOINT_BINS", joint)
+        seen.append([next(boosting._statistics([(bins, rest)], np.array([1]), np.array([4]), np.array([True, False]), 1, 9, s)) for s in (False, True)])
+    assert all(a.shape == (2, 3, 1, 9) and np.allclose(a, b) for a, b in zip(*seen))
+
+
+def test_only_features_that_vary_have_their_quantiles_taken(spark, monkeypatch):
+    rows, _, _ = _rows(spark)
+    seen, cuts = [], boosting.HistogramBooster._cuts
+    monkeypatch.setattr(boosting.HistogramBooster, "_cuts", lambda self, rows, features: seen.append(features) or cuts(self, rows, features))
+    _fitted(rows, maxIter=2, maxDepth=2)
+    assert seen == [[0, 1, 2, 3]]
