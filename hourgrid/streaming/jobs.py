@@ -106,11 +106,15 @@ class DayState:
     def get(self, hour: int) -> float:
         return self._day(hour // DAY)[0][hour % DAY]
 
-    def span(self, start: int, end: int) -> np.ndarray:
-        """Known values of the hours ``start`` to ``end``, the last one excluded."""
+    def hours(self, start: int, end: int) -> np.ndarray:
+        """Values of the hours ``start`` to ``end``, the last one excluded; NaN where none is known."""
         first = start // DAY
         rows = np.concatenate([self._day(d)[0] for d in range(first, (end - 1) // DAY + 1)])
-        inside = rows[start - first * DAY:end - first * DAY]
+        return rows[start - first * DAY:end - first * DAY]
+
+    def span(self, start: int, end: int) -> np.ndarray:
+        """Known values of the hours ``start`` to ``end``, the last one excluded."""
+        inside = self.hours(start, end)
         return inside[~np.isnan(inside)]
 
     def drop(self, day: int) -> None:
@@ -189,10 +193,17 @@ class _Rolling(_SeriesProcessor):
 
     def ready(self, state, top, watermark):
         last = min(watermark // HOUR_MS, top + self.width)
-        for t in range(state[0], last + 1):
-            inside = self.days.span(t - self.width, t)
-            if len(inside) >= 2:
-                yield pd.Timestamp(t * HOUR, unit="s"), float(inside.mean()), float(inside.std()), len(inside)
+        # Up to a day's hours at once, whose spans share their values.
+        for t in range(state[0], last + 1, DAY):
+            end = min(t + DAY, last + 1)
+            spans = np.lib.stride_tricks.sliding_window_view(self.days.hours(t - self.width, end - 1), self.width)
+            known = ~np.isnan(spans)
+            n = known.sum(axis=1)
+            mean = np.where(known, spans, 0.0).sum(axis=1) / np.maximum(n, 1)
+            off = np.where(known, spans - mean[:, None], 0.0)
+            std = np.sqrt((off * off).sum(axis=1) / np.maximum(n, 1))
+            for k in np.flatnonzero(n >= 2).tolist():
+                yield pd.Timestamp((t + k) * HOUR, unit="s"), float(mean[k]), float(std[k]), int(n[k])
         state[0] = max(state[0], last + 1)
 
     def due(self, at, top):

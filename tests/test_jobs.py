@@ -323,3 +323,27 @@ def test_streamed_scores(spark, tmp_path, trained):
     jobs.run(jobs.to_batches(stream, out, state, lambda batch: jobs.scored(batch, places, trained[0])))
     scored = spark.read.parquet(out)
     assert scored.count() == 16 and scored.filter("prediction is null").count() == 0
+
+
+def test_spans_of_a_day_read_their_hours_once():
+    rng = np.random.default_rng(0)
+    values = np.where(rng.random(400) < 0.4, np.nan, rng.normal(size=400))
+    reads = []
+
+    class Days:
+        def hours(self, start, end):
+            reads.append((start, end))
+            return np.array([values[h] if 0 <= h < 400 else np.nan for h in range(start, end)])
+
+    processor = jobs._Rolling(168)
+    processor.days, state = Days(), [1]
+    rows = list(processor.ready(state, 399, 500 * jobs.HOUR_MS))
+    assert state == [501] and len(reads) == -(-500 // 24)
+    direct = []
+    for t in range(1, 501):
+        inside = values[max(0, t - 168):t]
+        inside = inside[~np.isnan(inside)]
+        if len(inside) >= 2:
+            direct.append((t, inside.mean(), inside.std(), len(inside)))
+    assert [(r[0].value // 3_600_000_000_000, r[3]) for r in rows] == [(t, n) for t, _, _, n in direct]
+    assert np.allclose([r[1:3] for r in rows], [d[1:3] for d in direct])
