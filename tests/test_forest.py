@@ -103,3 +103,14 @@ def test_training_grows_the_whole_forest_without_the_driver(spark):
     stages = [s for s in model.stages if isinstance(s, forest.ForestModel)]
     assert len(stages) == 1 and stages[0].stored().count() == training.RF_PARAMS["numTrees"] == 200
     assert training.RF_PARAMS["minInstancesPerNode"] == 10 and training.RF_DEPTH == 30
+
+
+def test_a_forest_takes_a_few_jobs_whatever_its_depth(spark):
+    train = spark.range(3000).select(*(F.rand(i).alias(c) for i, c in enumerate(training.C.FEATURES)), (F.rand(50) * 3).alias("target"))
+    spark.sparkContext.setJobGroup("whole forest", "whole forest")
+    try:
+        model = training.train_forest(train)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole forest")) < 20
+    assert next(s for s in model.stages if isinstance(s, forest.ForestModel)).stored().agg(F.avg("nodes")).first()[0] > 100
