@@ -199,7 +199,7 @@ def _coverage_aggregates() -> list[Column]:
     ]
 
 
-def _coverage_columns(history_hours: int) -> list[Column]:
+def _coverage_columns(history_hours: int, named: bool = True) -> list[Column]:
     covered = F.coalesce("_covered", F.lit(0))
     any_mine = F.coalesce("_mine", F.lit(0)) > 0
     none = F.array().cast("array<string>")
@@ -207,7 +207,7 @@ def _coverage_columns(history_hours: int) -> list[Column]:
         F.coalesce("_raw", F.lit(0)).alias("n_raw_obs"), covered.alias("coverage_hours"),
         # Without any record of the pollutant no grid is laid out at all.
         F.when(any_mine, F.lit(history_hours + 1) - covered).otherwise(F.lit(0)).alias("missing_hours"),
-        F.coalesce("_sources", none).alias("sources"), F.coalesce("_seen", none).alias("parameters_seen"),
+        *((F.coalesce("_sources", none).alias("sources"),) if named else ()), F.coalesce("_seen", none).alias("parameters_seen"),
     ]
 
 
@@ -288,15 +288,10 @@ def point_lags(hours: DataFrame, offsets: tuple[int, ...] = (1, 24, 168)) -> Dat
     ))
 
 
-def live_features(
-    requests: DataFrame, observations: DataFrame, weather: DataFrame | None = None,
-    history_hours: int = C.HISTORY_HOURS, digits: int | None = 4,
+def question_answers(
+    requests: DataFrame, observations: DataFrame, history_hours: int = C.HISTORY_HOURS, digits: int | None = 4,
 ) -> DataFrame:
-    """One row per request: status, latest hour, the features, their provenance and warnings.
-
-    ``weather`` is the result of ``weather_fallback`` for the same requests. ``status`` is ``ok``,
-    ``no observations`` or ``missing essential lags``.
-    """
+    """One row per different question: what its hours say, and the names of the sites behind it in ``_sources``."""
     hours = hourly_area_mean(nearby(questions(requests), site_hours(readings(observations)), history_hours), digits)
     per_request = Window.partitionBy("request_id")
     t0 = F.max(F.when(F.col("value").isNotNull(), F.col("_hour"))).over(per_request)
@@ -304,7 +299,7 @@ def live_features(
     day_mean, day_std = range_stats("value", 24, F.col("_hour"), F.col("_t0"), digits)
     week_mean, week_std = range_stats("value", 168, F.col("_hour"), F.col("_t0"), digits)
     in_week = (F.col("_hour") >= F.col("_t0") - 168) & (F.col("_hour") < F.col("_t0"))
-    gathered = rows.groupBy("request_id").agg(
+    return rows.groupBy("request_id").agg(
         *_coverage_aggregates(), F.max("_t0").alias("_t0"),
         *(F.max(F.when(F.col("_hour") == F.col("_t0") - k, F.col("value"))).alias(f"lag_{k}h") for k in (1, 24, 168)),
         day_mean.alias("roll_24h_mean"), day_std.alias("roll_24h_std"),
@@ -312,15 +307,49 @@ def live_features(
         F.count(F.when(in_week, F.col("value"))).alias("_week_count"),
         F.max(F.col("unit_warning")).alias("_unit_warning"),
     )
-    joined = answered(requests, gathered)
+
+
+def question_sources(answers: DataFrame) -> DataFrame:
+    """The names of the sites behind each question of ``question_answers``."""
+    return answers.select(F.col("request_id").alias("question"), F.col("_sources").alias("_names"))
+
+
+def named_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Live features that hold their question, with the names of the sites behind it instead."""
+    none = F.array().cast("array<string>")
+    return rows.join(sources, "question", "left").withColumn("sources", F.coalesce("_names", none)).drop("_names", "question")
+
+
+def live_features(
+    requests: DataFrame, observations: DataFrame, weather: DataFrame | None = None,
+    history_hours: int = C.HISTORY_HOURS, digits: int | None = 4,
+) -> DataFrame:
+    """One row per request: status, latest hour, the features, their provenance and warnings.
+
+    ``weather`` is the result of ``weather_fallback`` for the same requests. ``status`` is ``ok``,
+    ``no observations`` or ``missing essential lags``.
+    """
+    return answered_features(requests, question_answers(requests, observations, history_hours, digits), weather, history_hours)
+
+
+def answered_features(
+    requests: DataFrame, answers: DataFrame, weather: DataFrame | None = None, history_hours: int = C.HISTORY_HOURS, named: bool = True,
+) -> DataFrame:
+    """``live_features`` from the answers to the requests' questions.
+
+    Many requests share a question, and its sites may be thousands. Where rows are stored, take them with their
+    ``question`` (``named=False``) and put names in their place (``named_sources``) when they are read.
+    """
     if weather is not None:
         weather_columns = ("request_id", *C.WEATHER_COLUMNS, "weather_source", "weather_error")
-        joined = joined.join(weather.select(*weather_columns), "request_id", "left")
+        joined = requests.join(weather.select(*weather_columns), "request_id", "left")
     else:
-        joined = joined.withColumns({
+        joined = requests.withColumns({
             **{c: F.lit(None).cast("double") for c in C.WEATHER_COLUMNS},
             "weather_source": F.lit("none"), "weather_error": F.lit("no weather given"),
         })
+    # Answers come last: rows that hold the names of sites are not shuffled.
+    joined = answered(joined, answers if named else answers.drop("_sources"))
     # A request the weather table does not know has failed weather, too.
     joined = joined.withColumns({
         "weather_source": F.coalesce("weather_source", F.lit("all weather sources failed")),
@@ -340,7 +369,8 @@ def live_features(
         *(F.col(c).cast("double").alias(c) for c in C.FEATURES),
         R.feature_map().alias("features_used"), provenance().alias("feature_provenance"),
         F.array_compact(F.array(*_coverage_warnings(history_hours), *_feature_warnings())).alias("warnings"),
-        *_coverage_columns(history_hours), "weather_source", "weather_error",
+        *_coverage_columns(history_hours, named), "weather_source", "weather_error",
+        *(() if named else (F.struct(*QUESTION).alias("question"),)),
     )
 
 

@@ -177,3 +177,64 @@ def test_grids_of_questions_meet_all_their_requests(spark, monkeypatch):
     grid = QUERIES["request_grid"](spark, "").groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")).collect()
     assert asked == [1]
     assert sorted(map(tuple, grid)) == [(i, C.HISTORY_HOURS + 1, sum(range(30))) for i in range(3)]
+
+
+class Constant:
+    """A model that always says the same."""
+
+    def transform(self, rows):
+        return rows.withColumn("forecast", F.lit(5.0))
+
+
+def test_names_of_sites_are_stored_once_for_each_question(spark, monkeypatch):
+    from catalog import QUERIES
+    from catalog import job_queries as Q
+    from hourgrid.plans import scoring
+
+    obs = [observation(34.0 + 0.01 * k, hour=END - dt.timedelta(hours=h), site=f"S{k}", code=str(k)) for k in range(4) for h in range(30)]
+    asked = ask(spark, *[ONE] * 6, ("no2", 34.0, -118.0, END), ("pm25", 10.0, 10.0, END), ("pm25", 34.0, -118.0, END - dt.timedelta(hours=1)))
+    seen = asked.select("request_id", F.lit(20.0).alias("temp_c"), F.lit(1.0).alias("wind_speed_ms"), F.lit(30).alias("humidity_pct"), F.lit(None).cast("string").alias("error"))
+    forecast = weather.weather_fallback(asked, seen.filter("request_id % 2 = 0"), seen.filter("request_id = 1"))
+    models = {("pm25", C.REQUEST_MODELS[0]): Constant()}
+    metrics = spark.createDataFrame([("pm25", C.REQUEST_MODELS[0], 1.0, 2.0, 0.5, 9)], "pollutant string, model string, mae double, rmse double, r2 double, n_test long")
+    whole = live.live_features(asked, table(spark, obs), forecast, digits=None)
+    want = scoring.live_predict(whole, models, metrics)
+    stored, asked_sources = {}, []
+
+    def staged(df, label):
+        stored[label] = df.columns
+        return df
+
+    monkeypatch.setattr(Q, "staged", staged)
+    monkeypatch.setattr(Q, "trained", lambda *_: (models, metrics))
+    monkeypatch.setattr(Q, "live_weather", lambda *_: forecast)
+    monkeypatch.setattr(Q.A, "live_requests", lambda *_: asked)
+    monkeypatch.setattr(Q.A, "observations", lambda *_: table(spark, obs))
+    predict = scoring.live_predict
+
+    def told(*args):
+        asked_sources.append(predict(*args))
+        return asked_sources[-1]
+
+    monkeypatch.setattr(Q.scoring, "live_predict", told)
+    rows = QUERIES["live_predict"](spark, "sf").collect()
+    assert "_sources" in stored["answers"] and not {"sources", "_sources", "_names"} & set(stored["live"])
+    assert sorted(r.request_id for r in rows) == [0, 1, 2, 3, 4, 5, 8]
+    # The records are those of rows that hold their names.
+    columns = [c for c in want.columns if c not in ("features_used", "feature_provenance")]
+    got = asked_sources[0]
+    assert got.columns == want.columns
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert {tuple(r[0]) for r in got.select("data_sources.observations.reporting_areas").collect()} == {("S0", "S1", "S2", "S3")}
+
+
+def test_no_row_that_holds_names_of_sites_is_dealt_out_again(spark, monkeypatch):
+    asked = ask(spark, ONE)
+    told = asked.select("request_id", *(F.lit(1.0).alias(c) for c in C.WEATHER_COLUMNS), F.lit("A").alias("weather_source"), F.lit(None).cast("string").alias("weather_error"))
+    monkeypatch.setattr(live, "question_answers", lambda requests, *_: live.questions(requests).select("request_id", *(
+        F.lit(None).cast(t).alias(c) for c, t in (("_sources", "array<string>"), ("_seen", "array<string>"), ("_raw", "long"), ("_mine", "long"), ("_covered", "long"),
+                                                  ("_t0", "long"), ("_week_count", "long"), ("_unit_warning", "boolean"))), *(
+        F.lit(None).cast("double").alias(c) for c in ("lag_1h", "lag_24h", "lag_168h", "roll_24h_mean", "roll_24h_std", "roll_168h_mean", "roll_168h_std"))))
+    plan = live.live_features(asked, None, told)._jdf.queryExecution().analyzed().toString().splitlines()
+    depth = {name: min(len(line) - len(line.lstrip(" :+-")) for line in plan if "Join LeftOuter" in line and name in line) for name in ("_question", "(request_id")}
+    assert depth["_question"] < depth["(request_id"]
