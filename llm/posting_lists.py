@@ -32,6 +32,9 @@ WIDTH = 64
 DEGREE = 24
 CHUNK = 4096
 NEAREST = 5
+#: Cosines with centroids held at once where a query looks at all, and rows of a batch that goes back to Spark.
+CELLS = 1 << 20
+PIECE = 4096
 
 
 @dataclass(frozen=True)
@@ -159,26 +162,47 @@ def fit(rows: DataFrame, total: int, per_list: int = LIST, sample: int = SAMPLE)
     return replace(index, ratio=fitted_ratio(index, x))
 
 
+def ranked(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All centroids of each row, best first, and their cosines."""
+    cos = x @ index.centroids.T
+    ids = np.argsort(-cos, axis=1, kind="stable")
+    return ids, np.take_along_axis(cos, ids, 1)
+
+
 def visited(index: Index, x: np.ndarray, ratio: float, sizes: np.ndarray, need: int) -> list[np.ndarray]:
     """Lists of each query: those within the ratio, and on to the next ones until they hold enough entries.
 
-    The graph is searched for ``WIDTH`` centroids; only queries that want the last of these search again, wider.
+    The graph is searched for ``WIDTH`` centroids; only queries that want the last of these look at all, a few queries
+    at a time: a wider search of the graph would sort its candidates at every step.
     """
     out: list[np.ndarray] = [None] * len(x)
-    todo, width = np.arange(len(x)), WIDTH
-    while len(todo):
-        ids, cos = search_graph(index, x[todo], width)
+
+    def take(rows: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> np.ndarray:
         far = _distance(cos)
         held = np.cumsum(np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0), axis=1)
         before = np.concatenate((np.zeros((len(ids), 1), held.dtype), held[:, :-1]), axis=1)
         keep = (ids >= 0) & ((far <= ratio * far[:, :1] + 1e-12) | (before < need))
-        done = ~keep[:, -1] | (width >= len(index.centroids))
+        done = ~keep[:, -1] | (ids.shape[1] >= len(index.centroids))
         for row in np.flatnonzero(done).tolist():
-            out[todo[row]] = ids[row][keep[row]].astype(np.int32)
-        todo, width = todo[~done], 4 * width
+            out[rows[row]] = ids[row][keep[row]].astype(np.int32)
+        return rows[~done]
+
+    todo = take(np.arange(len(x)), *search_graph(index, x, WIDTH))
+    step = max(1, CELLS // len(index.centroids))
+    for first in range(0, len(todo), step):
+        rows = todo[first:first + step]
+        take(rows, *ranked(index, x[rows]))
     return out
 
 
+def _pieces(part: pa.RecordBatch, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each list of each row, ``PIECE`` at a time: a query may visit thousands of lists."""
+    row, lists = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found).astype(np.int32)
+    for first in range(0, len(row), PIECE):
+        at = pa.array(row[first:first + PIECE])
+        yield pa.record_batch([pa.array(lists[first:first + PIECE]), *(c.take(at) for c in part.columns)], names=["list", *part.schema.names])
+
+
 def _lists(shared, sizes=None, need=0, ratio=None):
     """(list, id, vector) rows: of the index, or of queries if the lists' sizes are given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +212,7 @@ def _lists(shared, sizes=None, need=0, ratio=None):
                 part = batch.slice(first, 1024)
                 x = unit(matrix(part.column(1)))
                 found = replicas(index, x) if sizes is None else visited(index, x, ratio or index.ratio, sizes, need)
-                row = np.repeat(np.arange(len(x)), [len(f) for f in found])
-                yield pa.record_batch([pa.array(np.concatenate(found).astype(np.int32)), *(c.take(pa.array(row)) for c in part.columns)],
-                                      names=["list", *part.schema.names])
+                yield from _pieces(part, found)
 
     return run
 
@@ -297,7 +319,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, ratio: float |
         rows = frame.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
         return rows.where(F.col("id").isNotNull() & valid("vector"))
 
-    rows, asked = plain(df), plain(queries).dropDuplicates(["id"])
+    # Queries are few rows and much work: they are not merged into few tasks.
+    asked = plain(queries).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").dropDuplicates(["id"])
+    rows = plain(df)
     if one_length(rows) is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = spark.sparkContext.broadcast(fit(rows, rows.count(), per_list))  # CENTROIDS rows at most

@@ -256,3 +256,41 @@ def test_warc_query_matches_its_sql(spark):
 
     name = "op6_warc_source"
     assert ": ok" in check(spark, duck(SF_DIR), SF_DIR, name, QUERIES[name], entry.oracle_sql()[name])
+
+
+def test_lists_of_queries_go_back_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    index = posting_lists.Index(x[:600], posting_lists.neighbour_graph(x[:600]), 1.9)
+    queries = x[600:]
+    batch = pa.record_batch([pa.array(np.arange(300)), pa.ListArray.from_arrays(np.arange(0, 2401, 8, dtype=np.int32), pa.array(queries.ravel()))], names=["id", "vector"])
+    monkeypatch.setattr(posting_lists, "PIECE", 1000)
+    monkeypatch.setattr(posting_lists, "CELLS", 1 << 12)  # six queries look at all centroids at once
+    looked = []
+    ranked = posting_lists.ranked
+    monkeypatch.setattr(posting_lists, "ranked", lambda index, rows: looked.append(len(rows)) or ranked(index, rows))
+    shared = type("Shared", (), {"value": index})
+    parts = list(posting_lists._lists(shared, np.ones(600, np.int64), 24)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 1000 and max(looked) == 6
+    got = {(q, c) for p in parts for c, q in zip(p.column(0).to_pylist(), p.column(1).to_pylist())}
+    assert sum(p.num_rows for p in parts) == len(got) > 10_000
+    far = np.sqrt(np.maximum(0, 2 - 2 * (queries @ index.centroids.T)))
+    within = {(i, c) for i, c in zip(*map(np.ndarray.tolist, np.nonzero(far <= 1.9 * far.min(1, keepdims=True))))}
+    # Besides these only what a query needs to meet entries enough.
+    assert within <= got and all(far[q, c] <= np.sort(far[q])[23] + 1e-12 for q, c in got - within)
+    assert all(np.allclose(p.column(2).values.to_numpy().reshape(-1, 8)[:len(p.column(1))], queries[p.column(1).to_numpy()]) for p in parts)
+
+
+def test_queries_are_dealt_to_tasks_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    seen, stage = {}, posting_lists.stage
+    posting_lists.stage = lambda df, label: seen.setdefault(label, df.rdd.getNumPartitions()) and stage(df, label)
+    try:
+        assert posting_lists.nearest(rows, rows).count() == 2000
+    finally:
+        posting_lists.stage = stage
+    assert seen["queries"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
